@@ -2,9 +2,12 @@
 
 The state has an index of parents (per key: is it in a table without deletions, last arrival, last deletion), the references
 seen so far, and those that wait for a parent. A step takes new references, arrivals and deletions: new references probe the
-index, arrivals resolve the references that wait for their key, deletions reopen them. Index entries merge by maximum, so
-steps may be repeated and may come in any cut; the last state doesn't depend on it. Probing is done by distinct key, so a
-key with a third of all references costs one probe.
+index, arrivals resolve the references that wait for their key, deletions reopen references that were resolved. Index entries
+merge by maximum, so steps may be repeated and may come in any cut; the last state doesn't depend on it.
+
+Keys are compared by 128 bits of two hashes of the whole id, exact for any number of keys that can be stored. Only distinct
+keys are shuffled, so a key with a third of all references costs one probe a partition; references themselves never move
+while the keys that matter fit ``BROADCAST`` rows, which is counted first, and are joined by a shuffle beyond that.
 """
 
 from __future__ import annotations
@@ -16,17 +19,24 @@ from pyspark.sql import functions as F
 
 from weft.session import checkpointed
 
-INDEX = "key string, fixed boolean, arrived timestamp_ntz, deleted timestamp_ntz"
-REFS = "id string, ref_end string, key string, ref_table string, month string"
+INDEX = "h1 long, h2 long, fixed boolean, arrived timestamp_ntz, deleted timestamp_ntz"
+REFS = "id string, ref_end string, h1 long, h2 long, ref_table string, month string"
+KEY = ["h1", "h2"]
+#: Most key rows (of 16 bytes) that are broadcast.
+BROADCAST = 1_000_000
 
 
 @dataclass
 class State:
     index: DataFrame
-    refs: DataFrame
+    refs: DataFrame | None
     pending: DataFrame
 
 
+def hashes(key: Column) -> list[Column]:
+    return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7919), key, F.lit("#")).alias("h2")]
+
+
 def exists() -> Column:
     """Whether the parent of an index entry is there: in a fixed table or arrived, and not deleted after its last arrival."""
     gone = F.col("arrived").isNotNull() & F.col("deleted").isNotNull() & (F.col("deleted") > F.col("arrived"))
@@ -34,28 +44,37 @@ def exists() -> Column:
 
 
 def merged(entries: DataFrame) -> DataFrame:
-    return entries.where("key is not null").groupBy("key").agg(F.max("fixed").alias("fixed"), F.max("arrived").alias("arrived"), F.max("deleted").alias("deleted"))
+    return entries.groupBy(*KEY).agg(F.max("fixed").alias("fixed"), F.max("arrived").alias("arrived"), F.max("deleted").alias("deleted"))
+
+
+def having_key(refs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """refs joined with a table of distinct keys, broadcast if it is small by count (the table is checkpointed)."""
+    small = keys.limit(BROADCAST + 1).count() <= BROADCAST
+    return refs.join(F.broadcast(keys) if small else keys, KEY, how)
 
 
 def orphans_of(refs: DataFrame, index: DataFrame) -> DataFrame:
     """The references whose key has no existing parent."""
-    keys = refs.select("key").distinct().join(index, "key", "left").where(~exists()).select("key")
-    return refs.join(keys, "key", "left_semi")
+    missing = checkpointed(refs.select(*KEY).distinct().join(index, KEY, "left").where(~exists()).select(*KEY))
+    return having_key(refs, missing)
 
 
 def empty(spark) -> State:
-    return State(spark.createDataFrame([], INDEX), spark.createDataFrame([], REFS), spark.createDataFrame([], REFS))
+    return State(spark.createDataFrame([], INDEX), None, spark.createDataFrame([], REFS))
 
 
 def advance(state: State, refs: DataFrame, entries: DataFrame) -> State:
     """One step: new references and new index entries (arrivals and deletions)."""
-    delta = merged(entries)
+    delta = checkpointed(merged(entries))
     index = checkpointed(merged(state.index.unionByName(delta)))
-    touched = delta.select("key")
-    again = state.refs.join(touched, "key", "left_semi")
-    waiting = state.pending.join(touched, "key", "left_anti")
-    pending = checkpointed(waiting.unionByName(orphans_of(refs.unionByName(again), index)))
-    return State(index, state.refs.unionByName(refs), pending)
+    fresh = refs
+    if state.refs is not None:
+        removed = delta.where("deleted is not null").select(*KEY)
+        reopened = having_key(state.refs, removed)
+        waiting = state.pending.unionByName(reopened)  # arrivals may have come for the first, deletions for the second
+        fresh = refs.unionByName(waiting.distinct())
+    pending = checkpointed(orphans_of(fresh, index))
+    return State(index, refs if state.refs is None else state.refs.unionByName(refs), pending)
 
 
 def table_of(key: Column, reason: Column) -> Column:
@@ -72,7 +91,7 @@ def references(relationships: DataFrame) -> DataFrame:
     """One row per relationship row and end that is not null, with the time it came in."""
     ends = F.explode(F.array(F.struct(F.lit("source").alias("ref_end"), F.col("sourceId").alias("key")), F.struct(F.lit("target").alias("ref_end"), F.col("targetId").alias("key"))))
     r = relationships.select("id", "reason", "observedAt", F.col("ingestedAt").alias("at"), ends.alias("e")).where("e.key is not null")
-    return r.select("id", F.col("e.ref_end").alias("ref_end"), F.col("e.key").alias("key"), table_of(F.col("e.key"), F.col("reason")).alias("ref_table"), F.date_format("observedAt", "yyyy-MM").alias("month"), "at")
+    return r.select("id", F.col("e.ref_end").alias("ref_end"), *hashes(F.col("e.key")), table_of(F.col("e.key"), F.col("reason")).alias("ref_table"), F.date_format("observedAt", "yyyy-MM").alias("month"), "at")
 
 
 def parents(nodes: DataFrame, fixed: list[DataFrame], deletions: DataFrame) -> DataFrame:
@@ -82,7 +101,7 @@ def parents(nodes: DataFrame, fixed: list[DataFrame], deletions: DataFrame) -> D
     out = out.unionByName(deletions.select(F.col("nodeId").alias("key"), F.lit(False).alias("fixed"), null.alias("arrived"), F.col("deletedAt").alias("deleted"), F.col("deletedAt").alias("at")))
     for t in fixed:
         out = out.unionByName(t.select(F.col("id").alias("key"), F.lit(True).alias("fixed"), null.alias("arrived"), null.alias("deleted"), null.alias("at")))
-    return out
+    return out.where("key is not null").select(*hashes(F.col("key")), "fixed", "arrived", "deleted", "at")
 
 
 def replay(refs: DataFrame, entries: DataFrame, cuts: list[str]) -> list[tuple[str, State]]:
