@@ -154,7 +154,7 @@ def find_truncated(documents: DataFrame, threshold: float = THRESHOLD) -> DataFr
         p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
         return F.log(p / (1 - p))
 
-    scored = steps.select("tail", odds(lambda s: s["b"], BASE).alias("border"), odds(lambda s: s["n"] - s["w"], 0.2).alias("word"))
+    scored = checkpointed(steps.select("tail", odds(lambda s: s["b"], BASE).alias("border"), odds(lambda s: s["n"] - s["w"], 0.2).alias("word")))
     ahead = scored.select(F.col("tail").alias("before"), F.col("border").alias("border2"))
     value = F.when(F.col("state") == "open", F.greatest(F.coalesce("border", F.lit(0.0)), F.coalesce("border2", F.lit(-99.0)))).when(F.col("state") == "title", F.greatest(F.coalesce("border", F.lit(0.0)), F.coalesce("word", F.lit(0.0))))
     out = ends.join(scored, "tail", "left").join(ahead, "before", "left").select("doc_id", "lang", "source", "state", value.alias("log_odds"))
