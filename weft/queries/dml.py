@@ -1,2 +1,89 @@
-QUERIES = {}
-SQL = {}
+"""Loads, changes and the checks around them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weft.operators.dml import delete_files, read_csv, update_columns, upsert, validated, write_csv
+from weft.plans.graphview import code_nodes, edges, first_rows, nodes
+from weft.queries.base import Book, graph
+from weft.session import ensure_checkpoints
+from weft.sources.tables import table
+
+book = Book()
+QUERIES, SQL = book.queries, book.sql
+
+
+@book("SELECT id, label, name, repo FROM parsed_nodes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1")
+def first_wins(spark, sf):
+    return first_rows(table(spark, sf, "parsed_nodes"), "id", "seq", "label", "name", "repo").select("id", "label", "name", "repo")
+
+
+@book("""WITH old AS (SELECT id, name, indexedAt FROM parsed_nodes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1),
+    new AS (SELECT id, name, indexedAt FROM parsed_nodes WHERE id IS NOT NULL AND indexedAt >= TIMESTAMP '2025-05-01' QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexedAt DESC, seq DESC) = 1)
+    SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)""")
+def upsert_nodes(spark, sf):
+    """Later versions of a node replace the first."""
+    n = table(spark, sf, "parsed_nodes").where("id is not null")
+    old = first_rows(n, "id", "seq", "name", "indexedAt").select("id", "name", "indexedAt")
+    new = n.where(F.col("indexedAt") >= F.lit("2025-05-01").cast("timestamp_ntz"))
+    best = new.groupBy("id").agg(F.max_by(F.struct("name", "indexedAt"), F.struct("indexedAt", "seq")).alias("r")).select("id", "r.name", "r.indexedAt")
+    return upsert(old, best, "id")
+
+
+@book(graph(""", f AS (SELECT DISTINCT c.filePath FROM node_deletions d JOIN code c ON c.id = d.nodeId WHERE c.filePath IS NOT NULL), gone AS (SELECT id FROM nodes WHERE filePath IN (SELECT filePath FROM f))
+    SELECT 'node' AS kind, id FROM nodes WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'edge', id FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)"""))
+def delete_cascade(spark, sf):
+    """What is left after the files of deleted nodes go with all their edges."""
+    n = nodes(spark, sf)
+    f = table(spark, sf, "node_deletions").select(F.col("nodeId").alias("id")).join(code_nodes(spark, sf).select("id", "filePath"), "id").where("filePath is not null").select("filePath")
+    kept, e, _ = delete_files(n, edges(spark, sf), f)
+    return kept.select(F.lit("node").alias("kind"), "id").unionByName(e.select(F.lit("edge").alias("kind"), "id"))
+
+
+_LABELS = ["Folder", "File", "Class", "Interface", "Function", "Method", "Community", "Process"]
+_LABEL = "CASE WHEN starts_with({0}, 'comm_') THEN 'Community' WHEN starts_with({0}, 'proc_') THEN 'Process' ELSE split_part({0}, ':', 1) END"
+
+
+@book(graph(f", x AS (SELECT type, {_LABEL.format('src')} AS from_label, {_LABEL.format('dst')} AS to_label FROM edges) SELECT type, from_label, to_label, count(*) AS skipped FROM x WHERE from_label NOT IN {tuple(_LABELS)} OR to_label NOT IN {tuple(_LABELS)} GROUP BY 1, 2, 3"))
+def skipped_edges(spark, sf):
+    """Edges whose ends have no known label, by type and labels."""
+    from weft.functions.text import label_of
+
+    bad = validated(edges(spark, sf), _LABELS)[1]
+    return bad.groupBy("type", label_of(F.col("src")).alias("from_label"), label_of(F.col("dst")).alias("to_label")).agg(F.count("*").alias("skipped"))
+
+
+@book("SELECT id, CASE WHEN symbolCount > 100 THEN 'Large' ELSE label END AS label, coalesce(description, '') AS description FROM communities")
+def property_update(spark, sf):
+    c = table(spark, sf, "communities").select("id", "label", F.coalesce("description", F.lit("")).alias("description"))
+    big = table(spark, sf, "communities").where("symbolCount > 100").select("id", F.lit("Large").alias("label"))
+    return update_columns(c, big, "id", ["label"])
+
+
+@book("SELECT e.vec_id, e.label FROM embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents)")
+def embedding_restore(spark, sf):
+    """Kept vectors whose row is still there."""
+    return table(spark, sf, "embeddings").select("vec_id", "label").join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+
+
+@book("SELECT name, rtrim(path, '/') AS path, coalesce(stats.files, 0) AS files FROM registry WHERE lastCommit IS NOT NULL AND name IN (SELECT repo FROM parsed_nodes)")
+def registry_pruned(spark, sf):
+    """Registered repositories that still have nodes and a commit."""
+    r = table(spark, sf, "registry").where("lastCommit is not null").join(table(spark, sf, "parsed_nodes").select(F.col("repo").alias("name")).distinct(), "name", "left_semi")
+    return r.select("name", F.regexp_replace("path", "/+$", "").alias("path"), F.coalesce("stats.files", F.lit(0)).alias("files"))
+
+
+@book("SELECT seq, id, content FROM embeddable_nodes WHERE label = 'Class' AND content IS NOT NULL AND NOT contains(content, chr(13))")
+def csv_round_trip(spark, sf):
+    """Contents with quotes and line breaks, written as CSV to the shared folder and read again."""
+    n = table(spark, sf, "embeddable_nodes").where("label = 'Class' and content is not null and not contains(content, '\r')").select("seq", "id", "content")
+    folder = f"{ensure_checkpoints(spark)}/csv-{abs(hash(sf)) % 10**8}"
+    write_csv(n, folder)
+    return read_csv(spark, folder, "seq long, id string, content string")
+
+
+@book("SELECT id, label, to_json(struct_pack(name := name, repo := repo)) AS body FROM parsed_nodes WHERE label = 'Interface' AND name IS NOT NULL AND repo IS NOT NULL")
+def json_export(spark, sf):
+    n = table(spark, sf, "parsed_nodes").where("label = 'Interface' and name is not null and repo is not null")
+    return n.select("id", "label", F.to_json(F.struct("name", "repo")).alias("body"))
