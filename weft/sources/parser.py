@@ -22,7 +22,7 @@ _NOT_CALLS = frozenset("if for while switch return catch function func fn match
 #: language -> (label, pattern, pattern of what makes it exported)
 DEFINITIONS = {
     "typescript": (("Class", rf"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({_WORD})"), ("Interface", rf"^[ \t]*(?:export\s+)?interface\s+({_WORD})"), ("Function", rf"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_WORD})"), ("Function", rf"^[ \t]*(?:export\s+)?(?:const|let|var)\s+({_WORD})\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:\([^()\n]*\)|{_WORD})\s*(?::[^=\n]+)?=>"), ("Method", rf"^[ \t]+(?:(?:public|private|protected|static|async|readonly|get|set|override)\s+)*({_WORD})\s*\([^()\n]*\)\s*(?::[^{{;\n]+)?\{{")),
-    "java": (("Class", rf"^[ \t]*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?:class|enum|record)\s+({_WORD})"), ("Interface", rf"^[ \t]*(?:(?:public|private|protected|static)\s+)*@?interface\s+({_WORD})"), ("Method", rf"^[ \t]+(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*[\w<>\[\],.? ]+\s+({_WORD})\s*\([^()\n]*\)\s*(?:throws [\w., ]+)?[{{;]")),
+    "java": (("Class", rf"^[ \t]*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?:class|enum|record)\s+({_WORD})"), ("Interface", rf"^[ \t]*(?:(?:public|private|protected|static)\s+)*@?interface\s+({_WORD})"), ("Method", rf"^[ \t]+(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)[ \t]+)*(?:<[^<>\n]*>[ \t]+)?[\w.]+(?:<[^;(){{}}\n]*>)?(?:\[\])*[ \t]+({_WORD})\s*\([^()\n]*\)\s*(?:throws [\w., ]+)?[{{;]")),
     "csharp": (("Class", rf"^[ \t]*(?:(?:public|private|protected|internal|static|sealed|abstract|partial)\s+)*(?:class|struct|record|enum)\s+({_WORD})"), ("Interface", rf"^[ \t]*(?:(?:public|private|protected|internal)\s+)*interface\s+({_WORD})"), ("Method", rf"^[ \t]+(?:(?:public|private|protected|internal|static|virtual|override|async|abstract|sealed)\s+)*[\w<>\[\],.?]+\s+({_WORD})\s*\([^()\n]*\)\s*(?:[{{;]|=>|$)")),
     "go": (("Function", rf"^func\s+({_WORD})"), ("Method", rf"^func\s+\([^()]*\)\s*({_WORD})"), ("Interface", rf"^type\s+({_WORD})\s+interface\b"), ("Class", rf"^type\s+({_WORD})\s+struct\b")),
     "rust": (("Function", rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+|extern\s+)*fn\s+({_WORD})"), ("Class", rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|union)\s+({_WORD})"), ("Interface", rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?trait\s+({_WORD})")),

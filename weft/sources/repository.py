@@ -53,7 +53,7 @@ def unzip(archives: DataFrame) -> DataFrame:
 
 def path_aliases(content: Column) -> Column:
     """map alias -> first target of a compiler configuration with comments; '*' ends are cut off."""
-    bare = F.regexp_replace(F.regexp_replace(content, r"/\*[\s\S]*?\*/", ""), r"(?m)(^|[^:\"'])//.*$", "$1")
+    bare = F.regexp_replace(content, r'("(?:[^"\\]|\\.)*")|/\*[\s\S]*?\*/|//[^\n]*', "$1")
     bare = F.regexp_replace(bare, r",(\s*[}\]])", "$1")
     paths = F.from_json(bare, "compilerOptions struct<baseUrl: string, paths: map<string, array<string>>>")["compilerOptions"]["paths"]
     pairs = F.transform(F.map_entries(paths), lambda e: F.struct(F.regexp_replace(e["key"], r"\*$", "").alias("k"), F.regexp_replace(F.element_at(e["value"], 1), r"\*$", "").alias("v")))
