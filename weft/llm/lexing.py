@@ -4,7 +4,7 @@ A file is cut by a single compiled pattern (``findall``), and every distinct tok
 classified once per process and kept in a bounded dictionary. Parsers and fingerprints then
 work on the class string, where equal shapes of code are equal strings and can be remembered.
 
-Classes: I name, N number, S string or character, R regular expression literal, X no token of the
+Classes: I name, U name in capitals (C and C++), N number, S string or character, R regular expression literal, X no token of the
 language; punctuation stands for itself; operators share a class per precedence level (see
 ``OPERATORS``); a keyword has a private character, ``kw(word)``.
 """
@@ -23,8 +23,8 @@ EXTENSIONS = {
 OPERATORS = {
     "||": "o", "??": "o", "&&": "n", "|": "|", "^": "^", "&": "&", "==": "q", "!=": "q", "===": "q", "!==": "q",
     "<": "<", ">": ">", "<=": "r", ">=": "r", "<=>": "r", "<<": "s", ">>>": "s", "+": "+", "-": "+", "*": "*", "/": "/", "%": "/", "//": "/",
-    "**": "w", "!": "!", "~": "!", "=": "=", "=>": "f", "->": "m", "::": "c", "..": "e", "...": "e", "..=": "e", "++": "i", "--": "i",
-    ":=": "d", "<-": "h", "?.": ".", "->*": "m", ".*": ".", "&^": "*", "@": "@", "#": "#", "?": "?", "$": "X",
+    "**": "w", "!": "!", "~": "~", "=": "=", "=>": "f", "->": "m", "::": "c", "..": "e", "...": "e", "..=": "e", "++": "i", "--": "i",
+    ":=": "d", "<-": "h", "?.": ".", "->*": "m", ".*": ".", "&^": "*", "@": "@", "#": "#", "?": "?", "$": "$",
 }
 _ASSIGN = re.compile(r"(?:[-+*/%&|^]|<<|>>>?|\*\*|//|&&|\|\||\?\?|&\^|@)=")
 
@@ -74,10 +74,11 @@ _CONFLICT = r"^(?:<{7}|\|{7}|>{7}|={7})(?![<>=|])[^\n]*"
 _DQ, _SQ = r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'"
 _CHAR = r"'(?:[^'\\\n]|\\(?:u\{?[0-9a-fA-F]+\}?|x[0-9a-fA-F]+|[0-7]{1,3}|.))'"
 _BLOCK = r"//[^\n]*|/\*[\s\S]*?\*/|/\*"
-_NUM = r"\d(?:\w|(?<=[eEpP])[+-](?=\d)|\.(?=\d)|(?<=\d)'(?=\d))*|\.\d(?:\w|(?<=[eE])[+-](?=\d))*"
+_NUM = r"\d(?:\w|(?<=[eEpP])[+-](?=\d)|\.(?=\d)|(?<=\d)'(?=\d))*(?:\.(?![\w.])|\.[fFlLdD]\b)?|\.\d(?:\w|(?<=[eE])[+-](?=\d))*"
 _RE = r"(?:&&|\|\||\?\?|[=!]==?|=>|[=(,:\[!?{};+*%~^<>&|-]|\breturn\b|\btypeof\b|\bcase\b)\s*/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*"
 _TICK = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|`[^`]*`|\{[^{}]*\})*\})*`"
 _OPS = r"===|!==|\?\?=|\*\*=|&&=|\|\|=|<<=|>>>=|>>=|\.\.\.|\.\.=|&\^=|//=|<=>|\.\.|&\^|=>|->|::|\+\+|--|:=|<-|\?\.|[-+*/%&|^=!<>@]=|&&|\|\||\?\?|<<|\*\*"
+_OPS_PLAIN = _OPS.replace(r"|\*\*=", "").replace(r"|\*\*", "")
 _PYOPS = r"\*\*=|//=|<<=|>>=|\.\.\.|->|:=|[-+*/%&|^=!<>@]=|<<|\*\*|//"
 _PYSTR = r"(?:[rRbBuUfF]{0,2})(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')"
 _PRE = r"^[ \t]*#(?:[^\n\\/]|\\\r?\n|\\|/(?!\*))*"
@@ -92,12 +93,12 @@ def _pattern(*parts: str) -> re.Pattern[str]:
 PATTERNS = {
     "javascript": _pattern(r"\A#![^\n]*", r"\n", _BLOCK, _TICK, _DQ, _SQ, _RE, "#?" + _DNAME, _NUM, _OPS),
     "typescript": _pattern(r"\A#![^\n]*", r"\n", _BLOCK, _TICK, _DQ, _SQ, _RE, "#?" + _DNAME, _NUM, _OPS),
-    "java": _pattern(_BLOCK, r'"""[\s\S]*?"""', _DQ, _CHAR, _DNAME, _NUM, _OPS),
-    "c": _pattern(_PRE, _BLOCK, r"(?:u8|[uUL])?" + _DQ, r"[uUL]?" + _SQ, _NAME, _NUM, _OPS),
-    "cpp": _pattern(_PRE, _BLOCK, r'(?:u8|[uUL])?R"\w{0,16}\([\s\S]*?\)\w{0,16}"', r"(?:u8|[uUL])?" + _DQ, r"(?:u8|[uUL])?" + _SQ, _NAME, _NUM, _OPS),
-    "csharp": _pattern(_PRE, _BLOCK, r'\$*"""[\s\S]*?"""', r'(?:\$@|@\$|@)"(?:[^"]|"")*"', r"\$?" + _DQ, _CHAR, "@?" + _NAME, _NUM, _OPS),
-    "go": _pattern(r"\n", _BLOCK, r"`[^`]*`", _DQ, _CHAR, _NAME, _NUM, _OPS),
-    "rust": _pattern(r"//[^\n]*", r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*[\s\S]*?\*/)*\*/|/\*", r'(?:br|cr|r)"[^"]*"|(?:br|cr|r)#"[\s\S]*?"#|(?:br|cr|r)##"[\s\S]*?"##', r'[bc]?"(?:[^"\\]|\\[\s\S])*"', r"b?" + _CHAR, r"'[^\W\d]\w*", r"(?:r#)?" + _NAME, r"\d(?:\w|(?<=[eE])[+-](?=\d))*(?:\.\d\w*|\.(?![\w.]))?", _OPS),
+    "java": _pattern(_BLOCK, r'"""[\s\S]*?"""', _DQ, _CHAR, _DNAME, _NUM, _OPS_PLAIN),
+    "c": _pattern(_PRE, _BLOCK, r"(?:u8|[uUL])?" + _DQ, r"[uUL]?" + _SQ, _NAME, _NUM, _OPS_PLAIN),
+    "cpp": _pattern(_PRE, _BLOCK, r'(?:u8|[uUL])?R"\w{0,16}\([\s\S]*?\)\w{0,16}"', r"(?:u8|[uUL])?" + _DQ, r"(?:u8|[uUL])?" + _SQ, _NAME, _NUM, _OPS_PLAIN),
+    "csharp": _pattern(_PRE, _BLOCK, r'\$*"""[\s\S]*?"""', r'(?:\$@|@\$|@)"(?:[^"]|"")*"', r"\$?" + _DQ, _CHAR, "@?" + _NAME, _NUM, _OPS_PLAIN),
+    "go": _pattern(r"\n", _BLOCK, r"`[^`]*`", _DQ, _CHAR, _NAME, _NUM, _OPS_PLAIN),
+    "rust": _pattern(r"//[^\n]*", r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*[\s\S]*?\*/)*\*/|/\*", r'(?:br|cr|r)"[^"]*"|(?:br|cr|r)#"[\s\S]*?"#|(?:br|cr|r)##"[\s\S]*?"##', r'[bc]?"(?:[^"\\]|\\[\s\S])*"', r"b?" + _CHAR, r"'[^\W\d]\w*", r"(?:r#)?" + _NAME, r"\d(?:\w|(?<=[eE])[+-](?=\d))*(?:\.\d\w*|\.(?![\w.]))?", _OPS_PLAIN),
     "python": _pattern(_PYSTR, r"(?:\r?\n[ \t\f]*(?:#[^\n]*)?)+", r"#[^\n]*", r"\\\r?\n", _NAME, _NUM, _PYOPS),
 }
 
@@ -106,6 +107,10 @@ _NUMBERS = {lang: re.compile(r"(?:0[xX][\da-fA-F_']+(?:\.[\da-fA-F]*)?(?:[pP][+-
 _HEXLIKE = {lang: re.compile(r"0[xX][\da-fA-F_]+(?:[uU]?[lL]{0,2}|n|[iu]\d+|[iu]size)?\Z") for lang in _SUFFIX}
 
 
+#: Names that are macros by custom; in C and C++ they may stand where the grammar has no name.
+_MACRO = re.compile(r"[A-Z][A-Z0-9_]{2,}\Z|__\w+\Z")
+
+
 class Classes(dict):
     """Token text -> class string of one language, filled as tokens appear; emptied when it holds ``bound`` texts."""
 
@@ -152,7 +157,9 @@ class Classes(dict):
                 return self[head] + "R"
         if c.isdigit() or c == "." and len(t) > 1 and t[1].isdigit():
             return "N" if _NUMBERS[lang].match(t) or _HEXLIKE[lang].match(t) else "X"
-        if c.isalpha() or c in "_$#@" and len(t) > 1 or ord(c) > 127 and c.isidentifier():
+        if lang in ("c", "cpp") and _MACRO.match(t):
+            return "U"
+        if c.isalpha() or c == "_" or t == "$" and lang in ("javascript", "typescript", "java") or c in "$#@" and t[1:].isidentifier() or ord(c) > 127 and c.isidentifier():
             return "I"
         if c in "()[]{};,.:" and len(t) == 1:
             return c

@@ -43,7 +43,7 @@ class Parser:
         self.s, self.i, self.keep = s + "\0\0\0", 0, keep
         self.errors: list[tuple[int, str]] = []
         self.depth = 0
-        self.names = "I" + kws(CONTEXTUAL[self.lang])
+        self.names = "IU" + kws(CONTEXTUAL[self.lang])
 
     def layout(self, s: str) -> str:
         parts, at = s.split("\n"), 0
@@ -144,8 +144,8 @@ class Parser:
     def remembered(self, kind: str, f) -> bool:
         """Parses a simple statement that ends with the next ';' by looking up its shape; False if it isn't one."""
         m = self._simple.match(self.s, self.i)
-        if m is None or self.breaks and not self.quiet(self.i, m.end()):
-            return False
+        if m is None or self.breaks and not self.quiet(self.i, m.end()) or kw("if") in m.group():
+            return False  # an else could follow an if
         key = (kind, m.group())
         known = self.memo.get(key)
         if known is None:

@@ -33,12 +33,27 @@ class C(Parser):
                 self.attributes()
                 self.record(c)
                 typed = True
+            elif c == "U" and self.macro(typed):
+                pass
             elif not typed and c in self.names + ("c" if self.scope else ""):
                 self.type_name()
                 typed = True
             else:
                 return typed
 
+    def macro(self, typed: bool) -> bool:
+        """Steps over a macro among specifiers, with its arguments, if a type or declarator still follows."""
+        j = self.i + 1
+        if self.s[j] == "(":
+            j = self.close_of(j) + 1
+            if j == 0:
+                return False
+        nxt = self.s[j]
+        if nxt in self.names + "*&c" + self.prims + self.specs + kws("struct union enum") and not (typed and nxt in "*&") and not (not typed and nxt in "*&" or not typed and nxt in self.names and self.s[j + 1] in "=;,[()"):
+            self.i = j
+            return True
+        return False
+
     def attributes(self) -> None:
         while self.at("[") and self.s[self.i + 1] == "[":
             j = self.close_of(self.i)
@@ -137,6 +152,8 @@ class C(Parser):
                 if not self.at("]"):
                     self.expr()
                 self.need("]")
+            elif self.at("U"):
+                self.i += 1
             else:
                 break
         self.attributes()
@@ -221,7 +238,7 @@ class C(Parser):
             self.fail("expected a declaration")
         if self.eat(";"):
             return
-        if self.i == start + 1 and self.s[start] == "I" and self.at("("):  # a macro on a line of its own
+        if self.i == start + 1 and self.s[start] in "IU" and self.at("("):  # a macro on a line of its own
             j = self.close_of(self.i)
             if j > 0 and self.s[j + 1] not in ";{":
                 self.i = j + 1
@@ -262,6 +279,11 @@ class C(Parser):
 
     def plain(self) -> None:
         s, c = self.s, self.s[self.i]
+        if c == "U" and s[self.i + 1] == "(":  # a macro call that needs no ';'
+            j = self.close_of(self.i + 1)
+            if j > 0 and s[j + 1] in "IU{}" + self.prims + self.specs + kws("if for while return switch do"):
+                self.i = j + 1
+                return
         if c == "{":
             self.block()
         elif c == ";":
@@ -372,11 +394,13 @@ class C(Parser):
         s, c = self.s, self.s[self.i]
         if c in "N" or c in self.names:
             self.i += 1
-            if c == "I":
+            if c == "U" and self.at("INU"):  # a macro before an operand, such as a cast
+                return self.unary()
+            if c in "IU":
                 while self.at("S"):  # a macro between string parts
                     self.i += 1
         elif c == "S":
-            while self.at("SI"):
+            while self.at("SIU"):
                 self.i += 1
         elif c == "(":
             at = self.i
@@ -718,10 +742,12 @@ class Cpp(C):
                     self.eat(K("template"))
                     continue
                 break
-            if self.i == at + 1 and c == "I":
+            if self.i == at + 1 and c == "U" and self.at("INU"):
+                return self.unary()
+            if self.i == at + 1 and c in "IU":
                 while self.at("S"):
                     self.i += 1
-            if self.at("{") and self.i > at + 1:
+            if self.at("{"):
                 self.braces()
         elif c in kws("this true false nullptr"):
             self.i += 1
@@ -2290,11 +2316,15 @@ class Python(Parser):
             if not self.at("]"):
                 self.need(",")
 
+    in_case = False
+
     def case(self) -> None:
+        self.in_case = True
         self.case_pattern()
         while self.eat(","):
             if not self.at(":" + K("if")):
                 self.case_pattern()
+        self.in_case = False
         if self.eat(K("if")):
             self.expr()
 
