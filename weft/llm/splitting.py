@@ -75,6 +75,12 @@ def cut(pos: np.ndarray, level: np.ndarray, n: int, limit: int, overlap: int) ->
 
 def split_text(text: str, limit: int, overlap: int, size: int = RANGE, halo: int = HALO) -> list[tuple[int, int]]:
     """The pieces of one text, by ranges; any ``size`` gives the same result as one range over all."""
+    pos, lev = boundary_table(text, size, halo)
+    return cut(pos, lev, len(text), limit, overlap)
+
+
+def boundary_table(text: str, size: int = RANGE, halo: int = HALO) -> tuple[np.ndarray, np.ndarray]:
+    """The stitched boundary tables of the ranges of a text. White space longer than the halo may hide what stands before it."""
     n = len(text)
     tables = []
     for a in range(0, n, size):
@@ -84,7 +90,7 @@ def split_text(text: str, limit: int, overlap: int, size: int = RANGE, halo: int
         tables.append((p + lo, v))
     pos = np.concatenate([p for p, _ in tables]) if tables else np.empty(0, np.int64)
     lev = np.concatenate([v for _, v in tables]) if tables else np.empty(0, np.int8)
-    return cut(pos, lev, n, limit, overlap)
+    return pos, lev
 
 
 PIECES = "seq long, id string, piece int, start long, end long, natural boolean, text string"
@@ -113,8 +119,10 @@ def split_items(items: DataFrame, size: int = RANGE, halo: int = HALO) -> DataFr
 
 
 def _pieces(text: str, limit: int, overlap: int, size: int, halo: int):
-    for k, (a, b) in enumerate(split_text(text, limit, overlap, size, halo)):
-        yield k, a, b, b == len(text) or text[b - 1].isspace() or text[b - 1] in "。！？；，、"
+    pos, lev = boundary_table(text, size, halo)
+    known = set(pos.tolist())
+    for k, (a, b) in enumerate(cut(pos, lev, len(text), limit, overlap)):
+        yield k, a, b, b == len(text) or b in known
 
 
 def _near(batches, size, halo):
