@@ -30,7 +30,7 @@ _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\dA-Z_]+|\d+", re.U)
 _ABOUT = frozenset("field hint name label url uri path file dir policy length size count limit ttl expiry header head type kind id ids prefix pattern regex column param prompt help text message msg mode host level title error".split())
 _ASSIGN = re.compile(r"""["'\])]*(?:\s*:\s*(?:&?\s*(?:'\w+\s+)?(?:mut\s+)?[A-Za-z_][\w.<>\[\]]*))?(?:\s*\[\s*\])?\s*(?::=|=>|=|:)[ \t]*""")
 _QUOTE = re.compile(r"""(?:[rRbBuUfF$@L]{0,2})(\"\"\"|"|'|`)""")
-_CONFIG_VALUE = re.compile(r"[^\s#;,\"'`(){}\[\]][^\r\n]*?(?=[ \t]*(?:\r?$|\s#|,\r?$))", re.M)
+_CONFIG_VALUE = re.compile(r"(?:#(?=\S)|[^\s#;,\"'`(){}\[\]])[^\r\n]*?(?=[ \t]*(?:\r?$|\s#|,\r?$))", re.M)
 _CONCAT = re.compile(r"""[ \t]*(?:\+|\.|\.\.)?[ \t]*(?:\r?\n[ \t]*(?:\+[ \t]*)?)?(?=["'])""")
 _CALL = re.compile(r"""(?:[\w.]|::|\(\))+\((?:[ \t]*["'][\w.-]*["'][ \t]*,)[ \t]*(?=["'`])""")
 

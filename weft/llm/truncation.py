@@ -21,11 +21,15 @@ from pyspark.sql import functions as F
 LEVELS = (1, 2, 3, 4, 6, 9, 12)
 #: Log-odds below which an end is a cut, and how far a language and source may move it.
 THRESHOLD, SHIFT = -2.6, 1.0
+#: The same for texts with a sign of the cut in sources where the sign means one.
+SIGNED = 0.0
 #: Weight of the shorter tail against the counts of a longer one, and the share of borders at no tail at all.
 PRIOR, BASE = 4.0, 0.02
 
 _BORDER = ".!?。！？\n"
 _SIGN = re.compile(r"[ \t]*(?:\.{2,}|…|\[(?:\.\.\.|…)\]|\(\.\.\.\))[ \t]*\Z")
+#: Words that say a text was cut (fixed values).
+_SAID = re.compile(r"[ \t]*[\[(<{](?:truncated|more|continued|cont\.?|cut|cut off|snip|snipped|read more|see more|gekürzt|tronqué|truncado|cortado|обрезано|截断|省略)[\])>}][ \t]*\Z", re.I)
 _SPACES = re.compile(r"[^\S\n]+")
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 _TABLE_ROW = re.compile(r"^\|.*\|$", re.M)
@@ -57,7 +61,7 @@ def normal(text: str) -> str:
 
 
 def tail_of(text: str | None) -> tuple[str, str, str]:
-    """(state, tail, tail before references at the end): 'whole' ends at a border, 'blank' has nothing, 'broken' ends inside
+    """(state, tail, tail before references at the end): 'whole' ends at a border, 'blank' has nothing, 'broken' says so itself or ends inside
     a character or an unclosed code span, 'open' is for the model, 'title' for the part of it that tells whether a word goes on."""
     if text is None:
         return "blank", "", ""
@@ -66,6 +70,10 @@ def tail_of(text: str | None) -> tuple[str, str, str]:
         return "blank", "", ""
     if t[-1] == "\ufffd":
         return "broken", "", ""
+    said = _SAID.search(t)
+    if said:
+        s = t[: said.start()].rstrip()
+        return ("whole" if not s or s[-1] in ".!?。！？" else "broken"), "", ""
     signed = _SIGN.search(t)
     s = t[: signed.start()].rstrip() if signed else t
     if not s:
@@ -89,9 +97,10 @@ def tail_of(text: str | None) -> tuple[str, str, str]:
 def context_counts(text: str, into: Counter, borders: Counter, letters: Counter) -> None:
     """Counts every place inside the text by its longest tail; places right after a border are none."""
     s = normal(text)
-    signed = _SIGN.search(s)
-    if signed:
-        s = s[: signed.start()].rstrip()
+    for sign in (_SAID, _SIGN):
+        signed = sign.search(s)
+        if signed:
+            s = s[: signed.start()].rstrip()
     s = "\n" + s
     k = LEVELS[-1]
     places = [s[i - k if i > k else 0 : i] for i in range(2, len(s)) if s[i - 1] not in _BORDER]
@@ -120,7 +129,8 @@ def _count(batches):
 def _tails(batches):
     for pdf in batches:
         st = [tail_of(t) for t in pdf["text"]]
-        yield pdf.drop(columns="text").assign(state=[x[0] for x in st], tail=[x[1] for x in st], before=[x[2] for x in st])
+        signed = [isinstance(t, str) and _SIGN.search(t.rstrip()) is not None for t in pdf["text"]]
+        yield pdf.drop(columns="text").assign(state=[x[0] for x in st], tail=[x[1] for x in st], before=[x[2] for x in st], signed=signed)
 
 
 def _shorter(column: str):
@@ -139,7 +149,7 @@ def find_truncated(documents: DataFrame, threshold: float = THRESHOLD) -> DataFr
     lang = F.coalesce(F.regexp_extract(F.lower("lang"), r"^([a-z]{2})(?:[-_]|$)", 1), F.lit(""))
     docs = documents.select("doc_id", F.when(lang == "", "und").otherwise(lang).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
     counted = docs.where("text is not null").select("text").mapInPandas(_count, "tail string, n long, b long, w long").groupBy("tail").agg(*[F.sum(c).alias(c) for c in "nbw"])
-    ends = checkpointed(docs.withColumn("h", F.xxhash64("text")).mapInPandas(_tails, "doc_id long, lang string, source string, h long, state string, tail string, before string"))
+    ends = checkpointed(docs.withColumn("h", F.xxhash64("text")).mapInPandas(_tails, "doc_id long, lang string, source string, h long, state string, tail string, before string, signed boolean"))
     # the end of a text is a border too; equal texts count once
     open_ends = ends.where("tail <> ''").select("h", "tail").distinct().groupBy("tail").agg(F.count("*").alias("n"))
     sums = [F.sum(c).alias(c) for c in "nbw"]
@@ -157,13 +167,17 @@ def find_truncated(documents: DataFrame, threshold: float = THRESHOLD) -> DataFr
     scored = checkpointed(steps.select("tail", odds(lambda s: s["b"], BASE).alias("border"), odds(lambda s: s["n"] - s["w"], 0.2).alias("word")))
     ahead = scored.select(F.col("tail").alias("before"), F.col("border").alias("border2"))
     value = F.when(F.col("state") == "open", F.greatest(F.coalesce("border", F.lit(0.0)), F.coalesce("border2", F.lit(-99.0)))).when(F.col("state") == "title", F.greatest(F.coalesce("border", F.lit(0.0)), F.coalesce("word", F.lit(0.0))))
-    out = ends.join(scored, "tail", "left").join(ahead, "before", "left").select("doc_id", "lang", "source", "state", value.alias("log_odds"))
+    out = ends.join(scored, "tail", "left").join(ahead, "before", "left").select("doc_id", "lang", "source", "state", "signed", value.alias("log_odds"))
     # how often a language and source is cut moves its threshold
     low = (F.col("state") == "broken") | (F.col("log_odds") < threshold)
     groups = out.where("state <> 'blank'").groupBy("lang", "source").agg(F.sum(low.cast("int")).alias("c"), F.count("*").alias("m"))
+    # where most texts that end in dots are cut, dots are the sign of a cut and not a way of speaking
+    dots = out.where("signed and state = 'open'").groupBy("source").agg((F.avg(low.cast("double")) > 0.5).alias("dots_cut"))
     every = groups.agg(F.sum("c").alias("c"), F.sum("m").alias("m")).first()
     share = ((every["c"] or 0) + 1.0) / ((every["m"] or 0) + 20.0)
     own = (F.coalesce("c", F.lit(0)) + 20 * share) / (F.coalesce("m", F.lit(0)) + 20.0)
     more = F.log(own / (1 - own)) - F.log(F.lit(share / (1 - share)))
     moved = F.lit(threshold) + 0.5 * F.greatest(F.lit(-SHIFT), F.least(F.lit(SHIFT), more))
-    return out.join(groups, ["lang", "source"], "left").select("doc_id", "lang", "source", "state", "log_odds", ((F.col("state") == "broken") | F.coalesce(F.col("log_odds") < moved, F.lit(False))).alias("cut"))
+    limit = F.when(F.col("signed") & F.coalesce("dots_cut", F.lit(False)), F.lit(SIGNED)).otherwise(moved)
+    cut = (F.col("state") == "broken") | F.coalesce(F.col("log_odds") < limit, F.lit(False))
+    return out.join(groups, ["lang", "source"], "left").join(dots, "source", "left").select("doc_id", "lang", "source", "state", "log_odds", cut.alias("cut"))
