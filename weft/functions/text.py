@@ -134,10 +134,9 @@ def framework_factor(path: Column) -> Column:
         .when(p.rlike(r"/app/.*page\.(tsx|ts|jsx|js)$") | p.rlike(r"/pages/api/") | p.rlike(r"/app/.*route\.(ts|js)$"), 3.0)
         .when(p.endswith("views.py") | p.rlike(r"controller\.java$") | p.rlike(r"controller\.cs$"), 3.0)
         .when(p.endswith("/main.go") | p.endswith("/main.rs") | p.endswith("/main.c") | p.endswith("/main.cpp"), 3.0)
-        .when(p.contains("/routes/") | p.contains("/controllers/") | p.contains("/handlers/") | p.contains("/routers/") | p.contains("/bin/"), 2.5)
-        .when(p.endswith("urls.py") | p.rlike(r"/app/.*layout\.(tsx|ts)$"), 2.0)
-        .when(p.contains("/services/") & p.endswith(".java") | p.contains("/api/") & p.endswith(".py"), 1.8)
-        .when(p.rlike(r"/api/index\.(ts|js)$"), 1.5)
+        .when(p.contains("/routes/") | p.contains("/controllers/") | p.contains("/handlers/") | p.contains("/routers/") | p.contains("/bin/") | p.endswith("/app.c") | p.endswith(".razor"), 2.5)
+        .when(p.endswith("urls.py") | p.rlike(r"/app/.*layout\.(tsx|ts)$") | p.contains("/api/") & p.endswith(".py"), 2.0)
+        .when(p.contains("/services/") & p.endswith(".java") | p.rlike(r"/api/index\.(ts|js)$"), 1.8)
         .otherwise(1.0)
     )
 

@@ -53,8 +53,8 @@ def modularity(graph: DataFrame, labels: DataFrame) -> DataFrame:
     e = graph.join(a, "src").join(b, "dst")
     inner = e.groupBy(F.col("ca").alias("community")).agg(F.sum((F.col("ca") == F.col("cb")).cast("int")).alias("inside"))
     deg = e.select(F.explode(F.array("ca", "cb")).alias("community")).groupBy("community").agg(F.count("*").alias("degree"))
-    total = e.agg(F.count("*").alias("m"))
-    j = deg.join(inner, "community", "left").na.fill(0, ["inside"]).join(F.broadcast(total))
+    total = e.agg(F.count("*")).scalar()
+    j = deg.join(inner, "community", "left").na.fill(0, ["inside"]).withColumn("m", total)
     return j.agg(F.max("m").alias("edges"), F.sum(F.col("inside") / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("modularity"))
 
 

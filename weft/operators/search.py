@@ -29,12 +29,13 @@ def bm25(docs: DataFrame, text: str, terms: Sequence[str], every: bool = False,
     cond = has[0]
     for h in has[1:]:
         cond = (cond & h) if every else (cond | h)
-    j = counted.where(cond).join(F.broadcast(stats))
+    j = counted.where(cond).withColumn("__s", stats.select(F.struct("*")).scalar())
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(1 + (F.col("__n") - F.col(f"__d{i}") + 0.5) / (F.col(f"__d{i}") + 0.5))
+        df = F.col(f"__s.__d{i}")
+        idf = F.log(1 + (F.col("__s.__n") - df + 0.5) / (df + 0.5))
         f = F.col(f"__f{i}")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__l") / F.col("__a")))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__l") / F.col("__s.__a")))
     return j.select(*keep, score.alias("score"))
 
 

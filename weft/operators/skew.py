@@ -22,11 +22,11 @@ def key_counts(rows: DataFrame, key: str, name: str = "n") -> DataFrame:
 def heavy_keys(rows: DataFrame, key: str, share: float) -> DataFrame:
     """(key, n) of the non-null keys on at least ``share`` of all rows, null keys counted in the whole.
 
-    An empty table has none. The whole is the sum of the compact counts, so the rows are read once.
+    An empty table has none. The whole is a count that reads no column.
     """
+    whole = rows.agg(F.count("*")).scalar()
     n = key_counts(rows.select(key), key)
-    whole = n.agg(F.sum("n").alias("whole"))
-    return n.where(F.col(key).isNotNull()).join(F.broadcast(whole), F.col("n") >= F.col("whole") * F.lit(share)).select(key, "n")
+    return n.where(F.col(key).isNotNull() & (F.col("n") >= whole * F.lit(share))).select(key, "n")
 
 
 def joined_aggregates(left: DataFrame, right: DataFrame, left_key: str, right_key: str, right_groups: Sequence[str], sums: dict[str, Column]) -> DataFrame:

@@ -31,9 +31,9 @@ def edge_counts(spark, sf):
 @book("""SELECT sum(CASE WHEN label = 'File' THEN 1 ELSE 0 END)::BIGINT AS files, sum(CASE WHEN label = 'Function' THEN 1 ELSE 0 END)::BIGINT AS functions,
     count(DISTINCT repo) AS repos, (SELECT count(*) FROM graph_relationships) AS edge_rows FROM parsed_nodes""")
 def graph_stats(spark, sf):
-    e = table(spark, sf, "graph_relationships").agg(F.count("*").alias("edge_rows"))
+    e = table(spark, sf, "graph_relationships").agg(F.count("*")).scalar()
     n = table(spark, sf, "parsed_nodes").agg(F.count_if(F.col("label") == "File").alias("files"), F.count_if(F.col("label") == "Function").alias("functions"), F.countDistinct("repo").alias("repos"))
-    return n.join(F.broadcast(e))
+    return n.withColumn("edge_rows", e)
 
 
 @book(graph("SELECT a.id AS caller, b.id AS callee, a.name AS caller_name, b.name AS callee_name, e.confidence FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE e.type = 'CALLS' AND a.label = 'Function' AND b.label = 'Method'"))

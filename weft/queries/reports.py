@@ -57,8 +57,8 @@ def change_impact(spark, sf):
     s = n.join(f, "filePath", "left_semi").select(F.col("id").alias("src"))
     a = edges(spark, sf).where("type = 'STEP_IN_PROCESS'").join(s, "src", "left_semi")
     g = a.groupBy(F.col("dst").alias("process")).agg(F.count("*").alias("steps"), F.min("step").alias("first_step"), F.array_join(F.array_sort(F.collect_set("src")), ",").alias("symbols"))
-    total = a.agg(F.countDistinct("dst").alias("n"))
-    return g.join(F.broadcast(total)).select("process", "steps", "first_step", "symbols", risk(F.col("n")).alias("risk"))
+    total = a.agg(F.countDistinct("dst")).scalar()
+    return g.withColumn("n", total).select("process", "steps", "first_step", "symbols", risk(F.col("n")).alias("risk"))
 
 
 @book(graph(""", x AS (SELECT a.repo AS ra, b.repo AS rb, a.filePath AS fa, b.filePath AS fb, e.type FROM edges e JOIN code a ON a.id = e.src JOIN code b ON b.id = e.dst WHERE e.type = 'CALLS')

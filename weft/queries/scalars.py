@@ -95,5 +95,5 @@ def json_values(spark, sf):
 @book("SELECT label, count(*) AS n, round(avg(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))), 6) AS distance FROM embeddings GROUP BY label")
 def mean_distance(spark, sf):
     v = table(spark, sf, "embeddings")
-    q = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return v.join(F.broadcast(q)).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(cosine_distance(F.col("embedding"), F.col("q"))), 6).alias("distance"))
+    q = v.where("vec_id = 0").select("embedding").scalar()
+    return v.withColumn("q", q).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(cosine_distance(F.col("embedding"), F.col("q"))), 6).alias("distance"))
