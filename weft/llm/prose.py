@@ -30,7 +30,7 @@ FUNCTION_WORDS = {
     "en": "the a an of to in on for with and or not is are was be has have it this that your you we by as at from if please must",
     "de": "der die das ein eine den dem des und oder nicht ist sind wird im mit von zu auf für bei aus wenn sich bitte",
     "fr": "le la les un une des du de et ou ne pas est sont sur dans pour avec par au aux il ce cette qui que",
-    "es": "el la los las un una del de y o no es son en con por para al se que su lo está cuando como",
+    "es": "el la los las un una del de y o a no es son en con por para al se que su lo está",
     "pt": "o a os as um uma do da dos de e ou não é são em no na com por para ao se que seu",
     "ru": "и в не на с по для из к от до или это как что при если без за о у же то все",
 }
