@@ -154,13 +154,14 @@ class Profiles:
         return cls(ranks, common)
 
     def _word(self, w: str) -> tuple:
-        """Per Latin language the summed rank distance of a word's n-grams, their number, and whether it is a frequent word."""
+        """The number of a word's n-grams, per Latin language their summed rank distance, and its weight as a frequent word:
+        1 if it is one of this language only, less if of several, 0 if of none."""
         v = self.words.get(w)
         if v is None:
             if len(self.words) > 200_000:
                 self.words.clear()
             g = _grams(w)
-            v = self.words[w] = (len(g), tuple(sum(self.ranks[x].get(y, RANKS) for y in g) for x in self.latin), tuple(w in self.common[x] for x in self.latin))
+            v = self.words[w] = (len(g), tuple(sum(self.ranks[x].get(y, RANKS) for y in g) for x in self.latin), tuple((w in self.common[x]) / max(1, sum(w in self.common[y] for y in self.latin)) for x in self.latin))
         return v
 
     def phrase(self, s: str) -> str | None:
@@ -189,7 +190,7 @@ class Profiles:
             known = self.common.get("ru", frozenset())
             total, n = sum(sum(self.ranks["ru"].get(y, RANKS) for y in _grams(w)) for w in words) if "ru" in self.ranks else 0, sum(len(_grams(w)) for w in words)
             return "ru" if not self.ranks.get("ru") or total / n / RANKS < REJECT or any(w in known for w in words) else None
-        n, dist, common = 0, [0] * len(self.latin), [0] * len(self.latin)
+        n, dist, common, frequent = 0, [0] * len(self.latin), [0.0] * len(self.latin), [0] * len(self.latin)
         seen = set()
         for w in words:
             k, d, c = self._word(w)
@@ -200,10 +201,11 @@ class Profiles:
                 seen.add(w)
                 for i, x in enumerate(c):
                     common[i] += x
+                    frequent[i] += x > 0
         if not n:
             return None
-        best = min(range(len(dist)), key=lambda i: dist[i] - RANKS * 3 * common[i], default=None)
-        if best is None or dist[best] / n / RANKS > REJECT or common[best] < max(1, len(words) // 8):
+        best = min(range(len(dist)), key=lambda i: dist[i] - RANKS * 12 * common[i], default=None)
+        if best is None or dist[best] / n / RANKS > REJECT or frequent[best] < max(1, len(words) // 8):
             return None
         return self.latin[best]
 
