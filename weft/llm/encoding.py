@@ -30,6 +30,11 @@ class Bpe:
         self.ranks = vocabulary
         self.bytes = {v: k for k, v in vocabulary.items()}
         self.longest = max(map(len, vocabulary))
+        #: First two bytes -> length of the longest token that starts with them.
+        self.reach: dict[bytes, int] = {}
+        for token in vocabulary:
+            if len(token) > 1:
+                self.reach[token[:2]] = max(self.reach.get(token[:2], 1), len(token))
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         for token, rank in sorted(vocabulary.items(), key=lambda x: x[1]):
@@ -40,6 +45,7 @@ class Bpe:
                     self.merged[p] = rank
         self.valid = lru_cache(maxsize=1_000_000)(self._valid)
         self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def _halves(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The last merge of a token: its bytes merged with the ranks below its own."""
@@ -74,15 +80,24 @@ class Bpe:
                 bound, right = right + 1, b[0]
 
     def last_tokens(self, piece: bytes, known: list[int] | None = None) -> list[int]:
-        """For each prefix length 1..n the one token its encoding ends with; ``known`` are those of a shorter prefix."""
+        """For each prefix length 1..n the one token its encoding ends with; ``known`` are those of a shorter prefix.
+
+        Tokens are tried from each start on, up to the longest token with the two bytes there; of those that end at a place
+        the one that may follow the prefix before it is the last token, and there is exactly one.
+        """
         last = list(known or [])
-        ranks, valid, n = self.ranks, self.valid, len(piece)
-        for i in range(len(last) + 1, n + 1):
-            for j in range(max(0, i - self.longest), i):
+        ranks, valid, reach, n, base = self.ranks, self.valid, self.reach, len(piece), len(last)
+        ending: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        for j in range(max(0, base - self.longest), n):
+            for i in range(max(j, base) + 1, min(n, j + reach.get(piece[j : j + 2], 1)) + 1):
                 t = ranks.get(piece[j:i])
-                if t is not None and (j == 0 or valid(last[j - 1], t)):
-                    last.append(t)
-                    break
+                if t is not None:
+                    ending[i].append((j, t))
+            if j >= base:
+                for start, t in ending[j + 1]:
+                    if start == 0 or valid(last[start - 1], t):
+                        last.append(t)
+                        break
         return last
 
     def walk(self, last: list[int], end: int | None = None) -> list[int]:
@@ -105,12 +120,24 @@ class Bpe:
                 self.pieces[piece] = e
         return e
 
+    def word(self, w: str) -> tuple[int, ...]:
+        """The encoding of a piece given as text, remembered by the text itself so that frequent pieces are one lookup."""
+        e = self.encode_piece(w.encode("utf-8", "replace"))
+        if len(w) <= REMEMBER:
+            if len(self.words) >= BOUND:
+                self.words.clear()
+            self.words[w] = e
+        return e
+
+    def count(self, text: str) -> int:
+        get, word = self.words.get, self.word
+        return sum([len(get(w) or word(w)) for w in _SPLIT.findall(text)])
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        get, one, extend = self.pieces.get, self.encode_piece, out.extend
+        get, word = self.words.get, self.word
         for w in _SPLIT.findall(text):
-            b = w.encode("utf-8", "replace")
-            extend(get(b) or one(b))
+            out += get(w) or word(w)
         return out
 
 
@@ -187,7 +214,7 @@ def token_counts(documents: DataFrame, *keep: str, folder: str = TOKENIZERS, nam
     def run(batches):
         b = bpe(folder, name)
         for pdf in batches:
-            yield pdf[list(keep)].assign(tokens=[len(b.encode(t)) if isinstance(t, str) and t else 0 for t in pdf["text"]])
+            yield pdf[list(keep)].assign(tokens=[b.count(t) if isinstance(t, str) and t else 0 for t in pdf["text"]])
 
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep) + ", tokens long"
     return documents.select(*keep, "text").mapInPandas(run, schema)
