@@ -94,34 +94,52 @@ def tail_of(text: str | None) -> tuple[str, str, str]:
     return "open", tail, ("\n" + before)[-LEVELS[-1] :]
 
 
-def context_counts(text: str, into: Counter, borders: Counter, letters: Counter) -> None:
-    """Counts every place inside the text by its longest tail; places right after a border are none."""
+class _Kinds(dict):
+    """Character -> what follows a tail with it: b a border, w a letter, o another character; filled as they come."""
+
+    def __missing__(self, c: int) -> str:
+        ch = chr(c)
+        k = self[c] = "b" if ch in _BORDER else "w" if ch.isalpha() else "o"
+        return k
+
+
+_KINDS = _Kinds()
+
+
+def contexts(text: str) -> list[str]:
+    """Every place inside the text as its longest tail and the kind of what follows; places after a border are none."""
     s = normal(text)
     for sign in (_SAID, _SIGN):
         signed = sign.search(s)
         if signed:
             s = s[: signed.start()].rstrip()
     s = "\n" + s
-    k = LEVELS[-1]
-    places = [s[i - k if i > k else 0 : i] for i in range(2, len(s)) if s[i - 1] not in _BORDER]
-    into.update(places)
-    letters.update(s[i - k if i > k else 0 : i] for i in range(2, len(s)) if s[i].isalpha() and s[i - 1] not in _BORDER)
-    borders.update(s[i - k if i > k else 0 : i] for i in range(2, len(s)) if s[i] in _BORDER and s[i - 1] not in _BORDER)
+    kinds, k = s.translate(_KINDS), LEVELS[-1]
+    out = [s[:i] + kinds[i] for i in range(2, min(k, len(s))) if kinds[i - 1] != "b"]
+    out += [s[i - k : i] + kinds[i] for i in range(max(2, k), len(s)) if kinds[i - 1] != "b"]
+    return out
 
 
 def _count(batches):
-    n, b, w = Counter(), Counter(), Counter()
+    seen = Counter()
 
     def flush():
-        out = pd.DataFrame({"tail": list(n), "n": list(n.values()), "b": [b[x] for x in n], "w": [w[x] for x in n]})
-        for c in (n, b, w):
-            c.clear()
-        return out
+        n: dict[str, list[int]] = {}
+        for x, c in seen.items():
+            e = n.setdefault(x[:-1], [0, 0, 0])
+            e[0] += c
+            if x[-1] == "b":
+                e[1] += c
+            elif x[-1] == "w":
+                e[2] += c
+        seen.clear()
+        v = list(n.values())
+        return pd.DataFrame({"tail": list(n), "n": [x[0] for x in v], "b": [x[1] for x in v], "w": [x[2] for x in v]})
 
     for pdf in batches:
         for t in pdf["text"]:
-            context_counts(t, n, b, w)
-            if len(n) > 150_000:
+            seen.update(contexts(t))
+            if len(seen) > 200_000:
                 yield flush()
     yield flush()
 
