@@ -30,10 +30,13 @@ _BORDER = ".!?。！？\n"
 _SIGN = re.compile(r"[ \t]*(?:\.{2,}|…|\[(?:\.\.\.|…)\]|\(\.\.\.\))[ \t]*\Z")
 #: Words that say a text was cut (fixed values).
 _SAID = re.compile(r"[ \t]*[\[(<{](?:truncated|more|continued|cont\.?|cut|cut off|snip|snipped|read more|see more|gekürzt|tronqué|truncado|cortado|обрезано|截断|省略)[\])>}][ \t]*\Z", re.I)
-_SPACES = re.compile(r"[^\S\n]+")
+#: Runs of white space in a line that aren't one plain space.
+_SPACES = re.compile(r"(?: ?[^\S\n ]|  )[^\S\n]*")
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 _TABLE_ROW = re.compile(r"^\|.*\|$", re.M)
-_WHOLE = re.compile(r"```[^`]*```|`[^`\n]*`|https?://\S*[\w/]|\b[\w.-]+(?:/[\w.-]+)+\.\w{1,4}\b|\b\w+\(\)|#\d+|\d+")
+_PATH, _CALL = r"|\b[\w.-]+(?:/[\w.-]+)+\.\w{1,4}\b", r"|\b\w+\(\)"
+#: Complete codes, links, references and numbers; paths and calls are looked for only in texts that have their signs.
+_WHOLE = {(p, c): re.compile(r"```[^`]*```|`[^`\n]*`|https?://\S*[\w/]" + _PATH * p + _CALL * c + r"|#\d+|\d+") for p in (False, True) for c in (False, True)}
 _REFERENCES = re.compile(r"(?:[ \t]*[(（]?(?:```x```|`x`|u://x|x/x\.x|x\(\)|#0)[)）]?)+\Z")
 #: A title or field line: a short list of plain words after its key, where only a cut inside a word can be seen.
 _TITLE = re.compile(r"(?:\A|\n)(?:\w+(?:\([\w./-]+\))?!?: |:\w+[^:\n]{0,40}: |#+ )[a-z0-9_-]+(?: [a-z0-9_-]+){0,3}\Z")
@@ -55,9 +58,16 @@ def _stand_in(m: re.Match[str]) -> str:
 
 def normal(text: str) -> str:
     """Composed letters, plain spaces and line ends; complete codes, links, references and numbers as one stand-in each."""
-    t = _INVISIBLE.sub("", unicodedata.normalize("NFC", text))
+    t = text if text.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFC", text))
     t = _SPACES.sub(" ", t.replace("\r\n", "\n").replace("\r", "\n")).strip()
-    return _WHOLE.sub(_stand_in, _TABLE_ROW.sub("|x|", t))
+    if "|" in t:
+        t = _TABLE_ROW.sub("|x|", t)
+    return _WHOLE["/" in t, "()" in t].sub(_stand_in, t)
+
+
+def _at_end(pattern: re.Pattern[str], t: str) -> re.Match[str] | None:
+    """A sign of a cut ends a text and is short, so the search starts close to the end."""
+    return pattern.search(t, max(0, len(t) - 64))
 
 
 def tail_of(text: str | None) -> tuple[str, str, str]:
@@ -70,11 +80,11 @@ def tail_of(text: str | None) -> tuple[str, str, str]:
         return "blank", "", ""
     if t[-1] == "\ufffd":
         return "broken", "", ""
-    said = _SAID.search(t)
+    said = _at_end(_SAID, t)
     if said:
         s = t[: said.start()].rstrip()
         return ("whole" if not s or s[-1] in ".!?。！？" else "broken"), "", ""
-    signed = _SIGN.search(t)
+    signed = _at_end(_SIGN, t)
     s = t[: signed.start()].rstrip() if signed else t
     if not s:
         return "blank", "", ""
@@ -110,7 +120,7 @@ def contexts(text: str) -> list[str]:
     """Every place inside the text as its longest tail and the kind of what follows; places after a border are none."""
     s = normal(text)
     for sign in (_SAID, _SIGN):
-        signed = sign.search(s)
+        signed = _at_end(sign, s)
         if signed:
             s = s[: signed.start()].rstrip()
     s = "\n" + s
@@ -147,7 +157,7 @@ def _count(batches):
 def _tails(batches):
     for pdf in batches:
         st = [tail_of(t) for t in pdf["text"]]
-        signed = [isinstance(t, str) and _SIGN.search(t.rstrip()) is not None for t in pdf["text"]]
+        signed = [isinstance(t, str) and _at_end(_SIGN, t.rstrip()) is not None for t in pdf["text"]]
         yield pdf.drop(columns="text").assign(state=[x[0] for x in st], tail=[x[1] for x in st], before=[x[2] for x in st], signed=signed)
 
 
