@@ -852,11 +852,6 @@ class TypeScript(JavaScript):
     def modifiers(self) -> None:
         while self.s[self.i] in kws("public private protected readonly override") and self.s[self.i + 1] not in ",):=?":
             self.i += 1
-        if self.at(K("this")):  # a this parameter
-            self.i += 1
-            self.annotation()
-            self.i -= 1
-            self.fail("this parameter") if self.s[self.i] == "\0" else None
 
     def signature(self) -> None:
         self.type_params()
@@ -1086,8 +1081,6 @@ class TypeScript(JavaScript):
         return kws("public private protected readonly abstract declare override accessor")
 
     def member_rest(self) -> None:
-        if self.s[self.i - 1] == "]" and False:
-            return
         self.eat("?") or self.eat("!")
         if self.at("(<"):
             self.signature()
@@ -1136,7 +1129,8 @@ class TypeScript(JavaScript):
 
     def primary(self) -> None:
         if self.at("<"):
-            self.type_params() if self.attempt(self.generic_arrow) is False else None
+            if not self.attempt(self.generic_arrow):
+                self.fail("expected an expression")
             return
         super().primary()
 
@@ -1722,7 +1716,6 @@ class CSharp(Typed):
             if self.eat(">"):
                 return
             self.i += 1
-        self.i -= 0
         while True:
             self.eat(K("in"))
             self.eat(K("out"))

@@ -1701,7 +1701,7 @@ class Rust(Parser):
             if self.at(".?"):
                 self.post()
                 self.climb()
-            elif self.at(";}\0") or True:
+            else:
                 return
         self.expr()
 
@@ -1736,8 +1736,6 @@ class Rust(Parser):
 
     def unary(self) -> None:
         while self.s[self.i] in self.prefix:
-            if self.s[self.i] == "+" and False:
-                self.fail()
             self.i += 1
             if self.s[self.i - 1] in "&n":
                 self.eat(K("mut"))
