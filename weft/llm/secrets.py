@@ -56,6 +56,8 @@ _AUTH = re.compile(r"\b(Basic|Bearer|Token|Digest)[ \t]+([A-Za-z0-9+/=_.~*-]{8,}
 _KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_LINE = re.compile(r"[A-Za-z0-9+/=]{16,}")
+#: What a block of known ends is read by: escapes, header lines, quotes, and runs of base64 of any length.
+_KEY_PIECE = re.compile(r"""\\+(?:u[0-9a-fA-F]{4}|[\s\S])|(?:Version|Comment|Charset|Hash):[ \t][^\r\n\\"']*|[A-Za-z][A-Za-z-]*:[ \t]+[^\s\\"']*|(?P<quote>["'])|(?P<run>[+/=]*[A-Za-z0-9][A-Za-z0-9+/=]*)""")
 _PEM_ANY = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
 #: Strings and configured values long enough to be judged by their subwords.
 _LONE = re.compile(r"""(["'`])([A-Za-z0-9+/=_.~!@#$%^&*-]{16,200})\1""")
@@ -140,6 +142,24 @@ def _read_string(text: str, at: int, joint: str = "+") -> tuple[list[tuple[int,
     return (parts, "".join(value), at) if parts else None
 
 
+def _key_runs(text: str, begin: int, at: int, stop: int) -> list[tuple[int, int]]:
+    """Spans of the key's characters between the end ``at`` of the BEGIN line and ``stop``, a last line of any length too.
+
+    Header lines and escapes are left. Of a block in quoted literals, short runs count within the quotes only.
+    """
+    q = text[begin - 1 : begin]
+    literals = q in ("'", '"') and text[max(0, begin - 3) : begin] != q * 3
+    within = q if literals else ""
+    out = []
+    for m in _KEY_PIECE.finditer(text, at, stop):
+        if m["run"]:
+            if within or not literals or len(m["run"]) >= LONG:
+                out.append(m.span())
+        elif m["quote"] and literals:
+            within = m["quote"] if not within else "" if within == m["quote"] else within
+    return out
+
+
 def find_secrets(text: str, folder: str = TOKENIZERS, config: bool = False) -> list[tuple[str, list[tuple[int, int]]]]:
     """All credentials of a text as (kind, parts): parts are the (start, end) spans of the secret characters, in order.
 
@@ -176,6 +196,8 @@ def find_secrets(text: str, folder: str = TOKENIZERS, config: bool = False) -> l
                     at = b
                 lines = kept
             if lines and text.count("\n", m.end(), lines[0][0]) <= 4:
+                if end and stop != len(text):
+                    lines = _key_runs(text, m.start(), m.end(), stop)
                 found.append(("private key", [(m.start(), m.end()), *lines]))
                 taken.append((m.start(), end.end() if end and stop != len(text) else lines[-1][1]))
     if "://" in text and "@" in text:
