@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weft import catalog
 from weft.functions.text import framework_factor, is_test, name_factor, normal_path
 from weft.operators.derive import cluster_rollup, cohesion, community_names, entry_points, longest_per_ends, propagate_labels, structure, without_contained
-from weft.operators.dml import delete_files, referential, update_columns, upsert, write_graph
+from weft.operators.dml import delete_files, read_csv, referential, update_columns, upsert, write_csv, write_graph
 from weft.operators.resolve import longest_prefix, resolve_calls, resolve_imports
 from weft.operators.search import bm25, nearest, reciprocal_ranks
 from weft.plans.patterns import Step, match, oriented, top_n
@@ -169,3 +170,22 @@ def test_text_functions(spark):
     one = spark.range(1)
     got = one.select(normal_path(F.lit("a/./b/../c")).alias("p"), is_test(F.lit("src/a.test.ts")).alias("t"), name_factor(F.lit("getUser")).alias("u"), name_factor(F.lit("main")).alias("m"), framework_factor(F.lit("src/routes/x.ts")).alias("f")).first()
     assert tuple(got) == ("a/c", True, 0.3, 1.5, 2.5)
+
+
+def test_csv_keeps_every_value(spark, tmp_path):
+    values = [None, "", "\\N", "\\\\N", "\\", "a\r\nb", "a\rb\n", "\r", "\n", " x ", "\tx\t", " \r\n ", 'q"q', '"', '\\"', "a,b", "\x00z", "\ufeffx", "x" * 70_000]
+    df = spark.createDataFrame([(i, None if i % 5 == 4 else f"id{i}", v) for i, v in enumerate(values)], "seq long, id string, content string")
+    write_csv(df, f"{tmp_path}/csv")
+    got = read_csv(spark, f"{tmp_path}/csv", "seq long, id string, content string")
+    assert rows(got, "seq", "id", "content") == rows(df, "seq", "id", "content")
+
+
+def test_whole_tables(spark, sf):
+    q = catalog.QUERIES
+    nodes_, codes = spark.read.parquet(f"{sf}/embeddable_nodes.parquet"), spark.read.parquet(f"{sf}/parsed_nodes.parquet")
+    back = q["csv_round_trip_all"](spark, sf)
+    assert back.exceptAll(nodes_.select(*back.columns)).isEmpty() and back.count() == nodes_.count() and back.where("contains(content, '\r')").count() > 0
+    assert q["json_export_all"](spark, sf).count() == codes.count() and q["first_lines_all"](spark, sf).count() == nodes_.where("content is not null").count()
+    for name in ("path3", "first_lines", "optional_neighbors", "json_export"):
+        few, all_ = q[name](spark, sf), q[f"{name}_all"](spark, sf)
+        assert few.exceptAll(all_).isEmpty() and few.count() < all_.count()

@@ -50,10 +50,19 @@ def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     edges.repartition("type").write.mode("overwrite").partitionBy("type").parquet(f"{folder}/edges")
 
 
+#: Line ends are "\n" only, so that others stay as they are within quotes; blanks at the edges of a value are kept.
+_CSV = {"header": True, "quoteAll": True, "escape": '"', "lineSep": "\n", "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _by_type(df: DataFrame, change) -> DataFrame:
+    return df.select(*[change(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+
+
 def write_csv(df: DataFrame, folder: str) -> None:
-    """RFC 4180 text: every string quoted, quotes doubled."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").csv(folder)
+    """RFC 4180 text: every string quoted, quotes doubled; null is ``\\N``, and a value that reads so gets one more backslash."""
+    _by_type(df, lambda c: F.when(c.rlike(r"\A\\+N\z"), F.concat(F.lit("\\"), c)).otherwise(c)).write.mode("overwrite").options(emptyValue='""', **_CSV).csv(folder)
 
 
 def read_csv(spark, folder: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").csv(folder)
+    """What ``write_csv`` wrote, value by value."""
+    return _by_type(spark.read.schema(schema).options(multiLine=True, emptyValue="", **_CSV).csv(folder), lambda c: F.when(c.rlike(r"\A\\{2,}N\z"), F.substring(c, 2, 2**31 - 1)).otherwise(c))

@@ -74,16 +74,32 @@ def registry_pruned(spark, sf):
     return r.select("name", F.regexp_replace("path", "/+$", "").alias("path"), F.coalesce("stats.files", F.lit(0)).alias("files"))
 
 
+def _round_trip(spark, n, name):
+    folder = f"{ensure_checkpoints(spark)}/{name}"
+    write_csv(n, folder)
+    return read_csv(spark, folder, "seq long, id string, content string")
+
+
 @book("SELECT seq, id, content FROM embeddable_nodes WHERE label = 'Class' AND content IS NOT NULL AND NOT contains(content, chr(13))")
 def csv_round_trip(spark, sf):
     """Contents with quotes and line breaks, written as CSV to the shared folder and read again."""
     n = table(spark, sf, "embeddable_nodes").where("label = 'Class' and content is not null and not contains(content, '\r')").select("seq", "id", "content")
-    folder = f"{ensure_checkpoints(spark)}/csv-{abs(hash(sf)) % 10**8}"
-    write_csv(n, folder)
-    return read_csv(spark, folder, "seq long, id string, content string")
+    return _round_trip(spark, n, f"csv-{abs(hash(sf)) % 10**8}")
+
+
+@book("SELECT seq, id, content FROM embeddable_nodes")
+def csv_round_trip_all(spark, sf):
+    """All rows, with every line end and with null and empty contents, written as CSV to the shared folder and read again."""
+    return _round_trip(spark, table(spark, sf, "embeddable_nodes").select("seq", "id", "content"), f"csv-all-{abs(hash(sf)) % 10**8}")
 
 
 @book("SELECT id, label, to_json(struct_pack(name := name, repo := repo)) AS body FROM parsed_nodes WHERE label = 'Interface' AND name IS NOT NULL AND repo IS NOT NULL")
 def json_export(spark, sf):
     n = table(spark, sf, "parsed_nodes").where("label = 'Interface' and name is not null and repo is not null")
     return n.select("id", "label", F.to_json(F.struct("name", "repo")).alias("body"))
+
+
+@book("SELECT id, label, to_json(struct_pack(name := name, repo := repo)) AS body FROM parsed_nodes")
+def json_export_all(spark, sf):
+    """All rows; a null name or repository is written as null."""
+    return table(spark, sf, "parsed_nodes").select("id", "label", F.to_json(F.struct("name", "repo"), {"ignoreNullFields": "false"}).alias("body"))

@@ -116,6 +116,15 @@ def optional_neighbors(spark, sf):
     return both.join(n.where(F.col("repo") == REPO).select("id"), "id", "left_semi")
 
 
+@book(graph(""", named AS (SELECT id, name FROM nodes WHERE name IS NOT NULL),
+    o AS (SELECT e.src AS id, list_sort(list(DISTINCT e.type || ':' || n.name)) AS l FROM edges e JOIN named n ON n.id = e.dst GROUP BY e.src),
+    i AS (SELECT e.dst AS id, list_sort(list(DISTINCT e.type || ':' || n.name)) AS l FROM edges e JOIN named n ON n.id = e.src GROUP BY e.dst)
+    SELECT s.id, coalesce(array_to_string(o.l[1:3], ','), '') AS outgoing, coalesce(array_to_string(i.l[1:3], ','), '') AS incoming FROM nodes s LEFT JOIN o ON o.id = s.id LEFT JOIN i ON i.id = s.id"""))
+def optional_neighbors_all(spark, sf):
+    """The nodes of all repositories and of none."""
+    return optional_lists(nodes(spark, sf), edges(spark, sf))
+
+
 @book(graph("SELECT DISTINCT n.id, m.dst AS community, p.dst AS process FROM nodes n JOIN edges m ON m.src = n.id AND m.type = 'MEMBER_OF' JOIN edges p ON p.src = n.id AND p.type = 'STEP_IN_PROCESS' WHERE n.label = 'Function'"))
 def two_hop(spark, sf):
     e = edges(spark, sf)
@@ -153,6 +162,14 @@ def path3(spark, sf):
     return j.select("start", "finish", F.lit(3).alias("depth")).distinct()
 
 
+@book(graph(f", c AS (SELECT DISTINCT src, dst FROM {_HOP}) SELECT DISTINCT a.src AS start, d.dst AS finish, 3 AS depth FROM c a JOIN c b ON b.src = a.dst JOIN c d ON d.src = b.dst"))
+def path3_all(spark, sf):
+    """From every node; ends of two hops are made distinct before the third."""
+    c = edges(spark, sf).where("type = 'CALLS' and confidence >= 0.8").select("src", "dst").distinct()
+    two = c.toDF("start", "a").join(c.toDF("a", "b"), "a").select("start", "b").distinct()
+    return two.join(c.toDF("b", "finish"), "b").select("start", "finish", F.lit(3).alias("depth")).distinct()
+
+
 @book(graph(", x AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'EXTENDS') SELECT src || '>' || dst AS path, 1 AS hops FROM x UNION SELECT a.src || '>' || a.dst || '>' || b.dst, 2 FROM x a JOIN x b ON b.src = a.dst"))
 def varlen_path(spark, sf):
     """Paths of one to two hops with their nodes in order."""
@@ -295,3 +312,9 @@ def contains_join(spark, sf):
 @book("SELECT seq, string_split(content, chr(10))[1] AS first_line FROM embeddable_nodes WHERE content IS NOT NULL AND label = 'Interface'")
 def first_lines(spark, sf):
     return table(spark, sf, "embeddable_nodes").where("content is not null and label = 'Interface'").select("seq", F.split("content", "\n")[0].alias("first_line"))
+
+
+@book("SELECT seq, string_split(content, chr(10))[1] AS first_line FROM embeddable_nodes WHERE content IS NOT NULL")
+def first_lines_all(spark, sf):
+    """Of every content; an empty one has the empty line."""
+    return table(spark, sf, "embeddable_nodes").where("content is not null").select("seq", F.split("content", "\n")[0].alias("first_line"))
