@@ -120,6 +120,28 @@ def test_key_blocks_keep_headers_and_code():
     assert find_secrets(empty) == []
 
 
+def opaque(n):
+    r = random.Random(n)
+    return "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+
+
+@pytest.mark.parametrize("n", [119, 121, 201, 3000])
+def test_long_values_under_neutral_names(n):
+    for value in (opaque(n), f"eyJ{opaque(40)}.{opaque(n)}.{opaque(43)}"):
+        for text, config in ((f'const handle = "{value}";\n', False), (f"handle: {value}\n", True)):
+            assert value not in redact(text, find_secrets(text, config=config))
+    for text in (f'const blob = "{opaque(n)}";\n', f'export default "{opaque(n)}";\n', f'const logo = "iVBORw0KGgo{opaque(n)}";\n'):
+        assert find_secrets(text) == []
+
+
+@pytest.mark.parametrize("name, parts", [("handle", 4), ("handle", 60), ("api_secret", 60)])
+def test_values_of_many_parts(name, parts):
+    values = [opaque(40 + i) for i in range(parts)]
+    text = f"{name} = " + " + ".join(f'"{v}"' for v in values) + "\n"
+    found = find_secrets(text)
+    assert len(found) == 1 and redact(text, found) == f"{name} = " + " + ".join(f'"{"*" * len(v)}"' for v in values) + "\n"
+
+
 def test_credential_tables(spark):
     rows = [("File:a.py", None, 1), ("File:b.yml", "", 2), ("File:c.yml", 'smtp_pass: "xY9!kk22"\n', 3), ("File:c.yml", 'smtp_pass: "xY9!kk22"\n', 4), (None, "secret = 'q'", 5), ("File:d.py", "x" * 100_000, 6)]
     files = spark.createDataFrame(rows, "id string, content string, seq long")

@@ -60,8 +60,10 @@ _KEY_LINE = re.compile(r"[A-Za-z0-9+/=]{16,}")
 _KEY_PIECE = re.compile(r"""\\+(?:u[0-9a-fA-F]{4}|[\s\S])|(?:Version|Comment|Charset|Hash):[ \t][^\r\n\\"']*|[A-Za-z][A-Za-z-]*:[ \t]+[^\s\\"']*|(?P<quote>["'])|(?P<run>[+/=]*[A-Za-z0-9][A-Za-z0-9+/=]*)""")
 _PEM_ANY = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
 #: Strings and configured values long enough to be judged by their subwords.
-_LONE = re.compile(r"""(["'`])([A-Za-z0-9+/=_.~!@#$%^&*-]{16,200})\1""")
-_LONE_CONFIG = re.compile(r"""^[ \t]*(?:[#;]+[ \t]*|//[ \t]*)?(?:export[ \t]+|-[ \t]+)?["']?([A-Za-z_][\w.-]*)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9+/=_.~-]{16,200})["']?,?[ \t]*\r?$""", re.M)
+_LONE = re.compile(r"""(["'`])([A-Za-z0-9+/=_.~!@#$%^&*-]{16,})\1""")
+_LONE_CONFIG = re.compile(r"""^[ \t]*(?:[#;]+[ \t]*|//[ \t]*)?(?:export[ \t]+|-[ \t]+)?["']?([A-Za-z_][\w.-]*)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9+/=_.~-]{16,})["']?,?[ \t]*\r?$""", re.M)
+#: First characters of pictures, fonts, archives and documents in base64.
+_MEDIA = re.compile(r"iVBORw0KGgo|/9j/|R0lGODlh|UklGR|d09G[RM]|T1RUTw|AAEAAAA|UEsDB|H4sI|JVBERi|PHN2Zy|PD94bWw|AAAAHGZ0eX|SUQz|T2dnUw|TVqQ|AGFzbQ")
 _NAME_BEFORE = re.compile(r"""([A-Za-z_$][\w.$-]*)["'\])]*(?:\s*:\s*(?:&?\s*(?:'\w+\s+)?[A-Za-z_][\w.<>\[\]]*))?(?:\s*\[\s*\])?\s*(?::=|=>|=|:)[ \t]*(?:[rRbBuUfF$@L]{0,2})\Z""")
 
 
@@ -129,11 +131,11 @@ def _read_string(text: str, at: int, joint: str = "+") -> tuple[list[tuple[int,
         if joint != "+":
             while at < len(text) and text[at] in ", \t\r\n":
                 at += 1
-            if len(parts) > 50 or not _QUOTE.match(text, at):
+            if not _QUOTE.match(text, at):
                 break
             continue
         j = _CONCAT.match(text, at)
-        if not j or len(parts) > 50 or ("+" not in j.group() and "\n" not in j.group() and j.group().strip() != "."):
+        if not j or ("+" not in j.group() and "\n" not in j.group() and j.group().strip() != "."):
             break
         at2 = j.end()
         if not _QUOTE.match(text, at2):
@@ -285,13 +287,10 @@ def find_secrets(text: str, folder: str = TOKENIZERS, config: bool = False) -> l
                 continue
             if not (unnatural(v, folder) or _prefixed(v)) or not re.search(r"\d", v) and not re.search(r"[a-z][A-Z]|[A-Z]{2}[a-z]", v):
                 continue
-            if len(v) > 120 and not v.startswith("eyJ"):
+            if len(v) > 120 and _MEDIA.match(v):
                 continue
             s = _read_string(text, a - 1) if not unquoted else None
-            parts = s[0] if s else [(a, b)]
-            if len(parts) > 3:
-                continue
-            take("unnatural value", parts)
+            take("unnatural value", s[0] if s else [(a, b)])
     found.sort(key=lambda x: x[1][0])
     return found
 
