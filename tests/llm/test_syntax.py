@@ -103,6 +103,28 @@ def test_deep_nesting_does_not_crash():
     assert isinstance(check_syntax("x = " + "[" * 3000 + "]" * 3000 + "\n", "python"), list)
 
 
+CHAINS = {
+    "javascript": ("function f(a) {\n%s\n}\n", "if (a == 1) { return 1; }"), "typescript": ("function f(a: number) {\n%s\n}\n", "if (a == 1) { return 1; }"), "java": ("class A { int f(int a) {\n%s\nreturn 0; } }\n", "if (a == 1) { return 1; }"),
+    "csharp": ("class A { int f(int a) {\n%s\nreturn 0; } }\n", "if (a == 1) { return 1; }"), "c": ("int f(int a) {\n%s\nreturn 0; }\n", "if (a == 1) { return 1; }"), "cpp": ("int f(int a) {\n%s\nreturn 0; }\n", "if (a == 1) { return 1; }"),
+    "go": ("package p\nfunc f(a int) int {\n%s\nreturn 0\n}\n", "if a == 1 { return 1 }"), "rust": ("fn f(a: i32) -> i32 {\n%s\n return 0; }\n", "if a == 1 { return 1; }"),
+}
+
+
+@pytest.mark.parametrize("lang", CHAINS)
+def test_long_chains_and_later_errors(lang):
+    frame, branch = CHAINS[lang]
+    text = frame % "\nelse ".join([branch] * 1500)
+    if lang == "go":
+        text = frame % " else ".join([branch] * 1500)
+    assert check_syntax(text, lang) == []
+    assert [n for n, _ in check_syntax(text + frame % "x = ;", lang)][0] > text.count("\n")
+
+
+def test_deep_brackets_are_valid():
+    for lang, end in (("javascript", ";"), ("python", "")):
+        assert check_syntax("x = " + "[" * 3000 + "1" + "]" * 3000 + end + "\n", lang) == []
+
+
 def test_tables(spark):
     rows = [(1, "File:a.py", "r", "x = (\n", 9), (2, "File:a.py", "r", "x = (\n", 9), (3, "File:b.py", None, "x = 1\n", 9), (4, "File:c.py", "r", None, 9), (5, "File:d.txt", "r", "(", 9), (6, None, "r", "x", 9), (7, "File:e.py", "r", "", 9)]
     files = spark.createDataFrame(rows, "seq long, id string, repo string, content string, errors int")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from contextlib import contextmanager
 
 from .lexing import KEYWORD, class_string, kw, kws, offsets
 from .parsing import BASE_POWER, MEMO_BOUND, CSharp, Fail, Java, JavaScript, Parser, TypeScript
@@ -2563,6 +2565,17 @@ def python_errors(text: str, s: str, toks: list[str], table) -> list[tuple[int,
 PARSERS = {"javascript": JavaScript, "typescript": TypeScript, "java": Java, "csharp": CSharp, "c": C, "cpp": Cpp, "go": Go, "rust": Rust}
 
 
+@contextmanager
+def deep(tokens: int):
+    """Lets a parser recurse as far as so many tokens can nest; Python's own calls take no C stack."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(before + 16 * tokens)
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
 def check_syntax(text: str, lang: str) -> list[tuple[int, str]]:
     """All errors of a file as (line from 1, message), in the order found; empty if it parses."""
     from .lexing import classes_of, tokens
@@ -2570,11 +2583,13 @@ def check_syntax(text: str, lang: str) -> list[tuple[int, str]]:
     if lang == "python":
         toks, table = tokens(text.lstrip("﻿"), lang), classes_of(lang)
         s = "".join(map(table.__getitem__, toks))
-        errors = python_errors(text, s, toks, table)
+        with deep(len(s)):
+            errors = python_errors(text, s, toks, table)
     else:
         s = class_string(text.lstrip("﻿"), lang)
         p = PARSERS[lang](s)
-        errors = p.program()
+        with deep(len(s)):
+            errors = p.program()
         if p.newlines and errors:  # places in the string without line breaks -> with them
             if lang == "go":
                 s = Go._auto.sub(";", s)
