@@ -208,6 +208,16 @@ def test_phrases(model):
     assert extract("# one\n# two\nx = 'literal'\n", "python") == [("comment", "# one\n# two"), ("literal", "literal")]
 
 
+def test_wrapped_phrases_count_in_any_order(model):
+    whole = "// The loader keeps every stale node because the order matters here\nf();\n"
+    wrapped = "// The loader keeps\n// Every stale node\n// When it can\ng();\n"
+    a, b = phrases(whole + wrapped, "javascript", model), phrases(wrapped + whole, "javascript", model)
+    alone = [phrases(x, "javascript", model)["en"] for x in (whole, wrapped)]
+    assert a == b == {"en": (2, alone[0][1] + alone[1][1])}
+    tail = "// Das Modul prüft alle Importe und schreibt danach den\n// Index Neu.\nh();\n"
+    assert phrases(tail, "javascript", model)["de"][1] == len("Das Modul prüft alle Importe und schreibt danach den") + len("Index Neu.")
+
+
 def test_prose_tables(spark, model):
     rows = [("File:a.py", "# The loader keeps every stale node because the order matters here\nx = (\n", "en"), ("File:a.py", "# The loader keeps every stale node because the order matters here\nx = (\n", "en"), ("File:b.py", None, ""), ("File:c.txt", "The loader keeps every stale node because", ""), ("File:d.py", "", "")]
     files = spark.createDataFrame(rows, "id string, content string, lang string")

@@ -64,6 +64,8 @@ _KEYBLOCK = re.compile(r"-----(?:BEGIN|END) [A-Z ]+-----|[A-Za-z0-9+/=]{32,}")
 _HAN, _KANA, _CYR = re.compile(r"[\u3400-\u9fff]"), re.compile(r"[\u3040-\u30ff]"), re.compile(r"[\u0400-\u04ff]")
 _CJK_RUN = re.compile(r"[\u3400-\u9fff\u3040-\u30ff\u3005\u30fc、，,]+")
 _END = re.compile(r"(?<=[.!?;:。！？；])\s+|(?<=[。！？；])|\n{2,}")
+#: A line of words only, which can go on with the phrase before it.
+_CONTINUES = re.compile(r"[^\W\d_]+(?:[ ,'’-]+[^\W\d_]+)*[.!?。！？]?")
 _DECOR = re.compile(r"^[ \t]*(?:/\*+|\*+/|\*+|//+[/!]?|#+[:!]?|--+)?[ \t]*|[ \t]*\*+/[ \t]*$")
 
 
@@ -241,7 +243,7 @@ def phrases(text: str, lang: str, model: Profiles) -> dict[str, tuple[int, int]]
                 if x:
                     add(x, s)
             continue
-        rest: list[str] = []
+        rest: list[tuple[str, str | None]] = []  # with the language it is counted in
         joined: list[str] = []
         for line in lines:  # a line that starts small goes on with the phrase of the one before
             if joined and joined[-1] and line and joined[-1][-1] not in ".!?:;。！？" and (line[0].islower() or _short(joined[-1])):
@@ -255,15 +257,32 @@ def phrases(text: str, lang: str, model: Profiles) -> dict[str, tuple[int, int]]
                 for s, x in found:
                     if x:
                         add(x, s)
-                rest.append(line if len(whole) == 1 else whole[-1])
+                rest.append((line if len(whole) == 1 else whole[-1], found[-1][1]))
             else:
-                rest.append(line)
-        # phrases that only become long enough over several lines
-        for s in _END.split(" ".join(rest)):
-            s = s.strip()
+                rest.append((line, None))
+        # phrases that only become long enough over several lines, and short lines that go on with a counted one
+        text_, at = " ".join(s for s, _ in rest), 0
+        places = []
+        for s, x in rest:
+            places.append((at, at + len(s), x))
+            at += len(s) + 1
+        at = 0
+        for m in [*_END.finditer(text_), None]:
+            a, b = at, m.start() if m else len(text_)
+            at = m.end() if m else b
+            s = text_[a:b].strip()
             x = model.phrase(s)
-            if x and x not in out:
+            if not x:
+                continue
+            parts = [(text_[max(a, c) : min(b, d)], y) for c, d, y in places if c < b and a < d]
+            counted = {y for _, y in parts if y}
+            if not counted:
                 add(x, s)
+                continue
+            new = sum(len(p) for p, y in parts if not y and (x not in counted or _CONTINUES.fullmatch(p)))
+            e = out.setdefault(x, [0, 0])
+            e[0] += x not in counted
+            e[1] += new
     return {x: (a, b) for x, (a, b) in out.items()}
 
 
