@@ -2,7 +2,7 @@
 
 One regular expression of the delimiter family finds comments and literals of any language with ``//``, ``/* */``, ``#``
 and quotes; adjacent comment lines are merged, escapes decoded, and each phrase is classified by the distance of its
-n-grams to ranked profiles, with rejection. The profiles are fitted on a bounded sample of labelled documents.
+n-grams to ranked profiles, with rejection. The profiles are fitted on a sample of labelled documents of a fixed expected size.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .lexing import language_of
 
 LANGS = ("en", "de", "fr", "es", "pt", "ru", "zh", "ja")
-#: Labelled documents per language that the profiles are fitted on, at most.
+#: Expected number of labelled documents per language that the profiles are fitted on; all where there are fewer.
 SAMPLE = 250
 #: Ranked n-grams per profile, and frequent short words.
 RANKS, COMMON = 600, 60
@@ -287,9 +287,10 @@ def phrases(text: str, lang: str, model: Profiles) -> dict[str, tuple[int, int]]
 
 
 def fit_profiles(documents: DataFrame, sample: int = SAMPLE) -> Profiles:
-    """Profiles from at most ``sample`` documents of each label; labels are cleaned to their first two letters, others ignored.
+    """Profiles from about ``sample`` documents of each label; labels are cleaned to their first two letters, others ignored.
 
-    The sample is the first ``sample`` texts of a label by a hash of their id, kept in partial aggregates of bounded size.
+    A hash of its id takes each document with probability ``sample`` / documents of its label, so that ``sample`` is the
+    expected size and not a bound.
     """
     lang = F.lower(F.split("lang", "[-_]")[0])
     d = documents.select(lang.alias("lang"), "text", F.abs(F.xxhash64("doc_id")).alias("h")).where(lang.isin(*LANGS) & F.col("text").isNotNull())
