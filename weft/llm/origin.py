@@ -1,14 +1,15 @@
 """Source files that nobody on the project wrote by hand: generated, minified or bundled, copied from outside, or data.
 
-Copies: every file's stream of normalised tokens (names kept, numbers and strings by class, comments dropped) is hashed
-in windows and thinned by winnowing; a file whose fingerprints largely recur in several unrelated repositories or in
-known outside files is a copy, also where parts were cut out or added. The other kinds are told by the shape of the file:
-lines and white space for minified code, kinds of tokens for data, header notes and numbered, uniform members for
-generated code.
+Copies: the stream of tokens of every file, without comments and with numbers and strings by class, is hashed in windows
+and thinned by winnowing, once with names kept and once with names by class, so that renamed copies keep their
+fingerprints. A file is a copy if its named fingerprints largely recur in several unrelated repositories, or if a good part of
+either kind is in one known outside file. The other kinds are measured on the token stream: how much of it repeats itself
+(generated), how short its names and how rare its white space are (minified), and whether it has any statement (data).
 """
 
 from __future__ import annotations
 
+import json
 import re
 from zlib import crc32
 
@@ -17,15 +18,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.session import checkpointed
+
 from .lexing import KEYWORD, PATTERNS, classes_of, kws, language_of, tokens
 
-#: Tokens per window, and windows per winnowing step.
-K, W = 28, 8
+#: Tokens per window with names kept and with names by class, and windows per winnowing step.
+NAMED, SHAPED, W = 16, 40, 8
 #: A fingerprint recurs if it is in so many repositories; a file is a copy if this share of its fingerprints recurs.
-REPOS, SHARE = 4, 0.7
+REPOS, SHARE = 4, 0.6
+#: The share of fingerprints in one known file that makes a copy of it, and the number that there must be of those with
+#: names and of those without, as short files of one language look alike without names.
+KNOWN, LEAST, LEAST_SHAPED = 0.4, 4, 10
+#: A file is generated if this share of its windows of ``UNIT`` token classes stood in it before.
+REPEATED, UNIT = 0.36, 24
+#: Parts of the recurring fingerprints' join, so that one in a third of all files isn't one task's work.
+SALTS = 4
+#: Most fingerprints of known files that are broadcast; more are joined by a shuffle.
+BROADCAST = 1_000_000
 
 _TOKEN_HASH: dict[tuple[str, str], int] = {}
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, K + 1)], dtype=np.uint64)
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, SHAPED + 1)], dtype=np.uint64)
 
 
 def _hash(tok: str, cls: str) -> int:
@@ -34,20 +46,16 @@ def _hash(tok: str, cls: str) -> int:
     if h is None:
         if len(_TOKEN_HASH) > 200_000:
             _TOKEN_HASH.clear()
-        text = tok if cls == "I" or cls[:1] >= KEYWORD or cls not in ("N", "S", "R") else cls
-        b = text.encode("utf-8", "surrogatepass")
+        b = tok.encode("utf-8", "surrogatepass")
         h = _TOKEN_HASH[key] = crc32(b) * 0x100000001 ^ crc32(b, 0x5BD1E995) << 16
     return h & 0xFFFFFFFFFFFFFFFF
 
 
-def fingerprints(text: str, lang: str, toks: list[str] | None = None) -> np.ndarray:
-    """Winnowed window hashes of a file, distinct; a file shorter than a window has none."""
-    table = classes_of(lang)
-    hs = [_hash(t, c) for t in (tokens(text, lang) if toks is None else toks) if (c := table[t]) and c != "\n"]
-    if len(hs) < K:
+def _winnow(hs: list[int], k: int) -> np.ndarray:
+    """Distinct least hashes of each run of ``W`` windows of k tokens; nothing for fewer than k tokens."""
+    if len(hs) < k:
         return np.empty(0, np.int64)
     h = np.array(hs, dtype=np.uint64)
-    k = K
     n = len(h) - k + 1
     with np.errstate(over="ignore"):
         win = np.zeros(n, np.uint64)
@@ -61,6 +69,19 @@ def fingerprints(text: str, lang: str, toks: list[str] | None = None) -> np.ndar
     return np.unique(win).view(np.int64)
 
 
+def fingerprints(text: str, lang: str, toks: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowed window hashes of a file with names kept and with names by class; a file shorter than a window has none."""
+    table = classes_of(lang)
+    named, shaped = [], []
+    for t in tokens(text, lang) if toks is None else toks:
+        c = table[t]
+        if not c or c == "\n":
+            continue
+        named.append(_hash(c if c in ("N", "S", "R") else t, ""))
+        shaped.append(_hash("I" if c in ("I", "U") else c, "c"))
+    return _winnow(named, NAMED), _winnow(shaped, SHAPED)
+
+
 #: Notes of generators in the comments at the head of a file, in several languages (fixed values).
 _NOTE = re.compile(
     r"code generated by|@generated\b|auto-?generated (?:file|code|by|from)|autogenerated file|generated (?:by|from|with) \S+|(?:created|made|written|produced|built) automatically by|automatically (?:generated|created|produced)"
@@ -69,12 +90,15 @@ _NOTE = re.compile(
     r"|сгенерирован|создан автоматически|自动生成|請勿編輯|请勿(?:编辑|修改)|自動生成",
     re.I,
 )
+#: What bundlers leave in a file: names of their run time, and the comment that points to the map of lines (fixed values).
+_BUNDLER = frozenset("__webpack_require__ __webpack_modules__ webpackJsonp __esModule parcelRequire".split())
+_MAP = re.compile(r"(?://|/\*)[#@]\s*sourceMappingURL=")
 _HEAD = re.compile(r"\A(?:\s*(?://[^\n]*|#(?!\s*(?:include|define|if|ifndef|ifdef|pragma)\b)[^\n]*|/\*[\s\S]*?\*/|--[^\n]*))+")
-_NUMBERED = re.compile(r"(?:\w+_)?(?:get_?|set_?)?_?[a-zA-Z]{1,3}(\d{1,3})[A-Za-z_]\w*")
 _SPACE = re.compile(r"\s")
 _HEXDUMP = re.compile(r"[0-9a-fA-F]{2,8}(?:[ \t:]+[0-9a-fA-F]{2,8})*[ \t]*\r?(?:\n|\Z)")
 _POINTER = re.compile(r"\Aversion https?://\S+\s+oid \w+:[0-9a-f]{32,}\s+size \d+\s*\Z")
-_WORDS_OF_CODE = kws("if else for while return switch case try catch throw function func fn def class struct interface enum impl trait match loop import use package include namespace using new lambda with")
+_MARKUP = re.compile(r"\A(?:<\?xml\b|<svg\b|%PDF-|GIF8[79]a)", re.I)
+_STATEMENTS = kws("if else for while return switch case try catch throw function func fn def interface impl trait match loop new delete lambda with yield await")
 
 
 def shape(text: str, lang: str, toks: list[str] | None = None) -> str | None:
@@ -82,113 +106,151 @@ def shape(text: str, lang: str, toks: list[str] | None = None) -> str | None:
     body = text.strip()
     if not body:
         return None
-    if _POINTER.match(body):
-        return "data"
     lines = [x for x in body.split("\n") if x.strip()]
-    if _HEXDUMP.fullmatch(lines[0].strip() + "\n") and all(_HEXDUMP.fullmatch(x.strip() + "\n") for x in lines) and sum(map(len, lines)) >= 32 and not all(x.strip().isalpha() for x in lines):
+    if _blob(body, lines):
         return "data"
     toks, table = tokens(text, lang) if toks is None else toks, classes_of(lang)
-    cls = "".join([c for t in toks if (c := table[t]) and c != "\n"])
-    if len(cls) >= 3:
-        values = cls.count("N") + cls.count("S") + cls.count(",")
-        names = sum(c == "I" or c >= KEYWORD for c in cls)
-        code = sum(c in _WORDS_OF_CODE for c in cls) - (cls.count(kws("class")) if lang in ("java", "csharp") else 0)
-        long = sum(len(t) for t in toks if table[t] == "S")
-        if values >= 0.8 * len(cls) and names <= 12 and values >= 16 or long >= 0.8 * len(body) and long > 160 and names <= 6 and sum(t.count(" ") for t in toks if table[t] == "S") < 0.04 * long or body[:1] in "[{" and lang in ("javascript", "typescript") and values >= 0.5 * len(cls) and names == 0 and len(cls) > 40:
-            if code <= 1:
-                return "data"
-    if len(cls) >= 60:
-        strings = sum(len(t) for t in toks if table[t] in "SR" or not table[t])
-        rest = len(body) - strings
-        if lang != "python" and rest > 150 and rest / max(1, len(lines)) > 110:
-            space = len(_SPACE.findall(body)) - sum(len(_SPACE.findall(t)) for t in toks if table[t] in ("S", "") and len(t) > 1)
-            if space < 0.11 * rest:
-                return "minified"
+    cls = "".join([c for t in toks if (c := table[t]) and c != "\n"]).replace("U", "I")
+    if _values_only(body, cls, toks, table, lang):
+        return "data"
+    if len(cls) >= 60 and _minified(body, lines, toks, table, lang):
+        return "minified"
     head = _HEAD.match(text)
-    if head and _NOTE.search(head.group()):
-        rest = text[head.end() :]
-        if rest.strip():
-            return "generated"
-    seen = {int(m.group(1)) for t in set(toks) if (m := _NUMBERED.match(t.strip("\"'")))}
-    if len(seen) >= 4:
-        run = 0
-        while run in seen:
-            run += 1
-        numbered = sum(1 for t in toks if _NUMBERED.match(t.strip("\"'")))
-        if run >= 4 and numbered >= 0.25 * len(lines) and _uniform(lines):
-            return "generated"
+    if head and _NOTE.search(head.group()) and text[head.end() :].strip():
+        return "generated"
+    if repeated(cls) >= REPEATED:
+        return "generated"
     return None
 
 
-def _uniform(lines: list[str]) -> bool:
-    """Whether few line shapes make up most of a file."""
-    shapes: dict[str, int] = {}
-    for x in lines:
-        s = re.sub(r"\d+", "0", re.sub(r"[A-Za-z_]\w*", "a", x.strip()))
-        shapes[s] = shapes.get(s, 0) + 1
-    top = sorted(shapes.values(), reverse=True)[:4]
-    return sum(top) >= 0.6 * len(lines) or len(lines) < 6
+def repeated(cls: str) -> float:
+    """The share of windows of ``UNIT`` token classes that stood in the file before; 0 for files of less than two windows."""
+    n = len(cls) - UNIT + 1
+    if n <= UNIT:
+        return 0.0
+    return 1.0 - len({cls[j : j + UNIT] for j in range(n)}) / n
+
+
+def _blob(body: str, lines: list[str]) -> bool:
+    """Whether a file is no code of any language but a pointer, dump, mark-up or table of values under a source's name."""
+    if _POINTER.match(body) or _MARKUP.match(body):
+        return True
+    if _HEXDUMP.fullmatch(lines[0].strip() + "\n") and sum(map(len, lines)) >= 32 and all(_HEXDUMP.fullmatch(x.strip() + "\n") for x in lines) and not all(x.strip().isalpha() for x in lines):
+        return True
+    if body[0] in "[{" and body[-1] in "]}" and len(body) > 40:
+        try:
+            json.loads(body)
+            return True
+        except (ValueError, RecursionError):
+            pass
+    return False
 
 
-SHAPES = "seq long, shape string, fps array<long>"
+def _values_only(body: str, cls: str, toks: list[str], table: dict[str, str], lang: str) -> bool:
+    """Whether a file has values and names for them, but no statement, function or call."""
+    if any(c in _STATEMENTS for c in cls) or re.search(r"I\(", cls) or lang in ("javascript", "typescript") and "f" in cls:
+        return False
+    values = cls.count("N") + cls.count("S")
+    strings = [t for t in toks if table[t] == "S"]
+    long = sum(map(len, strings))
+    names = sum(c == "I" or c >= KEYWORD for c in cls)
+    if values >= 12 and (values + cls.count(",") >= 0.6 * len(cls) or values >= 0.3 * len(cls) and names <= 1.2 * values):
+        return True
+    return long >= 0.8 * len(body) and long > 160 and names <= 6 and sum(t.count(" ") for t in strings) < 0.04 * long
+
+
+def _minified(body: str, lines: list[str], toks: list[str], table: dict[str, str], lang: str) -> bool:
+    names = short = strings = spaces = 0
+    for t in toks:
+        c = table[t]
+        if c in ("I", "U"):
+            names += 1
+            short += len(t) <= 2
+            if t in _BUNDLER:
+                return True
+        elif not c:
+            if _MAP.match(t):
+                return True
+            strings += len(t)
+            spaces += len(_SPACE.findall(t)) if len(t) > 1 else 0
+        elif c in ("S", "R"):
+            strings += len(t)
+            spaces += len(_SPACE.findall(t))
+    rest = len(body) - strings
+    if rest < 150:
+        return False
+    space = (len(_SPACE.findall(body)) - spaces) / rest
+    width = rest / len(lines)
+    if lang != "python" and (width > 110 and space < 0.11 or width > 60 and space < 0.08):
+        return True
+    return names >= 30 and (short >= 0.75 * names or short >= 0.6 * names and space < 0.12)
+
+
+SCANNED = "seq long, id string, repo string, shape string, named array<long>, shaped array<long>"
 
 
 def _scan(batches):
     for pdf in batches:
-        shapes, fps = [], []
+        shapes, named, shaped = [], [], []
         for i, c in zip(pdf["id"], pdf["content"]):
             lang = language_of(i)
-            if lang is None or c is None or not c.strip():
-                shapes.append(None)
-                fps.append([])
-                continue
-            toks = tokens(c, lang)
-            s = shape(c, lang, toks)
+            s, prints = None, ([], [])
+            if lang is not None and c is not None and c.strip():
+                toks = tokens(c, lang)
+                s = shape(c, lang, toks)
+                if s is None:
+                    prints = fingerprints(c, lang, toks)
             shapes.append(s)
-            fps.append([] if s else fingerprints(c, lang, toks))
-        yield pd.DataFrame({"seq": pdf["seq"], "shape": shapes, "fps": fps})
+            named.append(prints[0])
+            shaped.append(prints[1])
+        yield pdf[["seq", "id", "repo"]].assign(shape=shapes, named=named, shaped=shaped)
 
 
 def _known(batches):
     langs = {"typescript": "typescript", "javascript": "javascript"}
     for pdf in batches:
         rows = []
-        for name, lang, c in zip(pdf["fileName"], pdf["language"], pdf["content"]):
+        for key, name, lang, c in zip(pdf["key"], pdf["fileName"], pdf["language"], pdf["content"]):
             lang = language_of(name) or langs.get(str(lang).lower()) or (str(lang).lower() if str(lang).lower() in PATTERNS else None)
             if lang and c:
-                rows.extend(fingerprints(c, lang).tolist())
-        yield pd.DataFrame({"fp": pd.Series(rows, dtype="int64")})
+                for kind, fps in enumerate(fingerprints(c, lang)):
+                    rows.extend((fp, kind, key) for fp in fps.tolist())
+        yield pd.DataFrame(rows, columns=["fp", "kind", "key"]).astype({"fp": "int64", "kind": "int32", "key": "int64"})
 
 
 def classify_origin(files: DataFrame, known: DataFrame | None = None, repos: int = REPOS, share: float = SHARE) -> DataFrame:
-    """(seq, id, repo, origin): origin is generated, minified, data, copied or None for hand-written.
+    """(seq, id, repo, origin, recurrent_share, known_share): origin is generated, minified, data, copied or None for hand-written.
 
     ``files`` has seq, id, repo, content of source files; ``known`` has fileName, language, content of outside files.
     Null, empty and blank contents have origin None. A repository that is null counts as one repository of its own.
+    ``recurrent_share`` is the part of a file's named fingerprints that ``repos`` repositories have, ``known_share`` the
+    largest part of its fingerprints of either kind that one known file has.
     """
-    base = files.select("seq", "id", "repo", "content")
-    scanned = base.mapInPandas(_with_ids, "seq long, id string, repo string, shape string, fps array<long>").transform(kept)
-    prints = scanned.where("shape is null").select("seq", F.coalesce("repo", F.lit("")).alias("repo"), F.explode("fps").alias("fp"))
+    scanned = checkpointed(files.select("seq", "id", "repo", "content").mapInPandas(_scan, SCANNED))
+    bare = scanned.where("shape is null")
+    prints = bare.select("seq", F.coalesce("repo", F.lit("")).alias("repo"), F.explode("named").alias("fp"))
     # repositories per fingerprint: distinct pairs first, so that a fingerprint of every file costs one row a repository
-    frequent = prints.groupBy("fp", "repo").agg(F.lit(1).alias("one")).groupBy("fp").agg(F.count("*").alias("repos")).where(F.col("repos") >= repos).select("fp")
-    if known is not None:
-        outside = known.select("fileName", "language", "content").mapInPandas(_known, "fp long")
-        frequent = frequent.union(outside).distinct()
-    hits = prints.join(frequent, "fp", "left_semi").groupBy("seq").agg(F.count("*").alias("recurrent"))
-    out = scanned.select("seq", "id", "repo", "shape", F.size("fps").alias("total")).join(hits, "seq", "left")
-    copied = (F.col("shape").isNull()) & (F.col("total") > 0) & (F.coalesce("recurrent", F.lit(0)) >= share * F.col("total"))
-    return out.select("seq", "id", "repo", F.when(F.col("shape").isNotNull(), F.col("shape")).when(copied, F.lit("copied")).alias("origin"), (F.coalesce("recurrent", F.lit(0)) / F.greatest("total", F.lit(1))).alias("recurrent_share"))
+    frequent = prints.groupBy("fp", "repo").agg(F.lit(1).alias("one")).groupBy("fp").agg(F.count("*").alias("repos")).where(F.col("repos") >= repos).select("fp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = prints.select("seq", "fp", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int").alias("salt"))
+    hits = salted.join(frequent, ["fp", "salt"], "left_semi").groupBy("seq").agg(F.count("*").alias("recurrent"))
+    total = {"named": F.greatest(F.size("named"), F.lit(1)), "shaped": F.greatest(F.size("shaped"), F.lit(1))}
+    out = scanned.select("seq", "id", "repo", "shape", total["named"].alias("total"), total["shaped"].alias("forms")).join(hits, "seq", "left")
+    if known is None:
+        out = out.withColumn("named_hits", F.lit(0)).withColumn("shaped_hits", F.lit(0))
+    else:
+        out = out.join(_known_hits(bare, known), "seq", "left")
+    recurrent = F.coalesce("recurrent", F.lit(0))
+    a, b = F.coalesce("named_hits", F.lit(0)), F.coalesce("shaped_hits", F.lit(0))
+    copied = (recurrent >= LEAST) & (recurrent >= share * F.col("total")) | (a >= LEAST) & (a >= KNOWN * F.col("total")) | (b >= LEAST_SHAPED) & (b >= KNOWN * F.col("forms"))
+    origin = F.when(F.col("shape").isNotNull(), F.col("shape")).when(copied, F.lit("copied"))
+    return out.select("seq", "id", "repo", origin.alias("origin"), (recurrent / F.col("total")).alias("recurrent_share"), F.greatest(a / F.col("total"), b / F.col("forms")).alias("known_share"))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The result of the scan, written once to the shared folder; three consumers read it."""
-    from weft.session import checkpointed
-
-    return checkpointed(df)
-
-
-def _with_ids(batches):
-    for pdf in batches:
-        out = next(iter(_scan([pdf])))
-        out["id"], out["repo"] = pdf["id"].values, pdf["repo"].values
-        yield out[["seq", "id", "repo", "shape", "fps"]]
+def _known_hits(bare: DataFrame, known: DataFrame) -> DataFrame:
+    """(seq, named_hits, shaped_hits): the most fingerprints of each kind that a file has in common with one known file."""
+    outside = checkpointed(known.select(F.xxhash64("fileName", "language", "content").alias("key"), "fileName", "language", "content").mapInPandas(_known, "fp long, kind int, key long").distinct())
+    both = bare.select("seq", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("named").alias("fps")), F.struct(F.lit(1).alias("kind"), F.col("shaped").alias("fps")))).alias("x"))
+    both = both.select("seq", "x.kind", F.explode("x.fps").alias("fp"))
+    side = F.broadcast(outside) if outside.count() <= BROADCAST else outside
+    per = both.join(side, ["fp", "kind"]).groupBy("seq", "kind", "key").agg(F.count("*").alias("n"))
+    return per.groupBy("seq").agg(*[F.max(F.when(F.col("kind") == k, F.col("n"))).alias(f"{name}_hits") for k, name in enumerate(("named", "shaped"))])
