@@ -201,6 +201,11 @@ def test_shapes():
         ('module.exports = {\n' + ",\n".join(f'  "{w}": ["{w} of the sea", {i}]' for i, w in enumerate(("alder birch cedar elder hazel maple rowan willow " * 3).split())) + "\n};\n", "javascript", "data"),
         ('{"a": [1, 2, 3], "b": {"c": "some words in a row", "d": null}, "e": true}', "typescript", "data"),
         ('{"message": "Not Found", "status": "404"', "typescript", None),
+        ("id,name,size\n" + "".join(f"{i},row {i},{i * 7}\n" for i in range(9)), "go", "data"),
+        ('"""What this package is for and how its parts belong together, in a few lines of text that a person wrote' + " and went on with" * 9 + '."""\n', "python", None),
+        ("# Erzeugt. Nicht bearbeiten!\n" + code(8, 4).replace("function", "def"), "python", "generated"),
+        ("/*! somelib v2.4.1 | MIT */\n" + code(12, 6), "javascript", "copied"),
+        ("/* Reads version 2.4 of the licence table */\n" + code(12, 6), "javascript", None),
         ('<?xml version="1.0"?>\n<rows><row a="1"/></rows>\n', "java", "data"),
     ],
 )

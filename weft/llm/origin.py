@@ -86,6 +86,8 @@ def fingerprints(text: str, lang: str, toks: list[str] | None = None) -> tuple[n
 _NOTE = re.compile(
     r"code generated by|@generated\b|auto-?generated (?:file|code|by|from)|autogenerated file|generated (?:by|from|with) \S+|(?:created|made|written|produced|built) automatically by|automatically (?:generated|created|produced)"
     r"|machine-(?:made|generated)|(?:do not|don't|never) (?:edit|modify|change)|changes will be (?:overwritten|lost)|produced by the \S+ (?:compiler|generator|tool)"
+    r"|(?:this|the) file (?:is|was|has been) (?:auto\w*[- ])?(?:generated|emitted|compiled)|regenerated? (?:with|by|using)|(?:manual|hand)[- ](?:edits|changes) (?:will be|are|get) (?:lost|overwritten|discarded)|(?:edits|changes) (?:are|get|will be) (?:lost|overwritten|discarded)|do not (?:touch|alter|modify) this file"
+    r"|nicht (?:bearbeiten|von hand ändern)|ne pas (?:modifier|éditer)|no (?:editar|modificar)|não (?:edite|editar|modificar)|не (?:редактируйте|редактировать|изменяйте вручную)|不要(?:手动)?(?:编辑|修改)|編集しない"
     r"|automatisch (?:erzeugt|generiert|erstellt)|(?:produit|généré|créé) automatiquement|(?:creado|generado|producido) (?:de forma automática|automáticamente)|(?:criado|gerado|produzido) (?:de forma automática|automaticamente)"
     r"|сгенерирован|создан автоматически|自动生成|請勿編輯|请勿(?:编辑|修改)|自動生成",
     re.I,
@@ -94,6 +96,8 @@ _NOTE = re.compile(
 _BUNDLER = frozenset("__webpack_require__ __webpack_modules__ webpackJsonp __esModule parcelRequire".split())
 _MAP = re.compile(r"(?://|/\*)[#@]\s*sourceMappingURL=")
 _HEAD = re.compile(r"\A(?:\s*(?://[^\n]*|#(?!\s*(?:include|define|if|ifndef|ifdef|pragma)\b)[^\n]*|/\*[\s\S]*?\*/|--[^\n]*))+")
+#: A head note that begins with another project's name and version and goes on with its terms.
+_BANNER = re.compile(r"\A[\s*!#/]*[A-Za-z@][\w.@/-]* v?\d+\.\d+(?:\.\d+)?\b[^\n]*(?:licen[cs]e|\bMIT\b|\bBSD\b|\bpermissive\b|copyright|\(c\)|©)", re.I)
 _SPACE = re.compile(r"\s")
 _HEXDUMP = re.compile(r"[0-9a-fA-F]{2,8}(?:[ \t:]+[0-9a-fA-F]{2,8})*[ \t]*\r?(?:\n|\Z)")
 _POINTER = re.compile(r"\Aversion https?://\S+\s+oid \w+:[0-9a-f]{32,}\s+size \d+\s*\Z")
@@ -102,7 +106,7 @@ _STATEMENTS = kws("if else for while return switch case try catch throw function
 
 
 def shape(text: str, lang: str, toks: list[str] | None = None) -> str | None:
-    """'generated', 'minified' or 'data' by the form of the file, else None."""
+    """'generated', 'minified' or 'data' by the form of the file, 'copied' by another project's banner at its head, else None."""
     body = text.strip()
     if not body:
         return None
@@ -120,6 +124,8 @@ def shape(text: str, lang: str, toks: list[str] | None = None) -> str | None:
         return "generated"
     if repeated(cls) >= REPEATED:
         return "generated"
+    if head and _BANNER.search(head.group()):
+        return "copied"
     return None
 
 
@@ -132,11 +138,15 @@ def repeated(cls: str) -> float:
 
 
 def _blob(body: str, lines: list[str]) -> bool:
-    """Whether a file is no code of any language but a pointer, dump, mark-up or table of values under a source's name."""
+    """Whether a file is no code of any language but a pointer, dump, mark-up, rows of columns or table of values under a source's name."""
     if _POINTER.match(body) or _MARKUP.match(body):
         return True
     if _HEXDUMP.fullmatch(lines[0].strip() + "\n") and sum(map(len, lines)) >= 32 and all(_HEXDUMP.fullmatch(x.strip() + "\n") for x in lines) and not all(x.strip().isalpha() for x in lines):
         return True
+    if len(lines) >= 4 and not any(c in "(){}=;<>" for c in body):
+        for mark in "\t,|":
+            if lines[0].count(mark) >= 2 and len({x.count(mark) for x in lines}) == 1:
+                return True
     if body[0] in "[{" and body[-1] in "]}" and len(body) > 40:
         try:
             json.loads(body)
@@ -156,7 +166,7 @@ def _values_only(body: str, cls: str, toks: list[str], table: dict[str, str], la
     names = sum(c == "I" or c >= KEYWORD for c in cls)
     if values >= 12 and (values + cls.count(",") >= 0.6 * len(cls) or values >= 0.3 * len(cls) and names <= 1.2 * values):
         return True
-    return long >= 0.8 * len(body) and long > 160 and names <= 6 and sum(t.count(" ") for t in strings) < 0.04 * long
+    return long >= 0.8 * len(body) and long > 160 and 1 <= names <= 6
 
 
 def _minified(body: str, lines: list[str], toks: list[str], table: dict[str, str], lang: str) -> bool:
@@ -198,7 +208,7 @@ def _scan(batches):
             if lang is not None and c is not None and c.strip():
                 toks = tokens(c, lang)
                 s = shape(c, lang, toks)
-                if s is None:
+                if s is None or s == "copied":
                     prints = fingerprints(c, lang, toks)
             shapes.append(s)
             named.append(prints[0])
@@ -227,7 +237,7 @@ def classify_origin(files: DataFrame, known: DataFrame | None = None, repos: int
     largest part of its fingerprints of either kind that one known file has.
     """
     scanned = checkpointed(files.select("seq", "id", "repo", "content").mapInPandas(_scan, SCANNED))
-    bare = scanned.where("shape is null")
+    bare = scanned.where("shape is null or shape = 'copied'")
     prints = bare.select("seq", F.coalesce("repo", F.lit("")).alias("repo"), F.explode("named").alias("fp"))
     # repositories per fingerprint: distinct pairs first, so that a fingerprint of every file costs one row a repository
     frequent = prints.groupBy("fp", "repo").agg(F.lit(1).alias("one")).groupBy("fp").agg(F.count("*").alias("repos")).where(F.col("repos") >= repos).select("fp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
