@@ -152,6 +152,41 @@ def test_credential_tables(spark):
     assert find_credentials(files.limit(0)).count() == 0
 
 
+def test_secrets_of_any_length():
+    r = random.Random(5)
+    value = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(3000))
+    parts = " +\n  ".join(f'"{value[i : i + 50]}"' for i in range(0, 3000, 50))
+    text = f"const signingSecret = {parts};\n"
+    assert value[-50:] not in redact(text, find_secrets(text)) and value[:50] not in redact(text, find_secrets(text))
+    body = "\n".join(value[i % 2900 : i % 2900 + 64] for i in range(0, 400_000, 64))
+    text = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----\nrest = 1\n"
+    assert redact(text, find_secrets(text)).count("*") == len(body) - body.count("\n")
+    name = "process.env." + "A" * 400
+    text = f"const dbPassword = {name} || 'h4rb0ur!729';\n"
+    assert [text[a:b] for _, p in find_secrets(text) for a, b in p] == ["h4rb0ur!729"]
+    text = f"const {'x' * 300}Arg = '{value[:40]}';\n"
+    assert [text[a:b] for _, p in find_secrets(text) for a, b in p] == [value[:40]]
+
+
+def test_secrets_in_remarks():
+    text = "// old login gr4vel*242\n# user svc pw lantern#Falcon6080\n// staging: S+2QNCjsxmR0o+\n// token = track(5)\n// see E1589\n// test: v2.3.1\n// the password is stored elsewhere\n// password: <redacted>\n# live: https://a.test/x1\n"
+    assert lines_of(text, find_secrets(text)) == [1, 2, 3]
+
+
+def test_secrets_in_linear_time():
+    import time
+
+    r = random.Random(6)
+    line = lambda i: f"api_key{i} = '{''.join(r.choice(string.ascii_letters + string.digits) for _ in range(24))}'\n"
+    small, large = "".join(map(line, range(2000))), "".join(map(line, range(16000)))
+    spent = []
+    for text, n in ((small, 2000), (large, 16000)):
+        t = time.process_time()
+        assert len(find_secrets(text)) == n
+        spent.append(time.process_time() - t)
+    assert spent[1] < 8 * spent[0] * 2.5
+
+
 # -- origin
 def code(seed, n=60):
     """Functions of varied statements, as a person writes them."""

@@ -1,22 +1,25 @@
 """Credentials in source and configuration text, and their redaction in place.
 
-Candidates are values with a context: the value of a name that speaks of a credential, a login in a URL or an
-authorization header, a private key block, and any other quoted or configured value whose characters per subword under
-a public vocabulary are too few for natural text or identifiers. Context rules then drop placeholders, references to
-where a secret is kept, public keys, digests and ids. Redaction keeps every offset: it puts ``*`` for each character of
-the secret and leaves quotes, escapes, line ends and the rest as they are.
+Every quoted or configured value, login in a URL, token of a header, last word of a remark and body of a key block is
+measured by its characters per subword under a public vocabulary: natural text and identifiers have many, random strings,
+mangled words and passwords few. How few it must have depends on the context (``LIMITS``): least under a neutral name, more
+under a name that speaks of a credential. Context rules then drop placeholders, references to where a secret is kept,
+public keys, digests and ids. Redaction keeps every offset: it puts ``*`` for each character of the secret and leaves
+quotes, escapes, line ends and the rest as they are. The work grows with the length of a text, whatever is in it.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 from .tokenizing import TOKENIZERS, encoding
 
-#: A value with fewer characters per subword than this is unnatural; words and paths have 3.5 and more.
+#: A value with fewer characters per subword than this is unnatural in its context; words and paths have 3.5 and more.
 UNNATURAL = 2.3
+LIMITS = {"named value": 4.0, "login call": 4.0, "url login": 4.5, "header": 4.0, "remark": 3.5, "label": 2.6, "private key": 2.6, "unnatural value": UNNATURAL}
 #: Shortest value that counts by unnaturalness alone, without a telling name.
 LONG = 16
 
@@ -46,7 +49,7 @@ _HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+(?:[:/][\w./-]*)?\Z")
 _LOGIN = re.compile(r"""\b\w*(?:[lL]og_?[iI]n|[aA]uthenticate|[sS]ign_?[iI]n|[bB]asic_?[aA]uth)\w*\(\s*(["'`])[^"'`\n]*\1\s*,\s*(?=["'`])""")
 _CONCAT_CALL = re.compile(r"""concat!?\(\s*(?=["'])""")
 #: What may stand between a name and the literal that serves when the environment has no value.
-_FALLBACK = re.compile(r"""[\w.:\[\]()\t "'!?-]{0,120}?(?:\|\||\?\?|\?:|\bor\b|\.unwrap_or(?:_else)?\((?:\|_?\|)?|\.get_or_insert\(|\bdefault\()[ \t]*(?=["'`])""")
+_FALLBACK = re.compile(r"""[\w.:\[\]()\t "'!?-]*?(?:\|\||\?\?|\?:|\bor\b|\.unwrap_or(?:_else)?\((?:\|_?\|)?|\.get_or_insert\(|\bdefault\()[ \t]*(?=["'`])""")
 _IDENTITY = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I)
 _HEX = re.compile(r"(?:0x)?[0-9a-fA-F]+\Z")
 _DIGEST = re.compile(r"(?:sha\d*|md5|blake\w*|crc\w*|h1)[-:=]", re.I)
@@ -64,7 +67,11 @@ _LONE = re.compile(r"""(["'`])([A-Za-z0-9+/=_.~!@#$%^&*-]{16,})\1""")
 _LONE_CONFIG = re.compile(r"""^[ \t]*(?:[#;]+[ \t]*|//[ \t]*)?(?:export[ \t]+|-[ \t]+)?["']?([A-Za-z_][\w.-]*)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9+/=_.~-]{16,})["']?,?[ \t]*\r?$""", re.M)
 #: First characters of pictures, fonts, archives and documents in base64.
 _MEDIA = re.compile(r"iVBORw0KGgo|/9j/|R0lGODlh|UklGR|d09G[RM]|T1RUTw|AAEAAAA|UEsDB|H4sI|JVBERi|PHN2Zy|PD94bWw|AAAAHGZ0eX|SUQz|T2dnUw|TVqQ|AGFzbQ")
-_NAME_BEFORE = re.compile(r"""([A-Za-z_$][\w.$-]*)["'\])]*(?:\s*:\s*(?:&?\s*(?:'\w+\s+)?[A-Za-z_][\w.<>\[\]]*))?(?:\s*\[\s*\])?\s*(?::=|=>|=|:)[ \t]*(?:[rRbBuUfF$@L]{0,2})\Z""")
+#: A short comment, and what its words before the last must say for the last to be a credential: a word for one, or only
+#: the name of a person's or machine's place (fixed values).
+_COMMENT = re.compile(r"(?:^|[ \t;{}])(?://+|#+|--|;+|/?\*+)[ \t]*((?:[^\s\"'`=]+[ \t]+){1,5})(?:=[ \t]*)?[\"'`]?([^\s\"'`()<>]{6,})[\"'`]?[ \t]*(?:\*/)?[ \t]*\r?$", re.M)
+_SAYS = re.compile(r"\b(?:pw|pwd|pass|passwd|password|passwort|passphrase|login|logins|creds?|credentials?|secret|token|apikey|api[ _-]key|kennwort|senha|contraseña|mot de passe|пароль|密码|密碼|パスワード)\b:?[ \t]*(?:is|was|for|ist|war|est|es|é)?:?[ \t]*\Z", re.I)
+_PLACE = re.compile(r"(?:old |new |the |on )?(?:staging|stage|prod|production|live|dev|development|test|testing|local|demo|sandbox|preprod|qa|uat|root|admin|backup)(?: (?:server|box|db|host|user|account|access))?:[ \t]*\Z", re.I)
 
 
 @lru_cache(maxsize=100_000)
@@ -89,8 +96,12 @@ def telling_name(name: str) -> bool:
     return bool(re.search(r"kennwort|passwor[dt]|mot_?de_?passe|contrase[ñn]a|senha|парол|密码|密碼|口令|パスワード", "_".join(words)))
 
 
-def placeholder(value: str) -> bool:
-    return not value.strip() or _PLACEHOLDER.fullmatch(value.strip()) is not None
+def placeholder(value: str, folder: str = TOKENIZERS) -> bool:
+    """Whether a value only stands for one; a word like ``tbd`` inside a long random value is chance."""
+    v = value.strip()
+    if not v:
+        return True
+    return _PLACEHOLDER.fullmatch(v) is not None and not (len(v) >= LONG and v[0].isalnum() and re.search(r"\d", v) and characters_per_subword(v, folder) < 1.8)
 
 
 def _mixed(v: str) -> bool:
@@ -99,8 +110,109 @@ def _mixed(v: str) -> bool:
     return sum(kinds) >= 2
 
 
-def unnatural(value: str, folder: str = TOKENIZERS) -> bool:
-    return len(value) >= LONG and _mixed(value) and characters_per_subword(value, folder) < UNNATURAL
+def unnatural(value: str, folder: str = TOKENIZERS, context: str = "unnatural value") -> bool:
+    """Whether a value has fewer characters per subword than its context allows."""
+    return characters_per_subword(value, folder) < LIMITS[context]
+
+
+def _random(value: str, folder: str) -> bool:
+    return len(value) >= LONG and _mixed(value) and unnatural(value, folder)
+
+
+def _of_digest(words: list[str]) -> bool:
+    """Whether a name's last word speaks of a digest or id, or any of a public value."""
+    words = [w for w in words if not w.isdigit() or len(w) == 3]
+    while words and words[-1].isdigit() and not (len(words) > 1 and words[-2] in ("sha", "md")):
+        words.pop()
+    return bool(words) and (words[-1] in _ABOUT_DIGEST or words[-1].isdigit() or "public" in words or "sha" in words)
+
+
+def _name_before(text: str, quote: int) -> str | None:
+    """The name that a literal, whose quote is at ``quote``, is assigned to; None where it isn't an assigned value."""
+    i = quote
+    while i > 0 and quote - i < 2 and text[i - 1] in "rRbBuUfF$@L" and not (i > 1 and (text[i - 2].isalnum() or text[i - 2] == "_")):
+        i -= 1
+
+    def blanks(j: int) -> int:
+        while j > 0 and text[j - 1] in " \t":
+            j -= 1
+        return j
+
+    def run(j: int, extra: str) -> int:
+        while j > 0 and (text[j - 1].isalnum() or text[j - 1] in extra):
+            j -= 1
+        return j
+
+    i = blanks(i)
+    if text[max(0, i - 2) : i] in (":=", "=>"):
+        i, typed = i - 2, False
+    elif i > 0 and text[i - 1] in "=:":
+        typed = text[i - 1] == "="
+        i -= 1
+    else:
+        return None
+    i = blanks(i)
+    while i > 1 and text[i - 1] == "]" and (j := blanks(i - 1)) and text[j - 1] == "[":
+        i = blanks(j - 1)
+    if typed:  # name: type = value
+        j = run(i, "_.<>[]")
+        k = blanks(j)
+        if text[max(0, k - 3) : k] == "mut":
+            k = blanks(k - 3)
+        if k > 0 and text[k - 1] == "c" and text[max(0, k - 7) : k] == "'static":
+            k = blanks(k - 7)
+        if k > 0 and text[k - 1] == "&":
+            k = blanks(k - 1)
+        if k > 0 and text[k - 1] == ":" and j < i and text[max(0, k - 2) : k] != "::":
+            i = blanks(k - 1)
+    while i > 0 and text[i - 1] in "\"'])":
+        i -= 1
+    j = run(i, "_$.-")
+    while j < i and not (text[j].isalpha() or text[j] in "_$"):
+        j += 1
+    return text[j:i] or None
+
+
+class _Spans:
+    """Spans taken so far, none of which overlap, in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k == 0 or self.ends[k - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
+class _Calls:
+    """Whether the statement before a place speaks of a login or credential; each statement is searched once."""
+
+    word = re.compile(r"(?i)login|auth|connect|sign|token|secret|password|key|bearer")
+
+    def __init__(self, text: str):
+        self.text = text
+        self.breaks: list[int] | None = None
+        self.first: dict[int, int] = {}
+
+    def __call__(self, quote: int) -> bool:
+        text, i = self.text, quote
+        while i > 0 and text[i - 1] in " \t":
+            i -= 1
+        if i == 0 or text[i - 1] not in "(,":
+            return False
+        if self.breaks is None:
+            self.breaks = [m.start() for m in re.finditer(r"[\n;{}]", text)]
+        k = bisect_right(self.breaks, quote)
+        if k not in self.first:
+            m = self.word.search(text, self.breaks[k - 1] if k else 0, self.breaks[k] if k < len(self.breaks) else len(text))
+            self.first[k] = m.end() if m else len(text) + 1
+        return self.first[k] <= quote
 
 
 def _read_string(text: str, at: int, joint: str = "+") -> tuple[list[tuple[int, int]], str, int] | None:
@@ -168,28 +280,26 @@ def find_secrets(text: str, folder: str = TOKENIZERS, config: bool = False) -> l
     ``config`` says that values may stand unquoted (every extension that is no source file).
     """
     found: list[tuple[str, list[tuple[int, int]]]] = []
-    taken: list[tuple[int, int]] = []
-    blocked: list[tuple[int, int]] = []
-
-    def free(a: int, b: int) -> bool:
-        return not any(x < b and a < y for x, y in taken)
+    taken, blocked = _Spans(), _Spans()
+    free, called = taken.free, _Calls(text)
 
     def take(kind: str, parts: list[tuple[int, int]]) -> None:
         found.append((kind, parts))
-        taken.append((parts[0][0], parts[-1][1]))
+        taken.add(parts[0][0], parts[-1][1])
 
     if "-----BEGIN" in text:
-        for m in _PEM_ANY.finditer(text):
+        begins = list(_PEM_ANY.finditer(text))
+        for m, after in zip(begins, [*(x.start() for x in begins[1:]), len(text)]):
             private = _KEY_BEGIN.match(text, m.start())
             if not private:
-                e = text.find("-----END", m.end())
-                if 0 < e - m.end() < 8000:
-                    blocked.append((m.start(), e))
+                e = text.find("-----END", m.end(), after)
+                if e > 0:
+                    blocked.add(m.start(), e)
                 continue
-            end = _KEY_END.search(text, m.end())
-            stop = end.start() if end and end.start() - m.end() < 20_000 else len(text)
+            end = _KEY_END.search(text, m.end(), after)
+            stop = end.start() if end else after
             lines = [(x.start(), x.end()) for x in _KEY_LINE.finditer(text, m.end(), stop)]
-            if end is None or stop == len(text):  # cut block: lines that follow at once
+            if not end:  # cut block: lines that follow at once
                 kept, at = [], m.end()
                 for a, b in lines:
                     if text.count("\n", at, a) > 1:
@@ -197,19 +307,19 @@ def find_secrets(text: str, folder: str = TOKENIZERS, config: bool = False) -> l
                     kept.append((a, b))
                     at = b
                 lines = kept
-            if lines and text.count("\n", m.end(), lines[0][0]) <= 4:
-                if end and stop != len(text):
+            if lines and text.count("\n", m.end(), lines[0][0]) <= 4 and any(unnatural(text[a:b], folder, "private key") for a, b in lines[:4]):
+                if end:
                     lines = _key_runs(text, m.start(), m.end(), stop)
                 found.append(("private key", [(m.start(), m.end()), *lines]))
-                taken.append((m.start(), end.end() if end and stop != len(text) else lines[-1][1]))
+                taken.add(m.start(), end.end() if end else lines[-1][1])
     if "://" in text and "@" in text:
         for m in _URL.finditer(text):
-            if not placeholder(m.group(2)) and free(*m.span(2)) and m.group(2).lower() not in ("password", "pass", "pwd", "secret", "token"):
+            if not placeholder(m.group(2), folder) and free(*m.span(2)) and unnatural(m.group(2), folder, "url login"):
                 take("url login", [m.span(2)])
     if "asic" in text or "earer" in text or "uthorization" in text:
         for m in _AUTH.finditer(text):
             v = m.group(2)
-            if placeholder(v) or not free(*m.span(2)):
+            if placeholder(v, folder) or not free(*m.span(2)):
                 continue
             if m.group(1).lower() == "basic":
                 try:
@@ -217,7 +327,7 @@ def find_secrets(text: str, folder: str = TOKENIZERS, config: bool = False) -> l
                         continue
                 except ValueError:
                     continue
-            elif not (unnatural(v, folder) or len(v) >= LONG and _mixed(v) and re.search(r"\d", v)):
+            elif not (_random(v, folder) or len(v) >= LONG and _mixed(v) and re.search(r"\d", v) and unnatural(v, folder, "header")):
                 continue
             take("header", [m.span(2)])
     for m in _CORE.finditer(text):
@@ -248,49 +358,54 @@ def find_secrets(text: str, folder: str = TOKENIZERS, config: bool = False) -> l
             parts, value = [v.span()], v.group()
         else:
             continue
-        if placeholder(value) or not free(parts[0][0], parts[-1][1]):
+        if placeholder(value, folder) or not free(parts[0][0], parts[-1][1]):
             continue
         low = value.lower()
         if low == name.lower() or low.replace("_", "").replace("-", "") == re.sub(r"[^a-z]", "", name.lower()) or telling_name(value) and not re.search(r"\d", value) and _is_identifier(value):
             continue
         if " " in value and len(value.split()) >= 3 and characters_per_subword(value, folder) > 3:
             continue  # a sentence about a credential
-        if _URL.search(value) or "://" in value:
+        if _URL.search(value) or "://" in value or not unnatural(value, folder, "named value"):
             continue
         take("named value", [p for p in parts if p[1] > p[0]])
     if "og" in text or "uth" in text or "ign" in text:
         for m in _LOGIN.finditer(text):
             s = _read_string(text, m.end())
-            if s and not placeholder(s[1]) and free(s[0][0][0], s[0][-1][1]):
+            if s and not placeholder(s[1], folder) and free(s[0][0][0], s[0][-1][1]) and unnatural(s[1], folder, "login call"):
                 take("login call", [p for p in s[0] if p[1] > p[0]])
     for pattern, unquoted in ((_LONE, False), *(((_LONE_CONFIG, True),) if config else ())):
         for m in pattern.finditer(text):
             a, b = m.span(2)
             v = m.group(2)
-            if not _mixed(v) or not free(a, b) or any(x < b and a < y for x, y in blocked):
+            if not _mixed(v) or not free(a, b) or not blocked.free(a, b):
                 continue
-            if _IDENTITY.match(v) or _HEX.match(v) or _DIGEST.match(v) or placeholder(v) or _HOST.match(v) and not _prefixed(v):
+            if _IDENTITY.match(v) or _HEX.match(v) or _DIGEST.match(v) or placeholder(v, folder) or _HOST.match(v) and not _prefixed(v):
                 continue
             if unquoted:
                 name = m.group(1)
             else:
-                p = _NAME_BEFORE.search(text, max(0, a - 120, text.rfind("\n", 0, a) + 1), a - 1)
-                if p is None:
+                name = _name_before(text, a - 1)
+                if name is None:
                     # the first argument of a call can be a credential too, a bare line of a block of data can't
-                    if not _in_call(text, a - 1):
+                    if not called(a - 1):
                         continue
                     name = ""
-                else:
-                    name = p.group(1)
             words = _words(name)
-            if words and (set(words) & _ABOUT_DIGEST and not telling_name(name) and not _prefixed(v)):
+            if _of_digest(words) and not telling_name(name) and not _prefixed(v):
                 continue
-            if not (unnatural(v, folder) or _prefixed(v)) or not re.search(r"\d", v) and not re.search(r"[a-z][A-Z]|[A-Z]{2}[a-z]", v):
+            if not (_random(v, folder) or _prefixed(v)) or not re.search(r"\d", v) and not re.search(r"[a-z][A-Z]|[A-Z]{2}[a-z]", v):
                 continue
             if len(v) > 120 and _MEDIA.match(v):
                 continue
             s = _read_string(text, a - 1) if not unquoted else None
             take("unnatural value", s[0] if s else [(a, b)])
+    for m in _COMMENT.finditer(text):
+        before, v = m.group(1), m.group(2)
+        context = "remark" if _SAYS.search(before) else "label" if _PLACE.match(before) else None
+        if context is None or not free(*m.span(2)) or not _secret_word(v) or placeholder(v, folder):
+            continue
+        if unnatural(v, folder, context):
+            take("remark", [m.span(2)])
     found.sort(key=lambda x: x[1][0])
     return found
 
@@ -311,11 +426,13 @@ def _prefixed(v: str) -> bool:
     return tail is None or bool(re.search(r"\d", tail) and re.search(r"[A-Z]", tail) and re.search(r"[a-z]", tail) or re.fullmatch(r"[0-9a-f]{20,}", tail))
 
 
-def _in_call(text: str, quote: int) -> bool:
-    i = quote - 1
-    while i >= 0 and text[i] in " \t":
-        i -= 1
-    return i >= 0 and text[i] in "(," and bool(re.search(r"(?i)login|auth|connect|sign|token|secret|password|key|bearer", text[max(0, text.rfind("\n", 0, quote)) : quote]))
+def _secret_word(v: str) -> bool:
+    """Letters with digits or signs between them, but no path, address, number with a unit, version, id or digest."""
+    if not re.search(r"[^\W\d_]", v) or not re.search(r"[\d!#%*@$&^+~]", v):
+        return False
+    if "://" in v or v.count("/") > 1 and not re.search(r"[+=]", v) or re.fullmatch(r"v?\d+(?:[.-]\w+)*|[\w-]+\.\w{1,4}(?::\d+)?|[\w.+-]+@[\w-]+\.[\w.]+|#?\d+|[A-Za-z]+-\d{1,4}", v):
+        return False
+    return not (_IDENTITY.match(v) or _HEX.match(v) or _DIGEST.match(v) or _HOST.match(v))
 
 
 def lines_of(text: str, found: list[tuple[str, list[tuple[int, int]]]]) -> list[int]:
