@@ -17,20 +17,20 @@ from weft.llm.origin import classify_origin, fingerprints, shape
 from weft.llm.prose import Profiles, extract, fit_profiles, languages_in_code, phrases
 from weft.llm.redaction import find_credentials, redact_files
 from weft.llm.secrets import find_secrets, lines_of, redact
-from weft.llm.splitting import cut, split_files, split_items, split_text
+from weft.llm.splitting import RANGE, boundaries, cut, cut_items, range_size, ranges_of, split_files, split_items, split_text
 from weft.llm.tokenizing import encoding
 from weft.llm.truncation import find_truncated, normal, tail_of
 
 
 # -- splitting
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab .\n\r,日", max_size=400), st.integers(1, 60), st.integers(0, 80), st.integers(7, 90))
-def test_pieces_cover_fit_and_overlap(text, limit, overlap, size):
-    p = split_text(text, limit, overlap)
+@given(st.text(alphabet="ab .\n\r,日", max_size=900), st.integers(1, 40), st.integers(0, 60), st.integers(1, 90))
+def test_pieces_cover_fit_and_overlap(text, limit, overlap, least):
+    p = split_text(text, limit, overlap, size=range_size(limit, least))
     o = min(overlap, limit - 1)
     assert p[0][0] == 0 and p[-1][1] == len(text) and all(b - a <= limit for a, b in p)
     assert all(c == b - o for (a, b), (c, d) in zip(p, p[1:]))
-    assert split_text(text, limit, overlap, size=size, halo=450) == p
+    assert split_text(text, limit, overlap) == cut(*boundaries(text, 0, len(text)), len(text), limit, overlap)
 
 
 def test_cut_prefers_high_boundaries():
@@ -39,19 +39,33 @@ def test_cut_prefers_high_boundaries():
     assert cut(np.array([], dtype=int), np.array([], dtype=np.int8), 5, 2, 9) == [(0, 2), (1, 3), (2, 4), (3, 5)]
 
 
-def test_split_items_near_and_far_agree(spark):
+def test_split_items(spark):
     random.seed(1)
-    text = "".join(random.choice("word, line.\n \r\n日本。") for _ in range(3000))
-    rows = [(1, "a", text, 100, 10, "x"), (2, "b", "short", 100, 10, "x"), (3, "c", None, 100, 10, "x"), (4, "d", text, None, 10, "x"), (5, "e", "x" * 300, 100, None, "x"), (6, "f", "", 100, 1, "x"), (7, "g", text, 100, 500, "x")]
+    text = "".join(random.choice(["word", ", ", "line.", "\n", " ", "\r\n", "日本", "。", "\n\n", "😀"]) for _ in range(9000))
+    rows = [(1, "a", text, 100, 10, "x"), (2, "b", "short", 100, 10, "x"), (3, "c", None, 100, 10, "x"), (4, "d", text, None, 10, "x"), (5, "e", "x" * 300, 100, None, "x"), (6, "f", "", 100, 1, "x"), (7, "g", text, 100, 500, "x"), (8, "h", text, 7, 2, "x")]
     items = spark.createDataFrame(rows, "seq long, id string, content string, maxlen int, overlap int, piece string")
-    near = sorted(map(tuple, split_items(items).collect()))
-    far = sorted(map(tuple, split_items(items, size=257, halo=40).collect()))
-    assert near == far and {r[1] for r in near} == {"a", "e", "g"}
-    a = [r for r in near if r[0] == 1]
-    assert a[0][6] + "".join(r[6][10:] for r in a[1:]) == text
+    for least in (RANGE, 512):
+        got = sorted(map(tuple, split_items(items, least).collect()))
+        assert {r[1] for r in got} == {"a", "e", "g", "h"}
+        for seq, _, c, m, o, _ in rows:
+            mine = [r for r in got if r[0] == seq]
+            if mine:
+                assert [(r[3], r[4]) for r in mine] == split_text(c, m, o or 0, size=range_size(m, least))
+                assert [r[2] for r in mine] == list(range(len(mine))) and all(c[r[3] : r[4]] == r[6] for r in mine)
+        a = [r for r in got if r[0] == 1]
+        assert a[0][6] + "".join(r[6][10:] for r in a[1:]) == text
+        assert sorted((r["seq"], r["start"]) for r in cut_items(items, least).collect()) == [(r[0], r[3]) for r in got]
     assert split_items(items.limit(0)).count() == 0
 
 
+def test_ranges_of_giants_hold_no_more_than_a_range(spark):
+    text = "0123456789 " * 300_000
+    items = spark.createDataFrame([(1, "a", text, 1000, 100)], "seq long, id string, content string, maxlen int, overlap int")
+    r = ranges_of(items, 1024).orderBy("i").select("i", "at", "part", F.length("before").alias("b"), F.length("after").alias("a")).collect()
+    assert len(r) == -(-len(text) // 16_000) and "".join(x["part"] for x in r) == text
+    assert all(len(x["part"]) <= 16_000 and x["b"] <= 664 and x["a"] <= 64 and x["at"] == x["i"] * 16_000 for x in r)
+
+
 def test_split_files(spark, tmp_path):
     text = "".join(f"line {i} with é and 日本\n" for i in range(2000))
     f = tmp_path / "big.txt"
@@ -59,7 +73,8 @@ def test_split_files(spark, tmp_path):
     got = [r for r in split_files(spark, [str(f)], 1000, 50, size=4096).orderBy("piece").collect()]
     raw = text.encode()
     assert all("�" not in r["text"] and r["end"] - r["start"] <= 1003 for r in got)
-    assert got[0]["start"] == 0 and got[-1]["end"] == len(raw) and all(b["start"] <= a["end"] for a, b in zip(got, got[1:]))
+    assert got[0]["start"] == 0 and got[-1]["end"] == len(raw) and all(a["end"] - 53 <= b["start"] <= a["end"] - 47 for a, b in zip(got, got[1:]))
+    assert [r["piece"] for r in got] == list(range(len(got))) and len(raw) > 2 * 16_000
     assert all(raw[r["start"] : r["end"]].decode() == r["text"] for r in got)
 
 

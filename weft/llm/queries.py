@@ -14,7 +14,7 @@ from .mixing import mix, shares
 from .origin import classify_origin
 from .prose import fit_profiles, languages_in_code
 from .redaction import find_credentials, lines, redact_files
-from .splitting import split_items
+from .splitting import cut_items, split_items
 from .truncation import find_truncated
 
 _SOURCE = r"(?:" + "|".join(sorted(x.replace(".", r"\.") for x in EXTENSIONS)) + r")$"
@@ -37,13 +37,22 @@ def with_limits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark, sf):
-    return split_items(with_limits(spark, sf)).select("id").distinct()
+    return cut_items(with_limits(spark, sf)).select("id").distinct()
 
 
 def p1_pieces(spark, sf):
     return split_items(with_limits(spark, sf))
 
 
+def p1_covered(spark, sf):
+    """Per item the code points that its pieces hold without the overlaps, and whether all fit and follow each other."""
+    limits = with_limits(spark, sf).select("seq", "maxlen", F.least(F.coalesce("overlap", F.lit(0)), F.col("maxlen") - 1).alias("o"))
+    cut = cut_items(with_limits(spark, sf)).select("seq", "id", "start", "end", F.length("text").alias("n"))
+    sums = cut.groupBy("seq", "id").agg(F.sum("n").alias("all"), F.count("*").alias("pieces"), F.min("start").alias("first"), F.max("end").alias("last"), F.max("n").alias("longest"))
+    fits = (F.col("first") == 0) & (F.col("longest") <= F.col("maxlen")) & (F.col("last") == F.col("all") - (F.col("pieces") - 1) * F.col("o"))
+    return sums.join(limits, "seq").select("seq", "id", (F.col("all") - (F.col("pieces") - 1) * F.col("o")).alias("covered"), fits.alias("fits"))
+
+
 def p3_found(spark, sf):
     return check_files(source_files(spark, sf)).where("errors > 0").select("id").distinct()
 
@@ -114,10 +123,13 @@ def p10_rates(spark, sf):
     return t.groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.col("cut").cast("int")).alias("cut"), F.round(F.avg(F.col("cut").cast("int")), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_errors, p3_rates, p4_found, p4_spans, p4_redacted, p5_found, p5_origins, p7_found, p7_shares, p8_ids, p8_counts, p9_mixture, p9_shares, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_covered, p3_found, p3_errors, p3_rates, p4_found, p4_spans, p4_redacted, p5_found, p5_origins, p7_found, p7_shares, p8_ids, p8_counts, p9_mixture, p9_shares, p10_found, p10_rates)}
 
 SQL = {
     "p1_found": """
         SELECT DISTINCT e.id FROM embeddable_nodes e JOIN registry r ON r.name = e.repo
         JOIN embedding_config c ON c.configId = r.configId WHERE length(e.content) > c.maxSnippetLength""",
+    "p1_covered": """
+        SELECT e.seq, e.id, length(e.content)::BIGINT AS covered, true AS fits FROM embeddable_nodes e JOIN registry r ON r.name = e.repo
+        JOIN embedding_config c ON c.configId = r.configId WHERE length(e.content) > c.maxSnippetLength""",
 }
