@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weft.llm.encoding import Encoded, bpe, encode_corpus
-from weft.llm.mixing import mix, plan, shares
+from weft.llm.mixing import cut_cdf, cut_mean, draw, mix, parameter_for, rates, shares
 from weft.llm.origin import classify_origin, fingerprints, shape
 from weft.llm.prose import Profiles, extract, fit_profiles, languages_in_code, phrases
 from weft.llm.redaction import find_credentials, redact_files
@@ -388,10 +388,38 @@ def test_shares_are_reached(spark):
     assert mix(d.limit(0), w).count() == 0
 
 
-def test_plan_with_a_given_size():
-    p = plan({"a": {i: 10 for i in range(100)}, "b": {i: 10 for i in range(100)}}, {"a": (1.0, 2), "b": (3.0, 1), "c": (1.0, 1)}, total=400)
-    assert set(p) == {"a", "b"} and p["a"][2] == 0.25
-    assert plan({}, {}) == {}
+def test_parameters_have_the_rates_as_means():
+    for most in (1, 2, 5, 40, 3000):
+        for rate in (1e-9, 0.003, 0.4, 0.9 * most):
+            assert abs(cut_mean(parameter_for(rate, most), most) - rate) < 1e-6 * max(1, rate)
+    assert cut_mean(parameter_for(7.0, 3), 3) > 3 - 1e-9 and cut_cdf(0.0, 2)[0] == 1.0 and parameter_for(0.0, 4) == 0
+
+
+def test_rates_with_a_given_size(spark):
+    t = spark.createDataFrame([("a", 1000), ("b", 1000), ("d", 0)], "source string, tokens long")
+    w = spark.createDataFrame([("a", 1.0, 2), ("b", 3.0, 1), ("c", 1.0, 1), ("d", 1.0, 1)], "source string, weight double, maxRepeats int")
+    p = {r["source"]: r for r in rates(t, w, total=400).collect()}
+    assert set(p) == {"a", "b"} and p["a"]["target"] == 0.25 and p["a"]["rate"] == pytest.approx(0.1)
+    assert rates(t.limit(0), w).count() == 0
+    assert max(r["rate"] / r["maxRepeats"] for r in rates(t, w).collect()) == pytest.approx(0.9)
+
+
+def test_small_parts_of_large_sources_and_the_form_of_the_draw(spark):
+    sized = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(10).cast("long").alias("tokens"))
+    w = spark.createDataFrame([("a", 1.0, 6)], "source string, weight double, maxRepeats int")
+    totals = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    for goal in (300, 700, 30_000):
+        got = draw(sized, rates(totals, w, total=goal), 5).agg(F.sum(F.col("n") * F.col("tokens"))).first()[0]
+        assert abs(got - goal) <= 20
+    # counts are Poisson numbers, not only of the right mean, and buckets don't change them
+    n = draw(sized, rates(totals, w, total=3_000_000), 5)
+    counts = {r["n"]: r["count"] / 300_000 for r in n.groupBy("n").count().collect()}
+    p, c = parameter_for(1.0, 6), [0.0, *cut_cdf(parameter_for(1.0, 6), 6), 1.0]
+    assert p > 1 and all(abs(counts[k] - (c[k + 1] - c[k])) < 2e-4 for k in range(7))
+    few = draw(sized, rates(totals, w, total=3_000_000), 5, buckets=7)
+    assert n.select("doc_id", "n").exceptAll(few.select("doc_id", "n")).count() <= 3
+    mean = n.where("doc_id < 3000").agg(F.avg("n"), F.var_samp("n")).first()
+    assert abs(mean[0] - 1) < 0.1 and 0.8 < mean[1] < 1.2
 
 
 # -- truncation

@@ -208,6 +208,24 @@ def encode_corpus(documents: DataFrame, folder: str = TOKENIZERS, name: str = "b
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def decoded_bytes(encoded: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+    """(doc_id, bytes): how many bytes the ids of each row of ``encode_corpus`` stand for; 0 for an empty list."""
+
+    def run(batches):
+        vocabulary = ranks(folder, name)
+        sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            sizes[i] = len(token)
+        for batch in batches:
+            ids = batch.column("ids")
+            offs, flat = np.asarray(ids.offsets), np.asarray(ids.values)
+            ends = np.concatenate([[0], np.cumsum(sizes[flat])]) if len(flat) else np.zeros(1, np.int64)
+            at = np.clip(offs, 0, len(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ends[at[1:]] - ends[at[:-1]])], names=["doc_id", "bytes"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes long")
+
+
 def token_counts(documents: DataFrame, *keep: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """The kept columns with ``tokens``, the number of tokens of the text (0 for null)."""
 

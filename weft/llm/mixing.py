@@ -1,72 +1,97 @@
 """A mixture of sources with target shares of tokens, by Poisson replication.
 
-Every document gets a uniform number from a hash of its id and a seed; the number of its copies is the Poisson quantile of
-that number at its source's rate, cut at the source's most repeats. The rate is not taken from the expectation but solved
-on the drawn numbers: tokens per source and slice of the unit interval (a table bounded by sources x ``SLICES``) tell for
-any rate what the draw will hold, so the shares come out to within a slice, or a document where sources are small.
+A source whose tokens must come r times into the mixture has mean rate r. The number of copies of a document is the
+quantile of a Poisson distribution at a uniform number seeded by the document's hash, cut at the source's most repeats; the
+Poisson parameter is the one whose number, so cut, has the mean r. The uniform number is the document's place among the
+tokens of its source in the order of the hashes: each document has a uniform place, and the places of a source are spread
+evenly, so that what is drawn differs from its mean by little more than a document. Places are sums over hash buckets
+(per source and bucket, so a source with most of the rows is many groups) and within a bucket.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import checkpointed
+
 from .encoding import token_counts
 from .tokenizing import TOKENIZERS
 
-SLICES = 4096
-#: Most sources that a mixture may have; their table is broadcast.
-MOST_SOURCES = 10_000
+#: Groups of each source's documents by hash; they only spread the work and don't change the result.
+BUCKETS = 4096
+#: Where no size is given, the part of the copies it may have that the scarcest source gets on average; a cut Poisson number
+#: has a mean below its greatest value.
+FILL = 0.9
 
 
-def _cdf(rate: float, most: int) -> list[float]:
-    """P(count <= k) for k < most."""
-    p, total, out = math.exp(-rate), 0.0, []
+def cut_cdf(parameter: float, most: int) -> list[float]:
+    """P(N <= k) of a Poisson number for k < most, as far as it differs from 1."""
+    out, total = [], 0.0
     for k in range(most):
-        total += p
+        total += math.exp(k * math.log(parameter) - parameter - math.lgamma(k + 1)) if parameter > 0 else float(k == 0)
         out.append(min(1.0, total))
-        p *= rate / (k + 1)
+        if total >= 1.0 - 2.0**-53 and k > parameter:
+            break
     return out
 
 
-def _count(u: float, cdf: list[float]) -> int:
-    return sum(c <= u for c in cdf)
-
-
-def _held(slices: dict[int, int], rate: float, most: int) -> int:
-    cdf = _cdf(rate, most)
-    return sum(t * _count((s + 0.5) / SLICES, cdf) for s, t in slices.items())
+def cut_mean(parameter: float, most: int) -> float:
+    """The mean of a Poisson number cut at ``most``: the sum of P(N > k) for k < most."""
+    return math.fsum(1.0 - c for c in cut_cdf(parameter, most))
 
 
-def solve_rate(slices: dict[int, int], most: int, goal: float) -> float:
-    """The rate at which the drawn copies hold the goal's tokens as nearly as they can; it grows with the tokens held."""
-    lo, hi = 0.0, 60.0 + 4.0 * most
-    if _held(slices, hi, most) <= goal:
+def parameter_for(rate: float, most: int) -> float:
+    """The Poisson parameter whose number, cut at ``most``, has the mean ``rate``; a rate of ``most`` or more is all copies."""
+    if rate <= 0:
+        return 0.0
+    lo, hi = rate, 2.0 * most + 60.0 + 8.0 * math.sqrt(most)
+    if rate >= cut_mean(hi, most):
         return hi
-    for _ in range(60):
+    for _ in range(80):
         mid = (lo + hi) / 2
-        if _held(slices, mid, most) < goal:
+        if cut_mean(mid, most) < rate:
             lo = mid
         else:
             hi = mid
-    a, b = _held(slices, lo, most), _held(slices, hi, most)
-    return lo if goal - a < b - goal else hi
+    return (lo + hi) / 2
 
 
-def plan(totals: dict[str, dict[int, int]], weights: dict[str, tuple[float, int]], total: int | None = None) -> dict[str, tuple[float, int, float]]:
-    """source -> (rate, most repeats, target share) for sources with documents and a positive weight.
+def rates(totals: DataFrame, weights: DataFrame, total: int | None = None, fill: float = FILL) -> DataFrame:
+    """(source, tokens, maxRepeats, target, rate, cdf) of the sources with tokens and a positive weight and maxRepeats.
 
-    The weights of those are scaled to 1. Without ``total`` the mixture is as large as it can be while every share is
-    reached; with it, sources that can't reach their part give all copies they may.
+    ``totals`` has source, tokens. Targets are the weights scaled to 1. Without ``total`` the mixture is so large that the
+    scarcest source is repeated ``fill`` times maxRepeats on average; with it, sources that can't reach their part give
+    all copies they may. A source listed twice counts with its largest weight and maxRepeats.
     """
-    live = {s: (w, m) for s, (w, m) in weights.items() if w and w > 0 and m and m > 0 and sum(totals.get(s, {}).values()) > 0}
-    scale = sum(w for w, _ in live.values())
-    if not live:
-        return {}
-    size = total if total is not None else min(sum(totals[s].values()) * m * scale / w for s, (w, m) in live.items())
-    return {s: (solve_rate(totals[s], m, size * w / scale), m, w / scale) for s, (w, m) in live.items()}
+    w = weights.where("source is not null and weight > 0 and maxRepeats > 0").groupBy("source").agg(F.max("weight").cast("double").alias("weight"), F.max("maxRepeats").cast("long").alias("maxRepeats"))
+    live = checkpointed(totals.where("tokens > 0").join(w, "source"))  # a row a source
+    sums = live.agg(F.sum("weight").alias("w"), F.min(F.col("tokens") * F.col("maxRepeats") / F.col("weight")).alias("most"))
+    known = live.withColumn("s", sums.select(F.struct("*")).scalar())
+    size = F.lit(float(total)) if total is not None else F.col("s.most") * F.col("s.w") * fill
+    target = F.col("weight") / F.col("s.w")
+    rated = known.select("source", "tokens", "maxRepeats", target.alias("target"), (target * size / F.col("tokens")).alias("rate"))
+
+    def tables(batches):
+        for pdf in batches:
+            yield pdf.assign(cdf=[cut_cdf(parameter_for(r, int(m)), int(m)) for r, m in zip(pdf["rate"], pdf["maxRepeats"])])
+
+    return rated.mapInPandas(tables, "source string, tokens long, maxRepeats long, target double, rate double, cdf array<double>")
+
+
+def draw(sized: DataFrame, rated: DataFrame, seed: int, buckets: int = BUCKETS) -> DataFrame:
+    """``sized`` (doc_id, source, tokens, all tokens positive) with ``place`` in [0, 1) and ``n``, the number of copies."""
+    placed = sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.floor((F.shiftrightunsigned("h", 11) / float(1 << 53)) * buckets).cast("int"))
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed), F.lit("within")), 11) / float(1 << 53)
+    sums = placed.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"))
+    before = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sums.withColumn("base", before).join(rated.select("source", F.col("tokens").alias("all"), "cdf"), "source").select("source", "bucket", "base", "all", "cdf")
+    order = Window.partitionBy("source", "bucket").orderBy(F.shiftrightunsigned("h", 11), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumn("ahead", F.coalesce(F.sum("tokens").over(order), F.lit(0))).join(bases, ["source", "bucket"])
+    place = (F.col("base") + F.col("ahead") + F.col("tokens") * unit) / F.col("all")
+    return out.withColumn("place", place).withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("place"))))
 
 
 def mix(documents: DataFrame, weights: DataFrame, seed: int = 17, total: int | None = None, folder: str = TOKENIZERS) -> DataFrame:
@@ -76,35 +101,20 @@ def mix(documents: DataFrame, weights: DataFrame, seed: int = 17, total: int | N
     are not in the mixture; a source listed twice counts with its largest weight. Texts without tokens never change a share
     and are left out. doc_id is unique. The shares really reached are ``shares`` of the result.
     """
-    from weft.session import checkpointed
-
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SLICES)).cast("int")
-    sized = checkpointed(token_counts(documents.where("source is not null and text is not null"), "doc_id", "source", folder=folder).where("tokens > 0").withColumn("slice", unit))
-    w = weights.where("source is not null and weight > 0 and maxRepeats > 0").groupBy("source").agg(F.max("weight").alias("weight"), F.max("maxRepeats").alias("maxRepeats"))
-    table = w.limit(MOST_SOURCES + 1).collect()
-    if len(table) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    totals: dict[str, dict[int, int]] = {}
-    known = [r["source"] for r in table]
-    for r in sized.where(F.col("source").isin(known)).groupBy("source", "slice").agg(F.sum("tokens").alias("t")).toLocalIterator():
-        totals.setdefault(r["source"], {})[r["slice"]] = r["t"]
-    rates = plan(totals, {r["source"]: (r["weight"], r["maxRepeats"]) for r in table}, total)
-    rows = [(s, _cdf(rate, most)) for s, (rate, most, _) in rates.items()]
-    drawn = sized.sparkSession.createDataFrame(rows, "source string, cdf array<double>")
-    copies = F.size(F.filter("cdf", lambda c: c <= (F.col("slice") + 0.5) / SLICES))
-    out = sized.join(F.broadcast(drawn), "source").withColumn("n", copies).where("n > 0")
-    out = out.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    sized = checkpointed(token_counts(documents.where("source is not null and text is not null"), "doc_id", "source", folder=folder).where("tokens > 0"))
+    rated = rates(sized.groupBy("source").agg(F.sum("tokens").alias("tokens")), weights, total)
+    out = draw(sized, rated, seed).where("n > 0").select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     return out.withColumn("mix_order", F.xxhash64("doc_id", "copy", F.lit(seed + 1))).orderBy("mix_order", "doc_id", "copy").select("doc_id", "copy", "source", "tokens", "mix_order")
 
 
 def shares(mixture: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per source of the weights: weight, target_share (among sources with documents), tokens, copies, most_copies, share."""
+    """Per source of the weights: weight, max_repeats, target_share (among sources that are in the mixture), tokens, copies,
+    most_copies and the share really reached. The mixture is read once."""
     held = mixture.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("copies"), F.max("copy").alias("most_copies"))
-    out = weights.where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"), F.max("maxRepeats").alias("max_repeats")).join(held, "source", "left")
-    sums = out.agg(F.sum("tokens").alias("all"), F.sum(F.when(F.col("tokens").isNotNull(), F.col("weight"))).alias("live")).first()
-    every, live = sums["all"] or 1, sums["live"] or 1.0
-    return out.select(
-        "source", "weight", "max_repeats", F.when(F.col("tokens").isNotNull(), F.col("weight") / live).otherwise(0.0).alias("target_share"),
+    out = checkpointed(weights.where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"), F.max("maxRepeats").alias("max_repeats")).join(held, "source", "left"))
+    sums = out.agg(F.coalesce(F.sum("tokens"), F.lit(1)).alias("all"), F.coalesce(F.sum(F.when(F.col("tokens").isNotNull(), F.col("weight"))), F.lit(1.0)).alias("live"))
+    return out.withColumn("s", sums.select(F.struct("*")).scalar()).select(
+        "source", "weight", "max_repeats", F.when(F.col("tokens").isNotNull(), F.col("weight") / F.col("s.live")).otherwise(0.0).alias("target_share"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
-        (F.coalesce("tokens", F.lit(0)) / every).alias("share"),
+        (F.coalesce("tokens", F.lit(0)) / F.col("s.all")).alias("share"),
     )
