@@ -355,6 +355,34 @@ def test_appends_and_edits_are_exact(text, changes):
     assert e.ids() == encoding().encode_ordinary(e.text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abcé日", min_size=60, max_size=300), st.lists(st.tuples(st.integers(0, 300), st.integers(0, 9), st.text(alphabet="abc 日", max_size=9)), max_size=4))
+def test_edits_inside_long_pieces_are_exact(text, changes):
+    e = Encoded(bpe(), text)
+    for at, n, new in changes:
+        at = min(at, len(e))
+        e.edit(at, min(len(e), at + n), new)
+        assert e.ids() == encoding().encode_ordinary(e.text)
+
+
+def test_appends_and_edits_cost_what_is_new():
+    b, r, tried = bpe(), random.Random(3), []
+    real = b.valid
+    b.valid = lambda x, y: tried.append(1) or real(x, y)
+    try:
+        word = "".join(r.choice(string.ascii_lowercase) for _ in range(60_000))
+        for text in (word, "some words and more. " * 20_000):
+            e = Encoded(b, text)
+            for change in ((len(text), len(text), "x"), (len(text) // 2, len(text) // 2 + 1, "qz"), (9, 9, "y")):
+                tried.clear()
+                e.edit(*change)
+                assert len(tried) < 3000
+            assert e.ids() == encoding().encode_ordinary(e.text)
+            assert max(map(len, e.blocks)) <= 2 * Encoded.BLOCK and sum(e.sizes) == len(e.text)
+    finally:
+        b.valid = real
+
+
 def test_prefix_tables_extend():
     b = bpe()
     piece = b" antidisestablishmentarianismxqz"

@@ -21,6 +21,8 @@ from .tokenizing import PATTERN, TOKENIZERS, ranks
 _SPLIT = regex.compile(PATTERN)
 #: Bytes of a piece that is encoded through the memory of pieces; longer ones are encoded each time.
 REMEMBER, BOUND = 64, 500_000
+#: Ids of one batch that is handed back, at least, where a batch of texts has more.
+MOST_IDS = 1 << 26
 
 
 class Bpe:
@@ -79,25 +81,35 @@ class Bpe:
             else:
                 bound, right = right + 1, b[0]
 
-    def last_tokens(self, piece: bytes, known: list[int] | None = None) -> list[int]:
-        """For each prefix length 1..n the one token its encoding ends with; ``known`` are those of a shorter prefix.
+    def last_tokens(self, piece: bytes, known: list[int] | None = None, old: list[int] | None = None, shift: int = 0, edited: int = 0) -> list[int]:
+        """For each prefix length 1..n the one token its encoding ends with; ``known``, the table of a shorter prefix, is
+        extended in place, at the cost of the new bytes.
 
         Tokens are tried from each start on, up to the longest token with the two bytes there; of those that end at a place
-        the one that may follow the prefix before it is the last token, and there is exactly one.
+        the one that may follow the prefix before it is the last token, and there is exactly one. ``old`` is the table before
+        an edit that ended at byte ``edited`` and moved the rest by ``shift``: once as many entries behind it as the longest
+        token has bytes are the old ones, all that follow are, as nothing before them reaches further.
         """
-        last = list(known or [])
+        last = known if known is not None else []
         ranks, valid, reach, n, base = self.ranks, self.valid, self.reach, len(piece), len(last)
-        ending: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for j in range(max(0, base - self.longest), n):
+        low = max(0, base - self.longest)
+        ending: dict[int, list[tuple[int, int]]] = {}
+        same = 0
+        for j in range(low, n):
             for i in range(max(j, base) + 1, min(n, j + reach.get(piece[j : j + 2], 1)) + 1):
                 t = ranks.get(piece[j:i])
                 if t is not None:
-                    ending[i].append((j, t))
+                    ending.setdefault(i, []).append((j, t))
             if j >= base:
-                for start, t in ending[j + 1]:
+                for start, t in ending.pop(j + 1):
                     if start == 0 or valid(last[start - 1], t):
                         last.append(t)
                         break
+                if old is not None and j + 1 > edited:
+                    same = same + 1 if last[j] == old[j - shift] else 0
+                    if same > self.longest:
+                        last += old[j + 1 - shift :]
+                        break
         return last
 
     def walk(self, last: list[int], end: int | None = None) -> list[int]:
@@ -141,48 +153,137 @@ class Bpe:
         return out
 
 
+class Piece:
+    """A piece of a text between two splits; a long one keeps its table of last tokens."""
+
+    __slots__ = ("text", "table")
+
+    def __init__(self, bpe: Bpe, text: str, table: list[int] | None = None):
+        self.text, self.table = text, table
+        if table is None and len(text) > REMEMBER:
+            self.table = bpe.last_tokens(text.encode("utf-8", "replace"))
+
+    def ids(self, bpe: Bpe) -> tuple[int, ...] | list[int]:
+        return bpe.word(self.text) if self.table is None else bpe.walk(self.table)
+
+    def last(self, bpe: Bpe) -> list[int]:
+        return self.table if self.table is not None else bpe.last_tokens(self.text.encode("utf-8", "replace"))
+
+
 class Encoded:
-    """A text with its encoding by pieces, for exact appends and edits."""
+    """A text with its encoding by pieces, for exact appends and edits.
+
+    Pieces lie in blocks with their lengths, so that a place is found without counting all of them, and the text itself is only
+    the pieces. An edit splits again from two pieces before it up to where old and new pieces meet. Of a long piece that
+    it changes, the table of last tokens is kept up to the edit, and from where old and new tables agree again; an append
+    extends the table of the last piece by the new bytes. Lone surrogates are encoded as '?'.
+    """
+
+    BLOCK = 512
 
     def __init__(self, bpe: Bpe, text: str = ""):
-        self.bpe, self.text = bpe, text
-        self.spans = [m.span() for m in _SPLIT.finditer(text)]
-        self.tokens = [bpe.encode_piece(text[a:b].encode("utf-8", "replace")) for a, b in self.spans]
+        self.bpe = bpe
+        self.blocks: list[list[Piece]] = [[]]
+        self.sizes = [0]
+        self._put(0, 0, 0, [Piece(bpe, m.group()) for m in _SPLIT.finditer(text)])
+
+    def __len__(self) -> int:
+        return sum(self.sizes)
+
+    @property
+    def text(self) -> str:
+        return "".join(p.text for b in self.blocks for p in b)
 
     def ids(self) -> list[int]:
-        return [t for p in self.tokens for t in p]
+        return [t for b in self.blocks for p in b for t in p.ids(self.bpe)]
 
     def append(self, more: str) -> None:
-        self.edit(len(self.text), len(self.text), more)
+        n = len(self)
+        self.edit(n, n, more)
+
+    def _put(self, k: int, i: int, drop: int, new: list[Piece]) -> None:
+        """Replaces ``drop`` pieces from piece i of block k on, over as many blocks as they take."""
+        rest, last = drop, k
+        while last + 1 < len(self.blocks) and rest > len(self.blocks[last]) - (i if last == k else 0):
+            rest -= len(self.blocks[last]) - (i if last == k else 0)
+            last += 1
+        end = (i if last == k else 0) + rest
+        joined = self.blocks[k][:i] + new + self.blocks[last][end:]
+        parts = [joined[a : a + self.BLOCK] for a in range(0, len(joined), self.BLOCK)] if len(joined) > 2 * self.BLOCK else [joined]
+        self.blocks[k : last + 1] = parts
+        self.sizes[k : last + 1] = [sum(len(p.text) for p in b) for b in parts]
 
     def edit(self, start: int, end: int, new: str) -> None:
-        """Replaces text[start:end]; only pieces near the edit are split and encoded again."""
-        text = self.text[:start] + new + self.text[end:]
-        shift = len(new) - (end - start)
-        k = 0
-        lo, hi = 0, len(self.spans)
-        while lo < hi:  # first piece that ends at or after the edit
-            mid = (lo + hi) // 2
-            if self.spans[mid][1] < start:
-                lo = mid + 1
+        """Replaces text[start:end]."""
+        k, at = 0, 0
+        while k + 1 < len(self.blocks) and at + self.sizes[k] < start:
+            at += self.sizes[k]
+            k += 1
+        i, block = 0, self.blocks[k]
+        while i < len(block) and at + len(block[i].text) < start:
+            at += len(block[i].text)
+            i += 1
+        for _ in range(2):  # a split may depend on what follows it
+            if i == 0 and k > 0:
+                k, i = k - 1, len(self.blocks[k - 1])
+            if i > 0:
+                i -= 1
+                at -= len(self.blocks[k][i].text)
+        old, fresh, end0, lead = [], [], end - at, start - at
+        source = self._from(k, i)
+        shift, done = len(new) - (end - start), False
+        length, want = 0, 4
+        while not done:
+            # take old pieces until the edit lies inside what was taken, then ever more until the splits meet
+            taken, want = 0, 2 * want
+            while (length <= end0 or taken < want) and (p := next(source, None)) is not None:
+                old.append(p)
+                length += len(p.text)
+                taken += 1
+            over = p is None
+            window = "".join(p.text for p in old)
+            changed = window[:lead] + new + window[end0:]
+            ends = {0: 0}
+            n = 0
+            for j, p in enumerate(old, 1):
+                n += len(p.text)
+                ends[n] = j
+            spans = [m.span() for m in _SPLIT.finditer(changed)]
+            fresh, met = spans, len(old)
+            if over:
+                done = True
             else:
-                hi = mid
-        k = max(0, lo - 2)
-        at = self.spans[k][0] if self.spans else 0
-        old = {a: i for i, (a, _) in enumerate(self.spans[k:], k) if a >= end}
-        spans, tokens = self.spans[:k], self.tokens[:k]
-        met = None
-        for m in _SPLIT.finditer(text, at):
-            a, b = m.span()
-            if a >= start + len(new) and (i := old.get(a - shift)) is not None and self.spans[i][1] + shift == b and a > start + len(new):
-                met = i
-                break
-            spans.append((a, b))
-            tokens.append(self.bpe.encode_piece(text[a:b].encode("utf-8", "replace")))
-        if met is not None:
-            spans += [(a + shift, b + shift) for a, b in self.spans[met:]]
-            tokens += self.tokens[met:]
-        self.text, self.spans, self.tokens = text, spans, tokens
+                # the last two splits of the window may depend on what follows it
+                for j, (a, b) in enumerate(spans[:-2]):
+                    o = ends.get(a - shift)
+                    if a > lead + len(new) and o is not None and o < len(old) and len(old[o].text) == b - a:
+                        fresh, met, done = spans[:j], o, True
+                        break
+        self._put(k, i, met, [self._piece(changed[a:b], a, old[:met], lead, end0, len(new)) for a, b in fresh])
+
+    def _from(self, k: int, i: int):
+        while k < len(self.blocks):
+            yield from self.blocks[k][i:]
+            k, i = k + 1, 0
+
+    def _piece(self, text: str, a: int, old: list[Piece], lead: int, end: int, new: int) -> Piece:
+        """The piece of the changed text at a: with the table of the old one that began there, as far as they agree."""
+        at = 0
+        for p in old:
+            if at == a and at + len(p.text) >= lead >= at and len(text) > REMEMBER:
+                kept = p.text[: lead - at]
+                raw, before = text.encode("utf-8", "replace"), len(kept.encode("utf-8", "replace"))
+                table = p.last(self.bpe)
+                if not text.startswith(kept) or before > len(table):
+                    break
+                if before == len(table):
+                    return Piece(self.bpe, text, self.bpe.last_tokens(raw, table))
+                tail, edited = None, len(text[: lead - at + new].encode("utf-8", "replace"))
+                if at + len(p.text) > end and text[lead - at + new :] == p.text[end - at :]:
+                    tail = table
+                return Piece(self.bpe, text, self.bpe.last_tokens(raw, table[:before], tail, len(raw) - len(table), edited))
+            at += len(p.text)
+        return Piece(self.bpe, text)
 
 
 @lru_cache(maxsize=2)
@@ -199,15 +300,41 @@ def encode_corpus(documents: DataFrame, folder: str = TOKENIZERS, name: str = "b
     def run(batches):
         b = bpe(folder, name)
         for batch in batches:
-            lists = [b.encode(t) if t else [] for t in batch.column("text").to_pylist()]
-            flat = np.fromiter((x for y in lists for x in y), dtype=np.int32, count=sum(map(len, lists)))
-            offs = np.zeros(len(lists) + 1, np.int32)
-            np.cumsum([len(x) for x in lists], out=offs[1:])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["doc_id", "ids"])
+            lists, first, held = [], 0, 0
+            for k, t in enumerate(batch.column("text").to_pylist(), 1):
+                lists.append(b.encode(t) if t else [])
+                held += len(lists[-1])
+                if held >= MOST_IDS or k == batch.num_rows:  # offsets are 32 bits
+                    flat = np.fromiter((x for y in lists for x in y), dtype=np.int32, count=held)
+                    offs = np.zeros(len(lists) + 1, np.int32)
+                    np.cumsum([len(x) for x in lists], out=offs[1:])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(lists)), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["doc_id", "ids"])
+                    lists, first, held = [], k, 0
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def grown_otherwise(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+    """(doc_id, same): whether a text that grew by an append and edits has the ids of its whole; true for null and empty texts."""
+
+    def run(batches):
+        b = bpe(folder, name)
+        for pdf in batches:
+            same = []
+            for t in pdf["text"]:
+                t = t if isinstance(t, str) else ""
+                n = len(t)
+                e = Encoded(b, t[: n // 3])
+                e.append(t[n // 2 :])
+                e.edit(n // 3, n // 3, t[n // 3 : n // 2])
+                e.edit(n // 4, n // 4 + 1, "?!")
+                e.edit(n // 4, n // 4 + 2, t[n // 4 : n // 4 + 1])
+                same.append(e.ids() == b.encode(t))
+            yield pdf[["doc_id"]].assign(same=same)
+
+    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, same boolean")
+
+
 def decoded_bytes(encoded: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """(doc_id, bytes): how many bytes the ids of each row of ``encode_corpus`` stand for; 0 for an empty list."""
 

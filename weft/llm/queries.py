@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weft.sources.tables import table
 
 from .checking import acceptance, check_files
-from .encoding import decoded_bytes, encode_corpus, token_counts
+from .encoding import decoded_bytes, encode_corpus, grown_otherwise, token_counts
 from .lexing import EXTENSIONS
 from .mixing import mix, rates, shares
 from .origin import classify_origin
@@ -110,6 +110,11 @@ def p8_bytes(spark, sf):
     return decoded_bytes(encode_corpus(table(spark, sf, "documents")))
 
 
+def p8_edited(spark, sf):
+    """Whether the ids of each text come out alike when it grows by an append and edits."""
+    return grown_otherwise(table(spark, sf, "documents"))
+
+
 def p9_rates(spark, sf):
     """The sources that take part, with their most repeats and target shares."""
     sized = token_counts(table(spark, sf, "documents").where("source is not null and text is not null"), "source").groupBy("source").agg(F.sum("tokens").alias("tokens"))
@@ -134,7 +139,7 @@ def p10_rates(spark, sf):
     return t.groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.col("cut").cast("int")).alias("cut"), F.round(F.avg(F.col("cut").cast("int")), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_covered, p3_found, p3_errors, p3_rates, p4_found, p4_spans, p4_redacted, p5_found, p5_origins, p7_found, p7_shares, p8_ids, p8_counts, p8_bytes, p9_rates, p9_mixture, p9_shares, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_covered, p3_found, p3_errors, p3_rates, p4_found, p4_spans, p4_redacted, p5_found, p5_origins, p7_found, p7_shares, p8_ids, p8_counts, p8_bytes, p8_edited, p9_rates, p9_mixture, p9_shares, p10_found, p10_rates)}
 
 SQL = {
     "p1_found": """
@@ -144,6 +149,7 @@ SQL = {
         SELECT e.seq, e.id, length(e.content)::BIGINT AS covered, true AS fits FROM embeddable_nodes e JOIN registry r ON r.name = e.repo
         JOIN embedding_config c ON c.configId = r.configId WHERE length(e.content) > c.maxSnippetLength""",
     "p8_bytes": "SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes FROM documents",
+    "p8_edited": "SELECT doc_id, true AS same FROM documents",
     "p9_rates": """
         WITH w AS (SELECT source, max(weight) AS weight, max(maxRepeats)::BIGINT AS max_repeats FROM source_weights
                    WHERE source IS NOT NULL AND weight > 0 AND maxRepeats > 0 GROUP BY source),
