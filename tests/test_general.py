@@ -83,3 +83,19 @@ def test_shuffle_way_equals_broadcast_way(spark, monkeypatch):
     a = _pending(O.advance(O.empty(spark), refs, e))
     monkeypatch.setattr(O, "BROADCAST", -1)
     assert a == _pending(O.advance(O.empty(spark), refs, e)) and len(a) == 50
+
+
+def test_a_step_reads_and_writes_only_what_it_touches(spark, tmp_path):
+    at = dt(2025, 1, 1)
+    refs = _refs(spark, [(f"r{i}", f"Function:{i % 40}", "Function:hub" if i % 3 else None, "", at, at) for i in range(300)]).drop("at")
+    none, dels = spark.createDataFrame([], "id string, indexedAt timestamp_ntz"), "nodeId string, deletedAt timestamp_ntz"
+    nodes = spark.createDataFrame([("Function:hub", at), *[(f"Function:{i}", at) for i in range(30)]], none.schema)
+    s = O.advance(O.empty(spark, str(tmp_path / "s"), buckets=32), refs, O.parents(nodes, [], spark.createDataFrame([], dels)).drop("at"))
+    before = _pending(s)
+    deletion = O.parents(none, [], spark.createDataFrame([("Function:7", dt(2025, 2, 1))], dels)).drop("at")
+    t = O.advance(s, refs.limit(0), deletion)
+    assert _pending(t) - before == {(f"r{i}", "source") for i in range(300) if i % 40 == 7} and before <= _pending(t)
+    for table in ("index", "pending"):
+        assert len(list((tmp_path / "s" / table / "v=2").glob("bucket=*"))) == 1
+        assert sum(v != [1] for v in t.store.held[table].values()) == 1
+    assert not list((tmp_path / "s" / "refs" / "v=2").glob("bucket=*")) and _pending(s) == before

@@ -84,7 +84,7 @@ def test_orphan_stream_equals_batch(spark, sf, tmp_path):
     from weft.operators.orphans import parents, references
     from weft.queries.general import p6_found
     from weft.sources.tables import table
-    from weft.streaming.orphans import CHANGES, changes_of, follow
+    from weft.streaming.orphans import CHANGES, changes_of, follow, waiting
 
     refs = references(table(spark, sf, "graph_relationships")).drop("at")
     fixed = [table(spark, sf, t).select("id") for t in ("shared_nodes", "communities", "processes")]
@@ -95,5 +95,5 @@ def test_orphan_stream_equals_batch(spark, sf, tmp_path):
     for part in (a, b):
         part.coalesce(1).write.mode("append").parquet(src)
         follow(spark.readStream.schema(CHANGES).parquet(src), target, str(tmp_path / "c")).awaitTermination()
-    got = sorted(map(tuple, current(spark, f"{target}/pending").select("id", "ref_end").distinct().collect()))
+    got = sorted(map(tuple, waiting(spark, target).select("id", "ref_end").distinct().collect()))
     assert got == sorted(map(tuple, p6_found(spark, sf).collect()))

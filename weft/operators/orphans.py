@@ -1,40 +1,42 @@
 """References to records that don't exist, kept as incremental state.
 
-The state has an index of parents (per key: is it in a table without deletions, last arrival, last deletion), the references
-seen so far, and those that wait for a parent. A step takes new references, arrivals and deletions: new references probe the
-index, arrivals resolve the references that wait for their key, deletions reopen references that were resolved. Index entries
-merge by maximum, so steps may be repeated and may come in any cut; the last state doesn't depend on it.
-
-Keys are compared by 128 bits of two hashes of the whole id, exact for any number of keys that can be stored. Only distinct
-keys are shuffled, so a key with a third of all references costs one probe a partition; references themselves never move
-while the keys that matter fit ``BROADCAST`` rows, which is counted first, and are joined by a shuffle beyond that.
+The state lies in a bucketed store (``operators.store``): an index of parents (per key: is it in a table without deletions, last
+arrival, last deletion), the references seen so far, and those that wait for a parent, all by the key's bucket. A step takes
+new references, arrivals and deletions. New references probe the buckets of the index they name; arrivals take references
+with their key out of the waiting ones; deletions read the references of the deleted keys' buckets and let them wait again.
+No other bucket is read or written, so a step costs what it touches, however much was seen before. Index entries merge by
+maximum and a step may be repeated, and may come in any cut; the last state doesn't depend on it.
+
+Keys are compared exactly. Only distinct keys are joined with the index. Where references meet a table of keys, it is
+broadcast up to ``BROADCAST`` keys, by count; beyond that both sides are shuffled by key and salt, so that a key with a third
+of all references is the work of many tasks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.operators.store import BUCKETS, Store, scratch
 from weft.session import checkpointed
 
-INDEX = "h1 long, h2 long, fixed boolean, arrived timestamp_ntz, deleted timestamp_ntz"
-REFS = "id string, ref_end string, h1 long, h2 long, ref_table string, month string"
-KEY = ["h1", "h2"]
-#: Most key rows (of 16 bytes) that are broadcast.
-BROADCAST = 1_000_000
+INDEX = "key string, fixed boolean, arrived timestamp_ntz, deleted timestamp_ntz"
+REFS = "key string, id string, ref_end string, ref_table string, month string"
+#: Most keys that are broadcast, and the parts of each key in a shuffle.
+BROADCAST, SALTS = 20_000, 8
 
 
 @dataclass
 class State:
-    index: DataFrame
-    refs: DataFrame | None
-    pending: DataFrame
+    store: Store
+    version: int = 0
 
-
-def hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7919), key, F.lit("#")).alias("h2")]
+    @property
+    def pending(self) -> DataFrame:
+        """The waiting references as they stood after this step; later steps write other files."""
+        return self.store.read("pending", schema=REFS)
 
 
 def exists() -> Column:
@@ -44,37 +46,50 @@ def exists() -> Column:
 
 
 def merged(entries: DataFrame) -> DataFrame:
-    return entries.groupBy(*KEY).agg(F.max("fixed").alias("fixed"), F.max("arrived").alias("arrived"), F.max("deleted").alias("deleted"))
+    return entries.groupBy("key").agg(F.max("fixed").alias("fixed"), F.max("arrived").alias("arrived"), F.max("deleted").alias("deleted"))
 
 
 def having_key(refs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
-    """refs joined with a table of distinct keys, broadcast if it is small by count (the table is checkpointed)."""
-    small = keys.limit(BROADCAST + 1).count() <= BROADCAST
-    return refs.join(F.broadcast(keys) if small else keys, KEY, how)
-
-
-def orphans_of(refs: DataFrame, index: DataFrame) -> DataFrame:
-    """The references whose key has no existing parent."""
-    missing = checkpointed(refs.select(*KEY).distinct().join(index, KEY, "left").where(~exists()).select(*KEY))
-    return having_key(refs, missing)
+    """refs with (left_semi) or without (left_anti) a key of a checkpointed table of distinct keys."""
+    if keys.limit(BROADCAST + 1).count() <= BROADCAST:
+        return refs.join(F.broadcast(keys), "key", how)
+    spread = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = refs.withColumn("salt", F.pmod(F.xxhash64("id", "ref_end"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread.hint("merge"), ["key", "salt"], how).drop("salt")
 
 
-def empty(spark) -> State:
-    return State(spark.createDataFrame([], INDEX), None, spark.createDataFrame([], REFS))
+def empty(spark: SparkSession, folder: str | None = None, buckets: int = BUCKETS) -> State:
+    """A state without entries; its folder is one in the shared checkpoint folder unless it is given."""
+    return State(Store(spark, folder or scratch(spark, "orphans"), buckets))
 
 
-def advance(state: State, refs: DataFrame, entries: DataFrame) -> State:
+def advance(state: State, refs: DataFrame, entries: DataFrame, version: int | None = None) -> State:
     """One step: new references and new index entries (arrivals and deletions)."""
+    spark, n = refs.sparkSession, state.version + 1 if version is None else version
+    store = state.store.copy()
     delta = checkpointed(merged(entries))
-    index = checkpointed(merged(state.index.unionByName(delta)))
-    fresh = refs
-    if state.refs is not None:
-        removed = delta.where("deleted is not null").select(*KEY)
-        reopened = having_key(state.refs, removed)
-        waiting = state.pending.unionByName(reopened)  # arrivals may have come for the first, deletions for the second
-        fresh = refs.unionByName(waiting.distinct())
-    pending = checkpointed(orphans_of(fresh, index))
-    return State(index, refs if state.refs is None else state.refs.unionByName(refs), pending)
+    store.write("refs", refs.select(*[c.split()[0] for c in REFS.split(", ")]), "key", n, [], False)
+    fresh = spark.read.schema(REFS + ", bucket int").parquet(f"{store.folder}/refs/v={n}")
+    named = checkpointed(fresh.select("key").distinct())
+    by_entry, by_ref = store.touched(delta, "key"), store.touched(named, "key")
+    store.keep("refs", by_ref, n)
+    store.write("index", merged(store.read("index", by_entry, INDEX).unionByName(delta)), "key", n, by_entry, True)
+    # the touched keys as they stand now
+    index = store.read("index", sorted({*by_entry, *by_ref}), INDEX)
+    now = index.join(delta.select("key").hint("merge"), "key", "left_semi").select("key", exists().alias("there"))
+    now = checkpointed(now)
+    missing = checkpointed(named.join(index.where(exists()).select("key").hint("merge"), "key", "left_anti"))
+    orphans = having_key(fresh.drop("bucket"), missing)
+    waiting = having_key(store.read("pending", by_entry, REFS), checkpointed(now.where("there").select("key")), "left_anti")
+    gone = checkpointed(now.where("not there").select("key"))
+    reopened = having_key(store.read("refs", store.touched(gone, "key"), REFS, below=n), gone)
+    # buckets with entries are written anew, those with references only get more rows
+    names = [c.split()[0] for c in REFS.split(", ")]
+    again = waiting.select(*names).unionByName(reopened.select(*names)).distinct()
+    store.write("pending", again.unionByName(orphans.select(*names)), "key", n, by_entry, True)
+    store.keep("pending", sorted(set(by_ref) - set(by_entry)), n)
+    store.commit(n)
+    return State(store, n)
 
 
 def table_of(key: Column, reason: Column) -> Column:
@@ -91,7 +106,7 @@ def references(relationships: DataFrame) -> DataFrame:
     """One row per relationship row and end that is not null, with the time it came in."""
     ends = F.explode(F.array(F.struct(F.lit("source").alias("ref_end"), F.col("sourceId").alias("key")), F.struct(F.lit("target").alias("ref_end"), F.col("targetId").alias("key"))))
     r = relationships.select("id", "reason", "observedAt", F.col("ingestedAt").alias("at"), ends.alias("e")).where("e.key is not null")
-    return r.select("id", F.col("e.ref_end").alias("ref_end"), *hashes(F.col("e.key")), table_of(F.col("e.key"), F.col("reason")).alias("ref_table"), F.date_format("observedAt", "yyyy-MM").alias("month"), "at")
+    return r.select("id", F.col("e.ref_end").alias("ref_end"), F.col("e.key").alias("key"), table_of(F.col("e.key"), F.col("reason")).alias("ref_table"), F.date_format("observedAt", "yyyy-MM").alias("month"), "at")
 
 
 def parents(nodes: DataFrame, fixed: list[DataFrame], deletions: DataFrame) -> DataFrame:
@@ -101,7 +116,7 @@ def parents(nodes: DataFrame, fixed: list[DataFrame], deletions: DataFrame) -> D
     out = out.unionByName(deletions.select(F.col("nodeId").alias("key"), F.lit(False).alias("fixed"), null.alias("arrived"), F.col("deletedAt").alias("deleted"), F.col("deletedAt").alias("at")))
     for t in fixed:
         out = out.unionByName(t.select(F.col("id").alias("key"), F.lit(True).alias("fixed"), null.alias("arrived"), null.alias("deleted"), null.alias("at")))
-    return out.where("key is not null").select(*hashes(F.col("key")), "fixed", "arrived", "deleted", "at")
+    return out.where("key is not null").select("key", "fixed", "arrived", "deleted", "at")
 
 
 def replay(refs: DataFrame, entries: DataFrame, cuts: list[str]) -> list[tuple[str, State]]:

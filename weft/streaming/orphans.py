@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators.orphans import INDEX, REFS, State, advance, empty
-from weft.streaming.events import current
+from weft.operators.orphans import INDEX, REFS, State, advance
+from weft.operators.store import BUCKETS, Store
 
 #: One table for the stream: kind 'ref' uses the columns of a reference, kind 'entry' those of an index entry.
-CHANGES = "kind string, id string, ref_end string, h1 long, h2 long, ref_table string, month string, fixed boolean, arrived timestamp_ntz, deleted timestamp_ntz"
+CHANGES = "kind string, id string, ref_end string, key string, ref_table string, month string, fixed boolean, arrived timestamp_ntz, deleted timestamp_ntz"
 
 
 def changes_of(refs: DataFrame, entries: DataFrame) -> DataFrame:
@@ -17,22 +17,18 @@ def changes_of(refs: DataFrame, entries: DataFrame) -> DataFrame:
     return r.unionByName(e, allowMissingColumns=True)
 
 
-def follow(changes: DataFrame, target: str, checkpoint: str):
-    """Keeps index, references and pending orphans under ``target``; a batch writes new versions of index and pending, and
-    adds a folder of references of its own, so running it again changes nothing."""
+def follow(changes: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS):
+    """Keeps index, references and pending orphans under ``target``, a bucketed store; a micro-batch reads and writes the
+    buckets it touches, and a batch that is run again starts from the manifest before it, so that nothing counts twice."""
 
     def step(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        index, pending = current(spark, f"{target}/index", n), current(spark, f"{target}/pending", n)
-        start = empty(spark)
-        seen = None
-        if index is not None:
-            seen = spark.read.schema(REFS + ", v int").parquet(f"{target}/refs").where(F.col("v") < n).drop("v")
         refs = batch.where("kind = 'ref'").selectExpr(*[c.split()[0] for c in REFS.split(", ")])
         entries = batch.where("kind = 'entry'").selectExpr(*[c.split()[0] for c in INDEX.split(", ")])
-        state = advance(State(index if index is not None else start.index, seen, pending if pending is not None else start.pending), refs, entries)
-        refs.write.mode("overwrite").parquet(f"{target}/refs/v={n}")
-        state.index.write.mode("overwrite").parquet(f"{target}/index/v={n}")
-        state.pending.write.mode("overwrite").parquet(f"{target}/pending/v={n}")
+        advance(State(Store(batch.sparkSession, target, buckets, before=n)), refs, entries, n)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def waiting(spark: SparkSession, target: str) -> DataFrame:
+    """The pending orphans that the stream has left."""
+    return State(Store(spark, target)).pending
