@@ -19,13 +19,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators.store import BUCKETS, Store, scratch
+from weft.operators.store import BUCKETS, Store, bucket_of, scratch
 from weft.session import checkpointed
 
 INDEX = "key string, fixed boolean, arrived timestamp_ntz, deleted timestamp_ntz"
 REFS = "key string, id string, ref_end string, ref_table string, month string"
-#: Most keys that are broadcast, and the parts of each key in a shuffle.
-BROADCAST, SALTS = 20_000, 8
+#: The tables that references name, and references as they are stored: end and table in one number, months counted.
+TABLES = ["parsed_nodes", "shared_nodes", "communities", "processes"]
+PACKED = "key string, id string, kind tinyint, month int"
+#: Most keys that are broadcast (about 100 bytes each), and the parts of each key in a shuffle.
+BROADCAST, SALTS = 200_000, 4
 
 
 @dataclass
@@ -36,7 +39,18 @@ class State:
     @property
     def pending(self) -> DataFrame:
         """The waiting references as they stood after this step; later steps write other files."""
-        return self.store.read("pending", schema=REFS)
+        return unpacked(self.store.read("pending", schema=PACKED))
+
+
+def packed(refs: DataFrame) -> DataFrame:
+    kind = (F.array_position(F.array(*map(F.lit, TABLES)), F.col("ref_table")) - 1) * 2 + (F.col("ref_end") == "target").cast("int")
+    month = F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int") - 1
+    return refs.select("key", "id", kind.cast("tinyint").alias("kind"), month.alias("month"))
+
+
+def unpacked(refs: DataFrame) -> DataFrame:
+    month = F.format_string("%04d-%02d", F.floor(F.col("month") / 12), F.col("month") % 12 + 1)
+    return refs.select("key", "id", F.when(F.col("kind") % 2 == 1, "target").otherwise("source").alias("ref_end"), F.element_at(F.array(*map(F.lit, TABLES)), F.floor(F.col("kind") / 2).cast("int") + 1).alias("ref_table"), F.when(F.col("month").isNotNull(), month).alias("month"))
 
 
 def exists() -> Column:
@@ -54,7 +68,7 @@ def having_key(refs: DataFrame, keys: DataFrame, how: str = "left_semi") -> Data
     if keys.limit(BROADCAST + 1).count() <= BROADCAST:
         return refs.join(F.broadcast(keys), "key", how)
     spread = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = refs.withColumn("salt", F.pmod(F.xxhash64("id", "ref_end"), F.lit(SALTS)).cast("int"))
+    salted = refs.withColumn("salt", F.pmod(F.xxhash64("id", "kind"), F.lit(SALTS)).cast("int"))
     return salted.join(spread.hint("merge"), ["key", "salt"], how).drop("salt")
 
 
@@ -68,25 +82,24 @@ def advance(state: State, refs: DataFrame, entries: DataFrame, version: int | No
     spark, n = refs.sparkSession, state.version + 1 if version is None else version
     store = state.store.copy()
     delta = checkpointed(merged(entries))
-    store.write("refs", refs.select(*[c.split()[0] for c in REFS.split(", ")]), "key", n, [], False)
-    fresh = spark.read.schema(REFS + ", bucket int").parquet(f"{store.folder}/refs/v={n}")
-    named = checkpointed(fresh.select("key").distinct())
-    by_entry, by_ref = store.touched(delta, "key"), store.touched(named, "key")
-    store.keep("refs", by_ref, n)
-    store.write("index", merged(store.read("index", by_entry, INDEX).unionByName(delta)), "key", n, by_entry, True)
-    # the touched keys as they stand now
+    by_entry = store.touched(delta, "key")
+    by_ref = store.write("refs", packed(refs), "key", n, None, False)
+    fresh = store.read("refs", by_ref, PACKED, of=n)
+    # the touched keys as they stand now, each moved once; buckets as the unit of work are the partitions of the files too
+    old = store.read("index", by_entry, INDEX).withColumn("new", F.lit(False))
+    both = old.unionByName(delta.withColumn("new", F.lit(True))).withColumn("bucket", bucket_of("key", store.buckets)).repartition("bucket")
+    standing = checkpointed(both.groupBy("bucket", "key").agg(*[F.max(c).alias(c) for c in ("fixed", "arrived", "deleted", "new")], F.max(~F.col("new") & exists()).alias("was")))
+    store.put("index", standing.drop("new", "was"), n, by_entry)
     index = store.read("index", sorted({*by_entry, *by_ref}), INDEX)
-    now = index.join(delta.select("key").hint("merge"), "key", "left_semi").select("key", exists().alias("there"))
-    now = checkpointed(now)
-    missing = checkpointed(named.join(index.where(exists()).select("key").hint("merge"), "key", "left_anti"))
-    orphans = having_key(fresh.drop("bucket"), missing)
-    waiting = having_key(store.read("pending", by_entry, REFS), checkpointed(now.where("there").select("key")), "left_anti")
-    gone = checkpointed(now.where("not there").select("key"))
-    reopened = having_key(store.read("refs", store.touched(gone, "key"), REFS, below=n), gone)
+    missing = checkpointed(fresh.select("key").distinct().join(index.where(exists()).select("key").hint("merge"), "key", "left_anti"))
+    orphans = having_key(fresh, missing)
+    there = checkpointed(standing.where(F.col("new") & exists()).select("key"))
+    waiting = having_key(store.read("pending", by_entry, PACKED), there, "left_anti")
+    gone = checkpointed(standing.where(F.col("new") & F.col("was") & ~exists()).select("key"))  # others wait already
+    reopened = having_key(store.read("refs", store.touched(gone, "key"), PACKED, below=n), gone)
     # buckets with entries are written anew, those with references only get more rows
-    names = [c.split()[0] for c in REFS.split(", ")]
-    again = waiting.select(*names).unionByName(reopened.select(*names)).distinct()
-    store.write("pending", again.unionByName(orphans.select(*names)), "key", n, by_entry, True)
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    store.write("pending", waiting.select(*names).unionByName(reopened.select(*names)).unionByName(orphans.select(*names)), "key", n, by_entry, True)
     store.keep("pending", sorted(set(by_ref) - set(by_entry)), n)
     store.commit(n)
     return State(store, n)

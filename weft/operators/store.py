@@ -59,13 +59,14 @@ class Store:
         """The buckets of a table of rows: at most ``buckets`` numbers."""
         return sorted(r[0] for r in rows.select(bucket_of(key, self.buckets).alias("b")).distinct().collect())
 
-    def read(self, table: str, buckets: list[int] | None = None, schema: str | None = None, below: int | None = None) -> DataFrame:
-        """The rows of some buckets, or all; only versions and buckets of the manifest are read."""
+    def read(self, table: str, buckets: list[int] | None = None, schema: str | None = None, below: int | None = None, of: int | None = None) -> DataFrame:
+        """The rows of some buckets, or all; only versions and buckets of the manifest are read, if asked only those below a
+        version or of one."""
         held = self.held.get(table, {})
         by: dict[int, list[int]] = {}
         for b in held if buckets is None else buckets:
             for v in held.get(b, ()):
-                if below is None or v < below:
+                if (below is None or v < below) and (of is None or v == of):
                     by.setdefault(v, []).append(b)
         if not by:
             return self.spark.createDataFrame([], schema or self.schemas[table])
@@ -77,15 +78,24 @@ class Store:
         df = self.spark.read.option("basePath", base).schema(self.schemas[table] + ", v int, bucket int").parquet(*[f"{base}/v={v}" for v in sorted(by)])
         return df.where(cond).drop("v", "bucket")
 
-    def write(self, table: str, rows: DataFrame, key: str, version: int, touched: list[int], replace: bool) -> None:
-        """Writes the rows of the touched buckets: instead of what they held, or besides it. A large bucket is split over
-        several files and tasks, small ones share a task."""
-        self.schemas[table] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        rows.withColumn("bucket", bucket_of(key, self.buckets)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{table}/v={version}")
+    def write(self, table: str, rows: DataFrame, key: str, version: int, touched: list[int] | None, replace: bool) -> list[int]:
+        """Writes the rows of the touched buckets (None: those that rows have): instead of what they held, or besides it.
+        A large bucket is split over several files and tasks, small ones share a task. Gives the buckets."""
+        return self.put(table, rows.withColumn("bucket", bucket_of(key, self.buckets)).hint("rebalance", "bucket"), version, touched, replace)
+
+    def put(self, table: str, rows: DataFrame, version: int, touched: list[int] | None, replace: bool = True) -> list[int]:
+        """The same for rows that have their bucket and lie together by it."""
+        self.schemas[table] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "bucket")
+        folder = f"{self.folder}/{table}/v={version}"
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(folder)
+        if touched is None:
+            _, path, fs = _files(self.spark, folder)
+            touched = sorted(int(name[7:]) for s in fs.listStatus(path) if (name := s.getPath().getName()).startswith("bucket="))
         if replace:
             self.held.setdefault(table, {}).update({b: [version] for b in touched})
         else:
             self.keep(table, touched, version)
+        return touched
 
     def keep(self, table: str, touched: list[int], version: int) -> None:
         """Lets the touched buckets hold the rows of a version besides what they hold."""
