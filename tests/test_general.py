@@ -12,7 +12,9 @@ REL = "id string, sourceId string, targetId string, reason string, observedAt ti
 
 def test_heavy_keys_count_null_rows(spark):
     rows = spark.createDataFrame([("a",)] * 3 + [("b",)] + [(None,)] * 96, "k string")
-    assert [tuple(r) for r in heavy_keys(rows, "k", 0.03).collect()] == [("a", 3)]
+    assert [tuple(r) for r in heavy_keys(rows, "k", 0.03).collect()] == [("a", 3, 0, 0)]
+    records = spark.createDataFrame([("a", 1), ("a", 2), ("q", 1), (None, 1)], "id string, n int")
+    assert [tuple(r) for r in heavy_keys(rows, "k", 0.01, records).orderBy("k").collect()] == [("a", 3, 2, 6), ("b", 1, 0, 0)]
     assert heavy_keys(rows.limit(0), "k", 0.02).count() == 0
 
 

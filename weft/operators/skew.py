@@ -19,14 +19,24 @@ def key_counts(rows: DataFrame, key: str, name: str = "n") -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias(name))
 
 
-def heavy_keys(rows: DataFrame, key: str, share: float) -> DataFrame:
-    """(key, n) of the non-null keys on at least ``share`` of all rows, null keys counted in the whole.
+def joined_states(rows: DataFrame, key: str, records: DataFrame, record_key: str) -> DataFrame:
+    """(key, n, records, pairs): per non-null key of ``rows`` its number of rows, the number of records with that key (0 for
+    none) and of pairs that the join of both has; both sides are compact before they meet."""
+    left = key_counts(rows.select(key).where(F.col(key).isNotNull()), key)
+    right = key_counts(records.select(F.col(record_key).alias(key)).where(F.col(key).isNotNull()), key, "records")
+    both = left.join(right, key, "left").na.fill(0, ["records"])
+    return both.select(key, "n", "records", (F.col("n") * F.col("records")).alias("pairs"))
 
-    An empty table has none. The whole is a count that reads no column.
+
+def heavy_keys(rows: DataFrame, key: str, share: float, records: DataFrame | None = None, record_key: str = "id") -> DataFrame:
+    """(key, n, records, pairs) of the non-null keys on at least ``share`` of all rows, null keys counted in the whole.
+
+    ``records`` are what the keys refer to; a key without a record stays, with 0. An empty table has no heavy keys. The whole
+    is a count that reads no column.
     """
     whole = rows.agg(F.count("*")).scalar()
-    n = key_counts(rows.select(key), key)
-    return n.where(F.col(key).isNotNull() & (F.col("n") >= whole * F.lit(share))).select(key, "n")
+    states = joined_states(rows, key, rows.limit(0) if records is None else records, key if records is None else record_key)
+    return states.where(F.col("n") >= whole * F.lit(share))
 
 
 def joined_aggregates(left: DataFrame, right: DataFrame, left_key: str, right_key: str, right_groups: Sequence[str], sums: dict[str, Column]) -> DataFrame:

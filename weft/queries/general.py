@@ -15,8 +15,20 @@ HEAVY = 0.02
 CUTS = ["2025-04-01", "2025-07-01"]
 
 
+def _heavy(spark, sf):
+    records = table(spark, sf, "parsed_nodes").select("id")
+    for t in ("shared_nodes", "communities", "processes"):
+        records = records.unionByName(table(spark, sf, t).select("id"))
+    return heavy_keys(table(spark, sf, "graph_relationships"), "targetId", HEAVY, records)
+
+
 def p2_found(spark, sf):
-    return heavy_keys(table(spark, sf, "graph_relationships"), "targetId", HEAVY).select("targetId")
+    return _heavy(spark, sf).select("targetId")
+
+
+def p2_heavy(spark, sf):
+    """The heavy targets with their rows, the node rows of their id, and the pairs of the two."""
+    return _heavy(spark, sf)
 
 
 def p2_connections(spark, sf):
@@ -56,7 +68,7 @@ def p6_snapshots(spark, sf):
     return out
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_connections, p2_by_label, p6_found, p6_counts, p6_snapshots)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_heavy, p2_connections, p2_by_label, p6_found, p6_counts, p6_snapshots)}
 
 _ORPHANS = """
     WITH last AS (SELECT id, max(indexedAt) AS arrived FROM parsed_nodes GROUP BY id),
@@ -75,6 +87,26 @@ _ORPHANS = """
 
 SQL = {
     "p2_found": "SELECT targetId FROM graph_relationships WHERE targetId IS NOT NULL GROUP BY targetId HAVING count(*) >= 0.02 * (SELECT count(*) FROM graph_relationships)",
+    "p2_heavy": """
+        WITH t AS (SELECT targetId, count(*) AS n FROM graph_relationships WHERE targetId IS NOT NULL GROUP BY 1 HAVING count(*) >= 0.02 * (SELECT count(*) FROM graph_relationships)),
+        r AS (SELECT id, count(*) AS records FROM (SELECT id FROM parsed_nodes UNION ALL SELECT id FROM shared_nodes UNION ALL SELECT id FROM communities UNION ALL SELECT id FROM processes) GROUP BY 1)
+        SELECT targetId, n, coalesce(records, 0)::BIGINT AS records, (n * coalesce(records, 0))::BIGINT AS pairs FROM t LEFT JOIN r ON r.id = t.targetId""",
+    "p6_snapshots": """
+        WITH cuts AS (SELECT * FROM (VALUES ('2025-04-01', TIMESTAMP '2025-04-01'), ('2025-07-01', TIMESTAMP '2025-07-01'), ('end', TIMESTAMP '9999-01-01')) c(snapshot, upto)),
+        ends AS (
+            SELECT id, 'source' AS ref_end, sourceId AS key, ingestedAt, reason FROM graph_relationships WHERE sourceId IS NOT NULL
+            UNION ALL SELECT id, 'target', targetId, ingestedAt, reason FROM graph_relationships WHERE targetId IS NOT NULL),
+        last AS (SELECT c.snapshot, n.id, max(indexedAt) AS arrived FROM parsed_nodes n JOIN cuts c ON n.indexedAt < c.upto OR n.indexedAt IS NULL GROUP BY 1, 2),
+        gone AS (SELECT c.snapshot, nodeId AS id, max(deletedAt) AS deleted FROM node_deletions n JOIN cuts c ON n.deletedAt < c.upto OR n.deletedAt IS NULL GROUP BY 1, 2),
+        fixed AS (SELECT id FROM shared_nodes UNION SELECT id FROM communities UNION SELECT id FROM processes),
+        orphans AS (
+            SELECT DISTINCT c.snapshot, e.id, e.ref_end, CASE WHEN e.key LIKE 'comm\\_%' ESCAPE '\\' THEN 'communities' WHEN e.key LIKE 'proc\\_%' ESCAPE '\\' THEN 'processes'
+                WHEN reason = 'leiden-algorithm' AND NOT contains(e.key, ':') THEN 'communities' WHEN reason = 'trace-detection' AND NOT contains(e.key, ':') THEN 'processes'
+                WHEN regexp_matches(e.key, '^[A-Za-z]+:shared/') THEN 'shared_nodes' ELSE 'parsed_nodes' END AS ref_table
+            FROM cuts c JOIN ends e ON e.ingestedAt < c.upto OR e.ingestedAt IS NULL
+            LEFT JOIN last l ON l.id = e.key AND l.snapshot = c.snapshot LEFT JOIN gone g ON g.id = e.key AND g.snapshot = c.snapshot LEFT JOIN fixed f ON f.id = e.key
+            WHERE (l.arrived IS NULL AND f.id IS NULL) OR (l.arrived IS NOT NULL AND g.deleted > l.arrived))
+        SELECT snapshot, ref_table, count(*) AS orphans FROM orphans GROUP BY 1, 2""",
     "p2_connections": """
         WITH ids AS (SELECT id FROM parsed_nodes UNION SELECT id FROM shared_nodes UNION SELECT id FROM communities UNION SELECT id FROM processes),
         i AS (SELECT targetId AS id, count(*) AS n FROM graph_relationships GROUP BY 1), o AS (SELECT sourceId AS id, count(*) AS n FROM graph_relationships GROUP BY 1)
