@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from weft import catalog
 from weft.functions.text import framework_factor, is_test, name_factor, normal_path
 from weft.operators.derive import cluster_rollup, cohesion, community_names, entry_points, longest_per_ends, propagate_labels, structure, without_contained
-from weft.operators.dml import delete_files, read_csv, referential, update_columns, upsert, write_csv, write_graph
+from weft.operators.dml import delete_files, read_csv, referential, update_columns, upsert, write_csv
+from weft.plans.graphview import write_graph
 from weft.operators.resolve import longest_prefix, resolve_calls, resolve_imports
 from weft.operators.search import bm25, nearest, reciprocal_ranks
 from weft.plans.patterns import Step, match, oriented, top_n

@@ -44,12 +44,6 @@ def validated(edges: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame
     return edges.where(ok), edges.where(~ok)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """Parquet with a partition per label and per edge type, so label and type filters prune whole folders."""
-    nodes.repartition("label").write.mode("overwrite").partitionBy("label").parquet(f"{folder}/nodes")
-    edges.repartition("type").write.mode("overwrite").partitionBy("type").parquet(f"{folder}/edges")
-
-
 #: Line ends are "\n" only, so that others stay as they are within quotes; blanks at the edges of a value are kept.
 _CSV = {"header": True, "quoteAll": True, "escape": '"', "lineSep": "\n", "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 

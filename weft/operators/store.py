@@ -39,6 +39,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Latest change and length of a file or folder of files; (0, 0) where there is none."""
+    hadoop, p, fs = _files(spark, path)
+    if not fs.exists(p):
+        return 0, 0
+    files = [s for s in fs.listStatus(p) if not s.isDirectory()]
+    return max([s.getModificationTime() for s in files], default=0), sum(s.getLen() for s in files)
+
+
 class Store:
     """Tables by name under one folder, with their manifests up to a version."""
 
