@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weft.functions.fixed import ENTRY_NAMES, STOP_WORDS, TEST_PATHS, UTILITY_NAMES
+
 #: Extension -> language (fixed values of the data model).
 LANGUAGES = {
     "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "java": "java", "c": "c", "h": "c",
@@ -62,9 +64,19 @@ def ignored(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in IGNORED_FOLDERS])) | path.rlike(r"(^|/)\.[^/]") | F.lower(path).rlike(r"\.(min|bundle|generated|gen|pb)\.[a-z]+$")
 
 
-def is_test(path: Column) -> Column:
-    p = F.lower(path)
-    return p.contains(".test.") | p.contains(".spec.") | p.contains("__tests__") | p.contains("/test/") | p.contains("/tests/") | p.endswith("_test.go") | p.endswith("_test.py") | p.rlike(r"(^|/)test_[^/]*\.py$")
+def slashes(path: Column) -> Column:
+    """Backslashes as slashes."""
+    return F.translate(path, "\\", "/")
+
+
+def is_test(path: Column, kind: str = "impact") -> Column:
+    """Whether a path is one of a test, by the rules for impact, entry points ('entry') or the report of dependants."""
+    p = F.lower(path) if kind == "report" else slashes(F.lower(path))
+    out = None
+    for how, what in TEST_PATHS[kind]:
+        c = p.contains(what) if how == "has" else p.endswith(what)
+        out = c if out is None else out | c
+    return out
 
 
 def is_utility(path: Column) -> Column:
@@ -141,14 +153,29 @@ def framework_factor(path: Column) -> Column:
     )
 
 
-#: Name patterns of entry points (fixed values of the data model).
-ENTRY_NAME = r"^(?i:main|init|bootstrap|start|run|setup|configure)$|^(handle|on|process|execute|perform|dispatch|trigger|fire|emit)[A-Z]|(Handler|Controller)$"
-#: Name patterns of helpers, looked at first (fixed values of the data model).
-UTILITY_NAME = r"^(get|set|is|has|can|should|will|did)[A-Z]|^_|^(format|parse|validate|convert|transform)|^(log|debug|error|warn|info)$|^(to|from)[A-Z]|^(encode|decode|serialize|clone|copy|deep|merge|extend|assign|filter|map|reduce|sort|find)|(Helper|Util|Utils)$"
+def _any(patterns: list[str]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+ENTRY_NAME, UTILITY_NAME = _any(ENTRY_NAMES["*"]), _any(UTILITY_NAMES)
+
+
+def name_factor(name: Column, language: Column | None = None) -> Column:
+    """0.3 for a helper's name, 1.5 for that of an entry point of any language or the node's own, else 1."""
+    out = F.when(name.rlike(UTILITY_NAME), 0.3).when(name.rlike(ENTRY_NAME), 1.5)
+    if language is not None:
+        for lang, patterns in ENTRY_NAMES.items():
+            if lang != "*":
+                out = out.when((language == lang) & name.rlike(_any(patterns)), 1.5)
+    return out.otherwise(1.0)
 
 
-def name_factor(name: Column) -> Column:
-    return F.when(name.rlike(UTILITY_NAME), 0.3).when(name.rlike(ENTRY_NAME), 1.5).otherwise(1.0)
+def name_tokens(text: Column) -> Column:
+    """Search tokens of names: parts between blanks and punctuation, each camel-case part and the whole in lower case, without
+    stop words and single characters."""
+    raw = F.split(text, r"""[\s\-_./\\(){}\[\]<>:;,!?'"]+""")
+    parts = F.flatten(F.transform(raw, lambda t: F.array_distinct(F.concat(F.split(F.lower(F.regexp_replace(t, "([a-z])([A-Z])", "$1 $2")), " "), F.array(F.lower(t))))))
+    return F.filter(parts, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
 def risk(n: Column) -> Column:

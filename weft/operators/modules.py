@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.fixed import NOISE
+
 from weft.functions.text import directory
 from weft.plans.graphview import first_rows
 
-#: Names of calls that say nothing about the code that makes them (own choice of usual built-ins).
-NOISE = ("print", "println", "printf", "log", "len", "range", "map", "filter", "append", "push", "pop", "join", "split", "format", "toString", "parseInt", "require", "super", "isinstance", "str", "int", "info", "debug", "warn", "error", "getLogger")
 
 
 def resolve_heritage(heritage: DataFrame, symbols: DataFrame) -> DataFrame:

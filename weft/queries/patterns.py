@@ -9,6 +9,7 @@ from weft.operators.dml import referential
 from weft.plans.graphview import code_nodes, edges, nodes
 from weft.plans.patterns import Step, induced, match, optional_lists, oriented, outside, top_n
 from weft.plans.traverse import reach
+from weft.functions.fixed import TEST_PATHS
 from weft.queries.base import Book, graph
 from weft.sources.tables import table
 
@@ -87,15 +88,19 @@ def projection(spark, sf):
     return n.select("id", label_of(F.col("id")).alias("label_in_id"), F.lit("code").alias("origin"), F.lit(2).alias("depth"), F.coalesce(F.when(F.col("name") != "", F.col("name")), F.lit("?")).alias("name"))
 
 
-@book("""WITH p AS (SELECT DISTINCT filePath AS path, lower(filePath) AS l FROM parsed_nodes WHERE filePath IS NOT NULL)
-    SELECT path, contains(l, '.test.') OR contains(l, '.spec.') OR contains(l, '__tests__') OR contains(l, '/test/') OR contains(l, '/tests/') OR l LIKE '%\\_test.go' ESCAPE '\\' OR l LIKE '%\\_test.py' ESCAPE '\\' OR regexp_matches(l, '(^|/)test_[^/]*\\.py$') AS test,
+def _test_sql(kind: str) -> str:
+    return "(" + " OR ".join(f"contains(l, '{w}')" if how == "has" else f"ends_with(l, '{w}')" for how, w in TEST_PATHS[kind]) + ")"
+
+
+@book(f"""WITH p AS (SELECT DISTINCT filePath AS path, lower(filePath) AS l FROM parsed_nodes WHERE filePath IS NOT NULL)
+    SELECT path, {_test_sql("impact")} AS test, {_test_sql("entry")} AS entry_test, {_test_sql("report")} AS report_test,
         contains(l, '/utils/') OR contains(l, '/util/') OR contains(l, '/helpers/') OR contains(l, '/common/') OR contains(l, '/shared/') OR regexp_matches(l, '(^|/)(utils|helpers|util)\\.[a-z]+$') AS utility,
         list_has_any(string_split(path, '/'), ['node_modules', 'vendor', 'dist', 'build', 'target', '__pycache__', 'coverage', 'third_party', 'deps', 'generated']) OR regexp_matches(path, '(^|/)\\.[^/]') OR regexp_matches(l, '\\.(min|bundle|generated|gen|pb)\\.[a-z]+$') AS ignored
     FROM p""")
 def path_predicates(spark, sf):
     p = table(spark, sf, "parsed_nodes").where("filePath is not null").select(F.col("filePath").alias("path")).distinct()
     c = F.col("path")
-    return p.select("path", is_test(c).alias("test"), is_utility(c).alias("utility"), ignored(c).alias("ignored"))
+    return p.select("path", is_test(c).alias("test"), is_test(c, "entry").alias("entry_test"), is_test(c, "report").alias("report_test"), is_utility(c).alias("utility"), ignored(c).alias("ignored"))
 
 
 @book("""WITH p AS (SELECT DISTINCT filePath AS path FROM parsed_nodes WHERE label = 'File' AND filePath IS NOT NULL), x AS (SELECT path, lower(regexp_extract(path, '\\.([A-Za-z]+)$', 1)) AS e FROM p)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.functions.text import ancestors, capitalised, cleaned, is_binary, make_id, name_factor, normal_path, percent, risk, sanitised_id, sanitised_text, short_path, slug, snippet, tokens, truncated
+from weft.functions.text import ancestors, capitalised, cleaned, is_binary, make_id, name_factor, name_tokens, normal_path, percent, risk, sanitised_id, sanitised_text, short_path, slug, snippet, tokens, truncated
 from weft.operators.search import cosine_distance
+from weft.functions.fixed import ENTRY_NAMES, STOP_WORDS, UTILITY_NAMES
 from weft.queries.base import Book
 from weft.sources.tables import table
 
@@ -68,10 +69,26 @@ def tokenised(spark, sf):
     return d.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("words"), F.array_join(F.slice(F.array_sort(F.array_distinct("t")), 1, 3), " ").alias("least"))
 
 
-@book("""SELECT DISTINCT name, CASE WHEN regexp_matches(name, '^(get|set|is|has|can|should|will|did)[A-Z]|^_|^(format|parse|validate|convert|transform)|^(log|debug|error|warn|info)$|^(to|from)[A-Z]|^(encode|decode|serialize|clone|copy|deep|merge|extend|assign|filter|map|reduce|sort|find)|(Helper|Util|Utils)$') THEN 0.3
-    WHEN regexp_matches(name, '^(?i:main|init|bootstrap|start|run|setup|configure)$|^(handle|on|process|execute|perform|dispatch|trigger|fire|emit)[A-Z]|(Handler|Controller)$') THEN 1.5 ELSE 1.0 END::DOUBLE AS factor FROM parsed_nodes WHERE name IS NOT NULL""")
+def _matches(patterns: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches(name, '{p}')" for p in patterns) + ")"
+
+
+_LANGUAGE_NAMES = " ".join(f"WHEN language = '{x}' AND {_matches(p)} THEN 1.5" for x, p in ENTRY_NAMES.items() if x != "*")
+
+
+@book(f"""SELECT DISTINCT name, language, CASE WHEN {_matches(UTILITY_NAMES)} THEN 0.3 WHEN {_matches(ENTRY_NAMES["*"])} THEN 1.5 {_LANGUAGE_NAMES} ELSE 1.0 END::DOUBLE AS factor FROM parsed_nodes WHERE name IS NOT NULL""")
 def name_factors(spark, sf):
-    return table(spark, sf, "parsed_nodes").where("name is not null").select("name", name_factor(F.col("name")).alias("factor")).distinct()
+    """How much a name speaks for an entry point of its language."""
+    return table(spark, sf, "parsed_nodes").where("name is not null").select("name", "language", name_factor(F.col("name"), F.col("language")).alias("factor")).distinct()
+
+
+@book("""WITH n AS (SELECT DISTINCT name FROM parsed_nodes WHERE name IS NOT NULL), r AS (SELECT name, unnest(string_split_regex(name, '[\\s\\-_./\\\\(){}\\[\\]<>:;,!?''"]+')) AS t FROM n),
+    p AS (SELECT name, unnest(list_distinct(list_concat(string_split(lower(regexp_replace(t, '([a-z])([A-Z])', '\\1 \\2', 'g')), ' '), [lower(t)]))) AS w FROM r)
+    SELECT name, w AS token, count(*) AS n FROM p WHERE length(w) > 1 AND w NOT IN %s GROUP BY 1, 2""" % (STOP_WORDS,))
+def name_words(spark, sf):
+    """Search tokens of names, camel case split."""
+    n = table(spark, sf, "parsed_nodes").where("name is not null").select("name").distinct()
+    return n.select("name", F.explode(name_tokens(F.col("name"))).alias("token")).groupBy("name", "token").agg(F.count("*").alias("n"))
 
 
 @book("""SELECT id, coalesce(len(keywords), 0) AS n, coalesce(array_to_string(list_transform(list_filter(keywords, lambda x: length(x) > 4), lambda x: upper(x)), ' '), '') AS long_ones, coalesce(list_contains(keywords, 'node'), false) AS has_node,
