@@ -30,21 +30,28 @@ def clustering_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
-def propagate_labels(graph: DataFrame, rounds: int = 10) -> DataFrame:
+def propagate_labels(graph: DataFrame) -> DataFrame:
     """(id, community): synchronous label propagation from the node's own id; the most frequent label of the neighbours and
-    of the node itself wins, the least of equals. Deterministic; a stand-in for modularity clustering with random walks."""
+    of the node itself wins, the least of equals. It goes on until nothing changes, or two states follow each other for
+    ever, of which each node takes the lesser label. Deterministic; a stand-in for modularity clustering."""
     both = checkpointed(graph.select("src", "dst").union(graph.select("dst", "src")).distinct())
     labels = checkpointed(both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
-    for _ in range(rounds):
+    before = None
+    while True:
         votes = both.join(labels.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "community").union(labels.select("id", "community"))
-        new = votes.groupBy("id", "community").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("community", F.struct("n", F.lit(0))).alias("any"), F.max("n").alias("top"))
-        least = votes.groupBy("id", "community").agg(F.count("*").alias("n")).join(new.select("id", "top"), "id").where("n = top").groupBy("id").agg(F.min("community").alias("community"))
-        least = checkpointed(least)
-        same = least.exceptAll(labels).isEmpty()
-        labels = least
-        if same:
-            break
-    return labels
+        counted = votes.groupBy("id", "community").agg(F.count("*").alias("n"))
+        new = checkpointed(counted.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b")).select("id", F.col("b.community").alias("community")))
+        if _same(new, labels):
+            return labels
+        if before is not None and _same(new, before):
+            least = labels.unionByName(new).groupBy("id").agg(F.min("community").alias("community"))
+            return checkpointed(least)
+        before, labels = labels, new
+
+
+def _same(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two labellings of the same nodes are equal."""
+    return a.join(b.withColumnRenamed("community", "other"), "id").where("community <> other").isEmpty()
 
 
 def modularity(graph: DataFrame, labels: DataFrame) -> DataFrame:
@@ -93,11 +100,13 @@ def entry_points(nodes: DataFrame, edges: DataFrame, least: float = 0.5, most: i
     calls = edges.where((F.col("type") == "CALLS") & (F.col("confidence") >= least))
     out = calls.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("callees"))
     inn = calls.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
-    n = nodes.where(F.col("label").isin("Function", "Method") & ~F.coalesce(is_test(F.col("filePath")), F.lit(False)))
+    n = nodes.where(F.col("label").isin("Function", "Method") & ~F.coalesce(is_test(F.col("filePath"), "entry"), F.lit(False)))
     j = n.join(out, "id").join(inn, "id", "left").na.fill(0, ["callers"])
-    factor = F.when(F.coalesce("isExported", F.lit(False)), 2.0).otherwise(1.0) * F.coalesce(name_factor(F.col("name")), F.lit(1.0)) * F.coalesce(framework_factor(F.col("filePath")), F.lit(1.0))
-    score = F.round(F.col("callees") / (F.col("callers") + 1) * factor, 6)
-    return j.select("id", "callers", "callees", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(most)
+    exported = F.coalesce("isExported", F.lit(False))
+    named, framed = F.coalesce(name_factor(F.col("name"), F.lower("language") if "language" in nodes.columns else None), F.lit(1.0)), F.coalesce(framework_factor(F.col("filePath")), F.lit(1.0))
+    score = F.round(F.col("callees") / (F.col("callers") + 1) * F.when(exported, 2.0).otherwise(1.0) * named * framed, 6)
+    why = F.array_compact(F.array(F.format_string("base:%.2f", F.col("callees") / (F.col("callers") + 1)), F.when(exported, "exported"), F.when(named > 1, "entry-pattern").when(named < 1, "utility-pattern"), F.when(framed > 1, "framework")))
+    return j.select("id", "callers", "callees", score.alias("score"), F.array_join(why, ",").alias("reasons")).where("score > 0").orderBy(F.desc("score"), "id").limit(most)
 
 
 def longest_per_ends(paths: DataFrame) -> DataFrame:

@@ -67,8 +67,9 @@ def optional_lists(nodes: DataFrame, edges: DataFrame, keep: int = 3) -> DataFra
 
     def side(here: str, there: str, out: str) -> DataFrame:
         e = edges.select(F.col(here).alias("id"), F.col(there).alias("other"), "type").join(names.select(F.col("id").alias("other"), "name"), "other")
-        e = e.groupBy("id").agg(F.collect_set(F.concat_ws(":", "type", "name")).alias("s"))
-        return e.select("id", F.array_join(F.slice(F.array_sort("s"), 1, keep), ",").alias(out))
+        # distinct before the cut and the cut before the list, so that a hub gives a few rows a task and not all its neighbours
+        e = top_n(e.select("id", F.concat_ws(":", "type", "name").alias("s")).distinct(), ["id"], [F.col("s")], keep)
+        return e.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("s")), ",").alias(out))
 
     return nodes.select("id").join(side("src", "dst", "outgoing"), "id", "left").join(side("dst", "src", "incoming"), "id", "left").na.fill("", ["outgoing", "incoming"])
 

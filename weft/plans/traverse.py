@@ -22,6 +22,8 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out
     Each level is cut by a checkpoint; the frontier is broadcast only while its counted size allows.
     """
     e = oriented(of_type(edges, types), direction).where(F.col("confidence") >= least).select("here", "there", "type", "confidence")
+    if depth > 2:
+        e = checkpointed(e)  # read at every level
     frontier = starts.select(F.col("id").alias("here")).distinct()
     seen = frontier.select(F.col("here").alias("there"))
     if skip is not None:
@@ -40,7 +42,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out
     return levels
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the nodes of an undirected graph given as (src, dst): the least id of the connected component.
 
     Alternates large-star and small-star steps, which end in a number of rounds logarithmic in the longest path and never
@@ -48,7 +50,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     e = checkpointed(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -11,7 +11,11 @@ from weft.operators.derive import cohesion, common_prefix, community_names, entr
 from weft.operators.resolve import longest_prefix, resolve_calls, resolve_imports
 from weft.plans.graphview import code_nodes, edges, nodes
 from weft.plans.traverse import components, paths
+from weft.functions.fixed import ENTRY_NAMES
+from weft.functions.text import ENTRY_NAME, UTILITY_NAME
+from weft.operators.cluster import community_nodes, membership_edges
 from weft.queries.base import Book, graph
+from weft.queries.patterns import _test_sql
 from weft.sources.tables import table
 
 book = Book()
@@ -99,10 +103,13 @@ def communities_cc(spark, sf):
     return components(e)
 
 
+_MEMBERS = "mem AS (SELECT src AS id, min(dst) AS community FROM edges WHERE type = 'MEMBER_OF' GROUP BY src)"
+
+
 @book()
 def label_propagation(spark, sf):
     """Communities of the symbol graph; deterministic label propagation, no SQL."""
-    return propagate_labels(symbol_graph(nodes(spark, sf), edges(spark, sf)), 5)
+    return propagate_labels(symbol_graph(nodes(spark, sf), edges(spark, sf)))
 
 
 def _members(spark, sf):
@@ -110,7 +117,6 @@ def _members(spark, sf):
     return edges(spark, sf).where("type = 'MEMBER_OF'").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("community"))
 
 
-_MEMBERS = "mem AS (SELECT src AS id, min(dst) AS community FROM edges WHERE type = 'MEMBER_OF' GROUP BY src)"
 
 
 @book(graph(f""", {_CLUSTER}, {_MEMBERS}, e AS (SELECT a.community AS ca, b.community AS cb FROM pair JOIN mem a ON a.id = pair.src JOIN mem b ON b.id = pair.dst), d AS (SELECT c, count(*) AS degree FROM (SELECT ca AS c FROM e UNION ALL SELECT cb FROM e) GROUP BY c),
@@ -152,12 +158,41 @@ def call_degrees(spark, sf):
     return o.join(i, "id", "left").na.fill(0, ["callers"]).select("id", "callers", "callees")
 
 
-@book()
+_LANG_FACTOR = " ".join(f"WHEN lower(language) = '{x}' AND regexp_matches(name, '{'|'.join(f'(?:{i})' for i in p)}') THEN 1.5" for x, p in ENTRY_NAMES.items() if x != "*")
+
+
+@book(graph(f""", c AS (SELECT src, dst FROM edges WHERE type = 'CALLS' AND confidence >= 0.5), o AS (SELECT src AS id, count(*) AS callees FROM c GROUP BY 1), i AS (SELECT dst AS id, count(*) AS callers FROM c GROUP BY 1),
+    n AS (SELECT *, '/' || lower(filePath) AS p, replace(lower(filePath), chr(92), '/') AS l FROM nodes WHERE label IN ('Function', 'Method')),
+    f AS (SELECT n.id, callees, coalesce(callers, 0) AS callers, coalesce(isExported, false) AS exported,
+        CASE WHEN name IS NULL THEN 1.0 WHEN regexp_matches(name, '{UTILITY_NAME}') THEN 0.3 WHEN regexp_matches(name, '{ENTRY_NAME}') THEN 1.5 {_LANG_FACTOR} ELSE 1.0 END AS named,
+        CASE WHEN p IS NULL THEN 1.0 WHEN regexp_matches(p, '/pages/.*\\.(tsx|ts|jsx|js)$') AND NOT contains(p, '/_') AND NOT contains(p, '/api/') THEN 3.0 WHEN regexp_matches(p, '/app/.*page\\.(tsx|ts|jsx|js)$|/pages/api/|/app/.*route\\.(ts|js)$') THEN 3.0
+            WHEN ends_with(p, 'views.py') OR regexp_matches(p, 'controller\\.java$|controller\\.cs$') THEN 3.0 WHEN regexp_matches(p, '/main\\.(go|rs|c|cpp)$') THEN 3.0
+            WHEN regexp_matches(p, '/routes/|/controllers/|/handlers/|/routers/|/bin/|/app\\.c$|\\.razor$') THEN 2.5 WHEN ends_with(p, 'urls.py') OR regexp_matches(p, '/app/.*layout\\.(tsx|ts)$') OR contains(p, '/api/') AND ends_with(p, '.py') THEN 2.0
+            WHEN contains(p, '/services/') AND ends_with(p, '.java') OR regexp_matches(p, '/api/index\\.(ts|js)$') THEN 1.8 ELSE 1.0 END AS framed
+        FROM n JOIN o ON o.id = n.id LEFT JOIN i ON i.id = n.id WHERE NOT coalesce({_test_sql("entry")}, false)),
+    s AS (SELECT id, callers, callees, round(callees / (callers + 1) * CASE WHEN exported THEN 2.0 ELSE 1.0 END * named * framed, 6)::DOUBLE AS score,
+        concat_ws(',', printf('base:%.2f', (callees / (callers + 1))::DOUBLE), CASE WHEN exported THEN 'exported' END, CASE WHEN named > 1 THEN 'entry-pattern' WHEN named < 1 THEN 'utility-pattern' END, CASE WHEN framed > 1 THEN 'framework' END) AS reasons FROM f)
+    SELECT * FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 200"""))
 def entry_scores(spark, sf):
-    """The 200 best entry points with their score; checked against brute force on a fixture."""
+    """The 200 best entry points with their score and its reasons."""
     return entry_points(nodes(spark, sf), edges(spark, sf))
 
 
+@book(graph(f""", {_CLUSTER}, {_MEMBERS}, z AS (SELECT community, count(*) AS members FROM mem GROUP BY 1 HAVING count(*) > 1), f AS (SELECT id, community FROM mem QUALIFY row_number() OVER (PARTITION BY community ORDER BY id) <= 50),
+    ends AS (SELECT src AS id, dst AS other FROM pair UNION ALL SELECT dst, src FROM pair), s AS (SELECT f.community, avg(CASE WHEN f.community = m2.community THEN 1.0 ELSE 0.0 END) AS share FROM f JOIN ends ON ends.id = f.id LEFT JOIN mem m2 ON m2.id = ends.other GROUP BY 1)
+    SELECT 'comm_' || (row_number() OVER (ORDER BY members DESC, z.community) - 1) AS id, z.community, members, round(least(1.0, coalesce(share, 1.0)), 6)::DOUBLE AS cohesion FROM z LEFT JOIN s ON s.community = z.community"""))
+def partition_nodes(spark, sf):
+    """Nodes of a partition: communities of two or more, the largest first."""
+    c = community_nodes(symbol_graph(nodes(spark, sf), edges(spark, sf)), _members(spark, sf), nodes(spark, sf))
+    return c.select("id", "community", "members", F.round("cohesion", 6).alias("cohesion"))
+
+
+@book(graph(f""", {_MEMBERS} SELECT id AS src, 'comm_' || community AS dst, 'MEMBER_OF' AS type FROM mem"""))
+def partition_edges(spark, sf):
+    """Membership edges of a partition, those of single nodes too."""
+    return membership_edges(_members(spark, sf))
+
+
 _TRANS = "t AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), g AS (SELECT DISTINCT a, b FROM t WHERE b IS NOT NULL AND a <> b), adj AS (SELECT a, b FROM g QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) <= 4)"
 
 
