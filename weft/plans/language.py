@@ -602,6 +602,8 @@ class _Part:
             return F.col(f"{args[0][1]}__{'label' if name == 'labels' else name}")
         if name == "nodes":
             return self.column(args[0], local)
+        if name == "join":
+            return F.array_join(self.column(args[0], local), str(self.value(args[1])))
         if name not in _FUNCTIONS:
             raise QueryError(f"no function {name!r}")
         return _FUNCTIONS[name](*[self.column(a, local) for a in args])
