@@ -104,8 +104,8 @@ def tool_overview(spark, sf):
 
 @book(graph(f""", me AS (SELECT id, filePath FROM nodes WHERE name = 'merge_session'), p AS (SELECT c.filePath FROM edges e JOIN me ON me.id = e.dst JOIN code c ON c.id = e.src WHERE e.type IN {_DEPENDS} AND c.filePath IS NOT NULL UNION SELECT filePath FROM me),
     f AS (SELECT id, arg_min(filePath, seq) AS filePath, arg_min(content, seq) AS content FROM embeddable_nodes WHERE label = 'File' AND content IS NOT NULL AND id IS NOT NULL GROUP BY id),
-    l AS (SELECT id, filePath, unnest(string_split(content, chr(10))) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM f WHERE contains(content, 'merge_session')), h AS (SELECT *, min(i) OVER (PARTITION BY id) AS first FROM l WHERE regexp_matches(l, '\\bEntity\\b'))
-    SELECT CASE WHEN filePath IN (SELECT filePath FROM p WHERE filePath IS NOT NULL) AND i = first THEN 'graph' ELSE 'text' END AS tier, id, i::INTEGER AS line_no, l AS old_line, regexp_replace(l, '\\bEntity\\b', 'combine_session', 'g') AS new_line FROM h"""))
+    l AS (SELECT id, filePath, unnest(string_split(content, chr(10))) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM f WHERE contains(content, 'merge_session')), h AS (SELECT *, min(i) OVER (PARTITION BY id) AS first FROM l WHERE regexp_matches(l, '\\bmerge_session\\b'))
+    SELECT CASE WHEN filePath IN (SELECT filePath FROM p WHERE filePath IS NOT NULL) AND i = first THEN 'graph' ELSE 'text' END AS tier, id, i::INTEGER AS line_no, l AS old_line, regexp_replace(l, '\\bmerge_session\\b', 'combine_session', 'g') AS new_line FROM h"""))
 def tool_rename(spark, sf):
     """Edits by the graph and by text."""
     return Toolbox(spark, sf).rename("merge_session", "combine_session")
