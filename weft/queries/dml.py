@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weft.operators.dml import delete_files, read_csv, update_columns, upsert, validated, write_csv
 from weft.plans.graphview import code_nodes, edges, first_rows, nodes
 from weft.queries.base import Book, graph
-from weft.session import ensure_checkpoints
+from weft.operators.store import scratch
 from weft.sources.tables import table
 
 book = Book()
@@ -74,32 +74,66 @@ def registry_pruned(spark, sf):
     return r.select("name", F.regexp_replace("path", "/+$", "").alias("path"), F.coalesce("stats.files", F.lit(0)).alias("files"))
 
 
-def _round_trip(spark, n, name):
-    folder = f"{ensure_checkpoints(spark)}/{name}"
-    write_csv(n, folder)
+@book("SELECT seq, id, content FROM embeddable_nodes")
+def csv_round_trip(spark, sf):
+    """All rows, with every line end and with null and empty contents, written as CSV to the shared folder and read again."""
+    folder = scratch(spark, "csv")
+    write_csv(table(spark, sf, "embeddable_nodes").select("seq", "id", "content"), folder)
     return read_csv(spark, folder, "seq long, id string, content string")
 
 
-@book("SELECT seq, id, content FROM embeddable_nodes WHERE label = 'Class' AND content IS NOT NULL AND NOT contains(content, chr(13))")
-def csv_round_trip(spark, sf):
-    """Contents with quotes and line breaks, written as CSV to the shared folder and read again."""
-    n = table(spark, sf, "embeddable_nodes").where("label = 'Class' and content is not null and not contains(content, '\r')").select("seq", "id", "content")
-    return _round_trip(spark, n, f"csv-{abs(hash(sf)) % 10**8}")
+@book("SELECT id, label, to_json(struct_pack(name := name, repo := repo)) AS body FROM parsed_nodes")
+def json_export(spark, sf):
+    """All rows; a null name or repository is written as null."""
+    return table(spark, sf, "parsed_nodes").select("id", "label", F.to_json(F.struct("name", "repo"), {"ignoreNullFields": "false"}).alias("body"))
 
 
-@book("SELECT seq, id, content FROM embeddable_nodes")
-def csv_round_trip_all(spark, sf):
-    """All rows, with every line end and with null and empty contents, written as CSV to the shared folder and read again."""
-    return _round_trip(spark, table(spark, sf, "embeddable_nodes").select("seq", "id", "content"), f"csv-all-{abs(hash(sf)) % 10**8}")
+@book("SELECT label, count(*) AS files, sum(rows)::BIGINT AS rows FROM (SELECT label, count(*) AS rows FROM parsed_nodes WHERE id IS NOT NULL AND label <> '' GROUP BY label) GROUP BY label")
+def csv_per_label(spark, sf):
+    """Rows of one CSV folder per label, written and read again."""
+    folder = scratch(spark, "csv-labels")
+    n = table(spark, sf, "parsed_nodes").where("id is not null and label <> ''").select("label", "id", "name", "filePath")
+    n.repartition("label").write.mode("overwrite").partitionBy("label").option("quoteAll", True).option("escape", '"').option("header", True).csv(folder)
+    back = spark.read.schema("id string, name string, filePath string, label string").option("escape", '"').option("multiLine", True).option("header", True).csv(folder)
+    return back.groupBy("label").agg(F.lit(1).cast("long").alias("files"), F.count("*").alias("rows"))
 
 
-@book("SELECT id, label, to_json(struct_pack(name := name, repo := repo)) AS body FROM parsed_nodes WHERE label = 'Interface' AND name IS NOT NULL AND repo IS NOT NULL")
-def json_export(spark, sf):
-    n = table(spark, sf, "parsed_nodes").where("label = 'Interface' and name is not null and repo is not null")
-    return n.select("id", "label", F.to_json(F.struct("name", "repo")).alias("body"))
+@book("SELECT count(*) FILTER (f) AS inserted, count(*) FILTER (NOT f) AS failed FROM (SELECT DISTINCT id, label IN ('Class', 'Function', 'Method') AS f FROM parsed_nodes WHERE id IS NOT NULL)")
+def upsert_result(spark, sf):
+    """How many nodes a batch would insert and how many are of no known label."""
+    known = F.col("label").isin("Class", "Function", "Method")
+    n = table(spark, sf, "parsed_nodes").where("id is not null").select("id", known.alias("f")).distinct()
+    return n.agg(F.count_if(F.col("f")).alias("inserted"), F.count_if(~F.col("f")).alias("failed"))
 
 
-@book("SELECT id, label, to_json(struct_pack(name := name, repo := repo)) AS body FROM parsed_nodes")
-def json_export_all(spark, sf):
-    """All rows; a null name or repository is written as null."""
-    return table(spark, sf, "parsed_nodes").select("id", "label", F.to_json(F.struct("name", "repo"), {"ignoreNullFields": "false"}).alias("body"))
+@book(graph(""", gone AS (SELECT DISTINCT c.id FROM code c JOIN (SELECT DISTINCT x.filePath FROM node_deletions d JOIN code x ON x.id = d.nodeId WHERE x.filePath IS NOT NULL) f ON f.filePath = c.filePath)
+    SELECT (SELECT count(*) FROM gone) AS nodes, (SELECT count(*) FROM edges WHERE src IN (SELECT id FROM gone) OR dst IN (SELECT id FROM gone)) AS edges"""))
+def delete_counts(spark, sf):
+    """How many nodes and edges the deletion of some files takes away."""
+    from weft.operators.dml import delete_files
+    from weft.plans.graphview import code_nodes, edges
+
+    n, e = code_nodes(spark, sf), edges(spark, sf)
+    f = table(spark, sf, "node_deletions").select(F.col("nodeId").alias("id")).join(n.select("id", "filePath"), "id").where("filePath is not null").select("filePath").distinct()
+    _, left, gone = delete_files(n, e, f)
+    removed = e.agg(F.count("*")).scalar() - left.agg(F.count("*")).scalar()
+    return gone.agg(F.count("*").alias("nodes")).select("nodes", removed.alias("edges"))
+
+
+@book("""SELECT name, rtrim(path, '/') AS path, CASE WHEN configId % 2 = 0 THEN 'renewed' ELSE lastCommit END AS lastCommit FROM registry UNION ALL SELECT 'added', '/new/place', 'first'""")
+def registry_upsert(spark, sf):
+    """The registry after a write of some entries by path: known paths are renewed, a new one is added."""
+    from weft.operators.dml import upsert
+
+    r = table(spark, sf, "registry").select("name", F.regexp_replace("path", "/+$", "").alias("path"), "lastCommit", "configId")
+    new = r.where("configId % 2 = 0").withColumn("lastCommit", F.lit("renewed")).select("name", "path", "lastCommit")
+    new = new.unionByName(spark.createDataFrame([("added", "/new/place", "first")], "name string, path string, lastCommit string"))
+    return upsert(r.select("name", "path", "lastCommit"), new, "path")
+
+
+@book("SELECT id, label, name, repo FROM parsed_nodes")
+def json_restore(spark, sf):
+    """Nodes written as JSON lines and read again."""
+    folder = scratch(spark, "json")
+    table(spark, sf, "parsed_nodes").select("id", "label", "name", "repo").write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+    return spark.read.schema("id string, label string, name string, repo string").json(folder)

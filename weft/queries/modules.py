@@ -132,8 +132,8 @@ def busiest_users(spark, sf):
     return g.withColumn("place", F.rank().over(Window.partitionBy("event_type").orderBy(F.desc("n"))).cast("long")).where("place <= 5")
 
 
-@book("""WITH p AS (SELECT DISTINCT id, communities FROM processes) SELECT p.id, len(list_distinct(p.communities)) AS touched, CASE WHEN len(list_distinct(p.communities)) > 1 THEN 'cross_community' ELSE 'intra_community' END AS kind FROM p WHERE p.communities IS NOT NULL""")
+@book("""WITH p AS (SELECT DISTINCT id, communities FROM processes) SELECT p.id, coalesce(len(list_distinct(p.communities)), 0)::BIGINT AS touched, CASE WHEN coalesce(len(list_distinct(p.communities)), 0) > 1 THEN 'cross_community' ELSE 'intra_community' END AS kind FROM p""")
 def process_kinds(spark, sf):
     """Flows by the number of different communities they touch."""
-    n = F.size(F.array_distinct("communities"))
-    return table(spark, sf, "processes").where("communities is not null").select("id", n.cast("long").alias("touched"), F.when(n > 1, "cross_community").otherwise("intra_community").alias("kind"))
+    n = F.coalesce(F.size(F.array_distinct("communities")), F.lit(0))
+    return table(spark, sf, "processes").select("id", n.cast("long").alias("touched"), F.when(n > 1, "cross_community").otherwise("intra_community").alias("kind"))

@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import ignored
 
-#: Bytes of a file beyond which its content is not read.
-MOST_BYTES = 64 << 20
+#: Bytes of a file beyond which it isn't read as one value (a value of Spark has less than 2 GiB).
+MOST_BYTES = 1 << 30
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of the files under a folder that a scan keeps, path relative to it; contents that are no UTF-8 have
-    replacement characters. Ignored paths are dropped before any content is read, files are packed into tasks by size."""
+    replacement characters. Ignored paths are dropped before any content is read, files are packed into tasks by size.
+    A file of more than ``MOST_BYTES`` has a row with null content; it can be read by ranges."""
     root = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     clean = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + root.replace(".", r"\.") + "/", "")
-    kept = files.select(clean.alias("path"), "length", "content").where(~ignored(F.col("path")) & (F.col("length") <= MOST_BYTES))
-    return kept.mapInPandas(_decode, "path string, content string")
+    kept = files.select(clean.alias("path"), "length", "content").where(~ignored(F.col("path")))
+    giant = kept.where(F.col("length") > MOST_BYTES).select("path", F.lit(None).cast("string").alias("content"))
+    return kept.where(F.col("length") <= MOST_BYTES).mapInPandas(_decode, "path string, content string").unionByName(giant)
 
 
 def _decode(batches):
