@@ -454,7 +454,7 @@ def test_small_parts_of_large_sources_and_the_form_of_the_draw(spark):
 def test_tails():
     assert tail_of(None)[0] == tail_of(" ​\n")[0] == "blank"
     assert tail_of("All done.")[0] == "whole" and tail_of("All done…")[0] == "open"
-    assert tail_of("see the �")[0] == "broken" and tail_of("run `abc")[0] == "broken"
+    assert tail_of("see the �")[0] == "broken" and tail_of("run `abc")[0] == "span"
     assert tail_of("feat(x): load node")[0] == "title"
     assert normal("a\r\nb `c` #12 x/y.py f()") == "a\nb `x` #0 x/x.x x()"
 

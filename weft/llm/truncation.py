@@ -23,6 +23,12 @@ LEVELS = (1, 2, 3, 4, 6, 9, 12)
 THRESHOLD, SHIFT = -2.6, 1.0
 #: The same for texts with a sign of the cut in sources where the sign means one.
 SIGNED = 0.0
+#: The same for texts that say they were cut or end in an open code span.
+SAID = 2.0
+#: Most rows of a table that is broadcast, by count, and the parts of a key where both sides are shuffled.
+BROADCAST, SALTS = 100_000, 4
+#: Tails up to so many characters are few, and each is asked for by many longer ones.
+SHORT = 3
 #: Weight of the shorter tail against the counts of a longer one, and the share of borders at no tail at all.
 PRIOR, BASE = 4.0, 0.02
 
@@ -71,8 +77,9 @@ def _at_end(pattern: re.Pattern[str], t: str) -> re.Match[str] | None:
 
 
 def tail_of(text: str | None) -> tuple[str, str, str]:
-    """(state, tail, tail before references at the end): 'whole' ends at a border, 'blank' has nothing, 'broken' says so itself or ends inside
-    a character or an unclosed code span, 'open' is for the model, 'title' for the part of it that tells whether a word goes on."""
+    """(state, tail, tail before references at the end): 'whole' ends at a border, 'blank' has nothing, 'broken' ends inside a
+    character; the others are for the model: 'open', 'said' with words for the cut, 'span' in an open code span, and 'title'
+    for the part of it that tells whether a word goes on."""
     if text is None:
         return "blank", "", ""
     t = normal(text)
@@ -83,7 +90,7 @@ def tail_of(text: str | None) -> tuple[str, str, str]:
     said = _at_end(_SAID, t)
     if said:
         s = t[: said.start()].rstrip()
-        return ("whole" if not s or s[-1] in ".!?。！？" else "broken"), "", ""
+        return ("whole", "", "") if not s or s[-1] in ".!?。！？" else ("said", ("\n" + s)[-LEVELS[-1] :], "")
     signed = _at_end(_SIGN, t)
     s = t[: signed.start()].rstrip() if signed else t
     if not s:
@@ -92,7 +99,7 @@ def tail_of(text: str | None) -> tuple[str, str, str]:
     if s[-1] in _BORDER or bare and bare[-1] in ".!?。！？":
         return "whole", "", ""
     if s.count("```") % 2 or s[s.rfind("\n") + 1 :].replace("```", "").count("`") % 2:
-        return "broken", "", ""  # inside a code span
+        return "span", ("\n" + s)[-LEVELS[-1] :], ""
     tail = ("\n" + s)[-LEVELS[-1] :]
     if _TITLE.search(s):
         return "title", tail, ""
@@ -165,11 +172,20 @@ def _shorter(column: str):
     return F.explode(F.array(*[F.when(F.length(column) >= k, F.struct(F.lit(k).alias("k"), F.right(F.col(column), F.lit(k)).alias("t"))) for k in LEVELS]))
 
 
+def _met(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join by a key that many rows of the left may have: the right is broadcast if it is small by count, else both sides
+    are shuffled by key and salt. ``few`` has distinct keys and is checkpointed."""
+    if few.limit(BROADCAST + 1).count() <= BROADCAST:
+        return many.join(F.broadcast(few), key, how)
+    spread = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("salt", F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int")).join(spread, [key, "salt"], how).drop("salt")
+
+
 def find_truncated(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, lang, source, state, log_odds, cut) of every document.
 
     ``documents`` has doc_id, text, lang, source. Null and blank texts have state 'blank' and are never cut; texts that end
-    at a sentence or line end are 'whole'; ends inside a character or code span ('broken') are cut. Languages
+    at a sentence or line end are 'whole'; ends inside a character ('broken') are cut. Languages
     are cleaned to two lower-case letters, null and unknown ones are 'und'; a null source is one of its own.
     """
     from weft.session import checkpointed
@@ -181,11 +197,14 @@ def find_truncated(documents: DataFrame, threshold: float = THRESHOLD) -> DataFr
     # the end of a text is a border too; equal texts count once
     open_ends = ends.where("tail <> ''").select("h", "tail").distinct().groupBy("tail").agg(F.count("*").alias("n"))
     sums = [F.sum(c).alias(c) for c in "nbw"]
-    table = counted.unionByName(open_ends.select("tail", "n", F.col("n").alias("b"), F.lit(0).cast("long").alias("w"))).select(_shorter("tail").alias("x"), "n", "b", "w").where("x is not null").groupBy(F.col("x.t").alias("t")).agg(*sums)
+    table = checkpointed(counted.unionByName(open_ends.select("tail", "n", F.col("n").alias("b"), F.lit(0).cast("long").alias("w"))).select(_shorter("tail").alias("x"), "n", "b", "w").where("x is not null").groupBy(F.col("x.t").alias("t")).agg(*sums))
     # a text's own end is left out of its evidence; it counted only for the tail with the references
     wanted = open_ends.select("tail", F.lit(1).alias("own")).unionByName(ends.where("before <> ''").select(F.col("before").alias("tail"), F.lit(0).alias("own"))).groupBy("tail").agg(F.max("own").alias("own"))
     asked = wanted.select("tail", "own", _shorter("tail").alias("x")).where("x is not null").select("tail", "own", F.col("x.k").alias("k"), F.col("x.t").alias("t"))
-    steps = asked.join(table, "t").groupBy("tail").agg(F.sort_array(F.collect_list(F.struct("k", (F.col("n") - F.col("own")).alias("n"), (F.col("b") - F.col("own")).alias("b"), "w"))).alias("steps"))
+    # each short tail is the end of many others; a long one of few
+    short = _met(asked.where(F.col("k") <= SHORT), table.where(F.length("t") <= SHORT), "t")
+    found = short.unionByName(asked.where(F.col("k") > SHORT).join(table.where(F.length("t") > SHORT), "t").select(*short.columns))
+    steps = found.groupBy("tail").agg(F.sort_array(F.collect_list(F.struct("k", (F.col("n") - F.col("own")).alias("n"), (F.col("b") - F.col("own")).alias("b"), "w"))).alias("steps"))
 
     def odds(good, base):
         p = F.aggregate("steps", F.lit(base), lambda acc, s: F.when(s["n"] <= 0, acc).otherwise((F.greatest(good(s), F.lit(0)) + PRIOR * acc) / (s["n"] + PRIOR)))
@@ -194,18 +213,27 @@ def find_truncated(documents: DataFrame, threshold: float = THRESHOLD) -> DataFr
 
     scored = checkpointed(steps.select("tail", odds(lambda s: s["b"], BASE).alias("border"), odds(lambda s: s["n"] - s["w"], 0.2).alias("word")))
     ahead = scored.select(F.col("tail").alias("before"), F.col("border").alias("border2"))
-    value = F.when(F.col("state") == "open", F.greatest(F.coalesce("border", F.lit(0.0)), F.coalesce("border2", F.lit(-99.0)))).when(F.col("state") == "title", F.greatest(F.coalesce("border", F.lit(0.0)), F.coalesce("word", F.lit(0.0))))
-    out = ends.join(scored, "tail", "left").join(ahead, "before", "left").select("doc_id", "lang", "source", "state", "signed", value.alias("log_odds"))
+    value = F.when(F.col("state").isin("open", "said", "span"), F.greatest(F.coalesce("border", F.lit(0.0)), F.coalesce("border2", F.lit(-99.0)))).when(F.col("state") == "title", F.greatest(F.coalesce("border", F.lit(0.0)), F.coalesce("word", F.lit(0.0))))
+    # most texts end at a border and are asked nothing
+    keep = ["doc_id", "lang", "source", "state", "signed", "log_odds"]
+    alone = ends.where("tail <> '' and before = ''").drop("before")
+    both = ends.where("tail <> '' and before <> ''")
+    none = F.lit(None).cast("double")
+    out = _met(alone, scored, "tail", "left").withColumn("border2", none).withColumn("log_odds", value).select(*keep)
+    out = out.unionByName(_met(_met(both, scored, "tail", "left"), ahead, "before", "left").withColumn("log_odds", value).select(*keep))
+    out = checkpointed(out.unionByName(ends.where("tail = ''").withColumn("log_odds", none).select(*keep)))
     # how often a language and source is cut moves its threshold
-    low = (F.col("state") == "broken") | (F.col("log_odds") < threshold)
-    groups = out.where("state <> 'blank'").groupBy("lang", "source").agg(F.sum(low.cast("int")).alias("c"), F.count("*").alias("m"))
+    low = (F.col("state") == "broken") | (F.col("log_odds") < F.when(F.col("state").isin("said", "span"), SAID).otherwise(threshold))
+    groups = checkpointed(out.where("state <> 'blank'").groupBy("lang", "source").agg(F.sum(low.cast("int")).alias("c"), F.count("*").alias("m")))
     # where most texts that end in dots are cut, dots are the sign of a cut and not a way of speaking
-    dots = out.where("signed and state = 'open'").groupBy("source").agg((F.avg(low.cast("double")) > 0.5).alias("dots_cut"))
-    every = groups.agg(F.sum("c").alias("c"), F.sum("m").alias("m")).first()
-    share = ((every["c"] or 0) + 1.0) / ((every["m"] or 0) + 20.0)
+    dots = checkpointed(out.where("signed and state = 'open'").groupBy("source").agg((F.avg(low.cast("double")) > 0.5).alias("dots_cut")))
+    share = groups.agg(((F.coalesce(F.sum("c"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("m"), F.lit(0)) + 20.0)).alias("share")).scalar()
     own = (F.coalesce("c", F.lit(0)) + 20 * share) / (F.coalesce("m", F.lit(0)) + 20.0)
-    more = F.log(own / (1 - own)) - F.log(F.lit(share / (1 - share)))
+    more = F.log(own / (1 - own)) - F.log(share / (1 - share))
     moved = F.lit(threshold) + 0.5 * F.greatest(F.lit(-SHIFT), F.least(F.lit(SHIFT), more))
-    limit = F.when(F.col("signed") & F.coalesce("dots_cut", F.lit(False)), F.lit(SIGNED)).otherwise(moved)
+    limit = F.when(F.col("state").isin("said", "span"), F.lit(SAID)).when(F.col("signed") & F.coalesce("dots_cut", F.lit(False)), F.lit(SIGNED)).otherwise(moved)
     cut = (F.col("state") == "broken") | F.coalesce(F.col("log_odds") < limit, F.lit(False))
-    return out.join(groups, ["lang", "source"], "left").join(dots, "source", "left").select("doc_id", "lang", "source", "state", "log_odds", cut.alias("cut"))
+    place = F.xxhash64("lang", "source")
+    known = groups.select(place.alias("place"), F.col("lang").alias("l"), F.col("source").alias("s"), "c", "m")
+    met = _met(out.withColumn("place", place), known, "place", "left").withColumn("c", F.when((F.col("l") == F.col("lang")) & (F.col("s") == F.col("source")), F.col("c"))).withColumn("m", F.when(F.col("c").isNotNull(), F.col("m")))
+    return _met(met, dots, "source", "left").select("doc_id", "lang", "source", "state", "log_odds", cut.alias("cut"))
