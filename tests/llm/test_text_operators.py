@@ -19,7 +19,8 @@ from weft.llm.redaction import find_credentials, redact_files
 from weft.llm.secrets import find_secrets, lines_of, redact
 from weft.llm.splitting import RANGE, boundaries, cut, cut_items, range_size, ranges_of, split_files, split_items, split_text
 from weft.llm.tokenizing import encoding
-from weft.llm.truncation import find_truncated, normal, tail_of
+from weft.llm import truncation
+from weft.llm.truncation import body_of, find_truncated, normal, places, tail_of
 
 
 # -- splitting
@@ -483,3 +484,26 @@ def test_truncated_texts(spark):
     assert sum(got[r[0]] for r in rows + whole) == 0 and sum(got[r[0]] for r in cuts) >= 57
     assert not got[3000] and not got[3001] and not got[3003]
     assert find_truncated(d.limit(0)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab .\n!日é1", max_size=60), min_size=1, max_size=4), st.integers(13, 40))
+def test_places_are_counted_as_one_by_one(texts, chunk):
+    want = {}
+    for t in texts:
+        s = body_of(t)
+        for i in range(2, len(s)):
+            if s[i - 1] not in truncation._BORDER:
+                kind = 1 if s[i] in truncation._BORDER else 2 if s[i].isalpha() else 0
+                key = (s[max(0, i - 12) : i], kind)
+                want[key] = want.get(key, 0) + 1
+    old, truncation.CHUNK = truncation.CHUNK, chunk
+    try:
+        got = {}
+        for t in texts:
+            for part in truncation._slices(body_of(t)):
+                for tail, kind, n in zip(*places([part])):
+                    got[tail, int(kind)] = got.get((tail, int(kind)), 0) + int(n)
+    finally:
+        truncation.CHUNK = old
+    assert got == want

@@ -65,6 +65,12 @@ def p3_rates(spark, sf):
     return acceptance(check_files(source_files(spark, sf)))
 
 
+def p3_languages(spark, sf):
+    """Files, broken files and their rate per language over all repositories."""
+    r = acceptance(check_files(source_files(spark, sf)))
+    return r.groupBy("lang").agg(F.sum("files").alias("files"), F.sum("broken").alias("broken"), F.round(F.sum("broken") / F.sum("files"), 6).alias("rate"))
+
+
 def p4_found(spark, sf):
     return lines(find_credentials(file_rows(spark, sf)))
 
@@ -139,7 +145,7 @@ def p10_rates(spark, sf):
     return t.groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.col("cut").cast("int")).alias("cut"), F.round(F.avg(F.col("cut").cast("int")), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_covered, p3_found, p3_errors, p3_rates, p4_found, p4_spans, p4_redacted, p5_found, p5_origins, p7_found, p7_shares, p8_ids, p8_counts, p8_bytes, p8_edited, p9_rates, p9_mixture, p9_shares, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_covered, p3_found, p3_errors, p3_rates, p3_languages, p4_found, p4_spans, p4_redacted, p5_found, p5_origins, p7_found, p7_shares, p8_ids, p8_counts, p8_bytes, p8_edited, p9_rates, p9_mixture, p9_shares, p10_found, p10_rates)}
 
 SQL = {
     "p1_found": """

@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,54 +111,85 @@ def tail_of(text: str | None) -> tuple[str, str, str]:
     return "open", tail, ("\n" + before)[-LEVELS[-1] :]
 
 
-class _Kinds(dict):
-    """Character -> what follows a tail with it: b a border, w a letter, o another character; filled as they come."""
+#: Code point -> what follows a tail with it: 1 a border, 2 a letter, 0 another character; made when it is first asked for.
+_KINDS: list[np.ndarray] = []
+#: Characters that are counted together; a longer text is counted in slices that overlap by a tail.
+CHUNK = 1 << 21
+_POWERS = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(LEVELS[-1])]
 
-    def __missing__(self, c: int) -> str:
-        ch = chr(c)
-        k = self[c] = "b" if ch in _BORDER else "w" if ch.isalpha() else "o"
-        return k
 
+def _kinds() -> np.ndarray:
+    if not _KINDS:
+        _KINDS.append(np.array([1 if (c := chr(i)) in _BORDER else 2 if c.isalpha() else 0 for i in range(0x110000)], np.uint8))
+    return _KINDS[0]
 
-_KINDS = _Kinds()
 
-
-def contexts(text: str) -> list[str]:
-    """Every place inside the text as its longest tail and the kind of what follows; places after a border are none."""
+def body_of(text: str) -> str:
+    """The text as its places are counted: normal, without a sign of a cut at its end, after a line end."""
     s = normal(text)
     for sign in (_SAID, _SIGN):
         signed = _at_end(sign, s)
         if signed:
             s = s[: signed.start()].rstrip()
-    s = "\n" + s
-    kinds, k = s.translate(_KINDS), LEVELS[-1]
-    out = [s[:i] + kinds[i] for i in range(2, min(k, len(s))) if kinds[i - 1] != "b"]
-    out += [s[i - k : i] + kinds[i] for i in range(max(2, k), len(s)) if kinds[i - 1] != "b"]
-    return out
+    return "\n" + s
+
+
+def places(bodies: list[tuple[str, int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(tails, kinds, counts): every place of the bodies as its longest tail and the kind of what follows; places after a border
+    are none. Of each body as many characters as the number beside it are only context. Windows are told apart by 64 bits."""
+    k = LEVELS[-1]
+    pad = "\0" * k
+    text = pad + pad.join(b for b, _ in bodies)
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[a]
+    ok = a != 0
+    ok[2:] &= (a[1:-1] != 0) & (a[:-2] != 0) & (kind[1:-1] != 1)
+    ok[:k] = False
+    at = k
+    for b, skip in bodies:
+        if skip:
+            ok[at : at + skip] = False
+        at += len(b) + k
+    ends = np.flatnonzero(ok)
+    with np.errstate(over="ignore"):
+        wide = a.astype(np.uint64) + np.uint64(1)
+        h = np.zeros(len(a) - k + 1, np.uint64)
+        for j, p in enumerate(_POWERS):
+            h += wide[j : len(a) - k + 1 + j] * np.uint64(p)
+        h = h[ends - k]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h = (h & ~np.uint64(3)) | kind[ends].astype(np.uint64)
+    _, first, counts = np.unique(h, return_index=True, return_counts=True)
+    at_ = ends[first]
+    return [text[e - k : e].lstrip("\0") for e in at_.tolist()], kind[at_], counts
+
+
+def _slices(body: str):
+    """A body in slices that are counted alone: (characters, how many of them are context)."""
+    k = LEVELS[-1]
+    for a in range(0, len(body), CHUNK):
+        lo = max(0, a - k)
+        yield body[lo : a + CHUNK], a - lo
 
 
 def _count(batches):
-    seen = Counter()
+    waiting, held = [], 0
 
     def flush():
-        n: dict[str, list[int]] = {}
-        for x, c in seen.items():
-            e = n.setdefault(x[:-1], [0, 0, 0])
-            e[0] += c
-            if x[-1] == "b":
-                e[1] += c
-            elif x[-1] == "w":
-                e[2] += c
-        seen.clear()
-        v = list(n.values())
-        return pd.DataFrame({"tail": list(n), "n": [x[0] for x in v], "b": [x[1] for x in v], "w": [x[2] for x in v]})
+        tails, kind, n = places(waiting)
+        return pd.DataFrame({"tail": tails, "n": n, "b": np.where(kind == 1, n, 0), "w": np.where(kind == 2, n, 0)})
 
     for pdf in batches:
         for t in pdf["text"]:
-            seen.update(contexts(t))
-            if len(seen) > 200_000:
-                yield flush()
-    yield flush()
+            for part in _slices(body_of(t)):
+                waiting.append(part)
+                held += len(part[0])
+                if held >= CHUNK:
+                    yield flush()
+                    waiting, held = [], 0
+    if waiting:
+        yield flush()
 
 
 def _tails(batches):
