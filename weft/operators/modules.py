@@ -101,6 +101,35 @@ def graph_views(nodes: DataFrame, edges: DataFrame) -> None:
     edges.createOrReplaceTempView("edges")
 
 
+def rust_files(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, raw, target, imported): the file that a module path of a Rust import stands for: ``.rs``, ``/mod.rs``, ``/lib.rs``,
+    else the same for the path without its last segment; null where none is a file. ``imports`` has path, raw, target."""
+    ends = ((".rs", 0), ("/mod.rs", 1), ("/lib.rs", 2))
+    up = directory(F.col("target"))
+    tries = F.array(*[F.struct(F.lit(n).alias("n"), F.concat("target", F.lit(e)).alias("p")) for e, n in ends], *[F.struct(F.lit(n + 3).alias("n"), F.concat(up, F.lit(e)).alias("p")) for e, n in ends])
+    i = imports.select("path", "raw", "target").distinct()
+    cand = i.select("path", "raw", "target", F.explode(tries).alias("c")).select("path", "raw", "target", "c.n", "c.p")
+    hit = cand.join(files.select(F.col("path").alias("p")).distinct(), "p").groupBy("path", "raw", "target").agg(F.min(F.struct("n", "p")).alias("b"))
+    return i.join(hit, ["path", "raw", "target"], "left").select("path", "raw", "target", F.col("b.p").alias("imported"))
+
+
+def tree_nodes(tree: DataFrame) -> DataFrame:
+    """(module, kind, files): leaves of a module tree and their parents (the first segment of modules of two), whose files are
+    the union of their children's. ``tree`` has module, path."""
+    leaves = tree.select("module", "path").distinct()
+    parents = leaves.where(F.instr("module", "/") > 0).select(F.substring_index("module", "/", 1).alias("module"), "path").distinct()
+    own = leaves.join(parents.select("module").distinct(), "module", "left_anti")
+    both = leaves.join(parents.select("module").distinct(), "module", "left_semi").unionByName(parents).distinct()
+    return own.groupBy("module").agg(F.count("*").alias("files")).select("module", F.lit("leaf").alias("kind"), "files").unionByName(both.groupBy("module").agg(F.count("*").alias("files")).select("module", F.lit("parent").alias("kind"), "files"))
+
+
+def renewal(modules: DataFrame, changed: DataFrame, most_new: int = 5) -> DataFrame:
+    """(way, modules, added): 'all' where more than ``most_new`` changed files are of no module, else 'some' with the number of
+    modules to renew, 'Other' for the new files among them."""
+    a = affected_modules(modules, changed)
+    return a.agg(F.coalesce(F.sum("added"), F.lit(0)).alias("added"), F.count("*").alias("n")).select(F.when(F.col("added") > most_new, "all").otherwise("some").alias("way"), F.col("n").alias("modules"), "added")
+
+
 __all__ = [
-    "NOISE", "affected_modules", "fenced_json", "first_claims", "fuzzy_path_score", "graph_views", "java_static_owner", "module_tree", "package_files", "resolve_heritage", "rust_module",
+    "NOISE", "affected_modules", "fenced_json", "first_claims", "fuzzy_path_score", "graph_views", "java_static_owner", "module_tree", "package_files", "resolve_heritage", "rust_module", "renewal", "rust_files", "tree_nodes",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weft.operators.modules import NOISE, affected_modules, fenced_json, first_claims, fuzzy_path_score, graph_views, java_static_owner, module_tree, package_files, resolve_heritage, rust_module
+from weft.operators.modules import NOISE, affected_modules, renewal, rust_files, tree_nodes, fenced_json, first_claims, fuzzy_path_score, graph_views, java_static_owner, module_tree, package_files, resolve_heritage, rust_module
 from weft.plans.graphview import code_nodes, edges, nodes
 from weft.queries.base import Book, graph
 from weft.sources.tables import table
@@ -137,3 +137,73 @@ def process_kinds(spark, sf):
     """Flows by the number of different communities they touch."""
     n = F.coalesce(F.size(F.array_distinct("communities")), F.lit(0))
     return table(spark, sf, "processes").select("id", n.cast("long").alias("touched"), F.when(n > 1, "cross_community").otherwise("intra_community").alias("kind"))
+
+
+@book(f"""WITH {_TREE}, l AS (SELECT DISTINCT module, path FROM tree), p AS (SELECT DISTINCT split_part(module, '/', 1) AS module, path FROM l WHERE contains(module, '/')), pm AS (SELECT DISTINCT module FROM p)
+    SELECT module, 'leaf' AS kind, count(*) AS files FROM l WHERE module NOT IN (SELECT module FROM pm) GROUP BY 1 UNION ALL SELECT module, 'parent', count(*) FROM (SELECT module, path FROM l WHERE module IN (SELECT module FROM pm) UNION SELECT module, path FROM p) GROUP BY 1""")
+def module_nodes(spark, sf):
+    """Leaves and parents of the module tree with their files."""
+    return tree_nodes(_tree(spark, sf))
+
+
+@book(f"""WITH {_TREE}, ch AS (SELECT DISTINCT filePath AS path FROM parsed_nodes WHERE filePath IS NOT NULL AND indexedAt >= TIMESTAMP '2025-06-01' AND label <> 'Folder'),
+    a AS (SELECT coalesce(module, 'Other') AS module, count(*) FILTER (module IS NULL) AS added FROM ch LEFT JOIN tree ON tree.path = ch.path GROUP BY 1) SELECT CASE WHEN coalesce(sum(added), 0) > 5 THEN 'all' ELSE 'some' END AS way, count(*) AS modules, coalesce(sum(added), 0)::BIGINT AS added FROM a""")
+def renewal_way(spark, sf):
+    """Whether the modules with new files are renewed alone or all are."""
+    ch = table(spark, sf, "parsed_nodes").where("filePath is not null and label <> 'Folder'").where(F.col("indexedAt") >= F.lit("2025-06-01").cast("timestamp_ntz")).select(F.col("filePath").alias("path"))
+    return renewal(_tree(spark, sf), ch)
+
+
+_RUST = f"""WITH {_FILES}, r AS (SELECT path, unnest(regexp_extract_all(content, 'use (crate(?:::[a-z_]+)+)', 1)) AS raw FROM (SELECT filePath AS path, content FROM embeddable_nodes WHERE label = 'File' AND content IS NOT NULL AND filePath LIKE '%.rs')),
+    t AS (SELECT DISTINCT path, raw, CASE WHEN contains(path, '/src/') THEN split_part(path, '/src/', 1) || '/src' ELSE split_part(path, '/', 1) END || '/' || replace(substr(raw, 8), '::', '/') AS target FROM r)"""
+
+
+@book(_RUST + """, c AS (SELECT path, raw, target, n, p FROM (SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS n, unnest([target || '.rs', target || '/mod.rs', target || '/lib.rs', regexp_replace(target, '/[^/]*$', '') || '.rs', regexp_replace(target, '/[^/]*$', '') || '/mod.rs', regexp_replace(target, '/[^/]*$', '') || '/lib.rs']) AS p FROM t)),
+    h AS (SELECT c.path, raw, target, arg_min(p, n) AS imported FROM c JOIN files ON files.path = c.p GROUP BY 1, 2, 3) SELECT t.path, t.raw, t.target, h.imported FROM t LEFT JOIN h ON h.path = t.path AND h.raw = t.raw AND h.target = t.target""")
+def rust_resolved(spark, sf):
+    """The module paths that Rust files use, and the files they stand for."""
+    f = table(spark, sf, "embeddable_nodes").where("label = 'File' and content is not null and filePath like '%.rs'").select(F.col("filePath").alias("path"), F.explode(F.regexp_extract_all("content", F.lit("use (crate(?:::[a-z_]+)+)"), F.lit(1))).alias("raw"))
+    return rust_files(f.select("path", "raw", rust_module(F.col("raw"), F.col("path")).alias("target")), _files(spark, sf))
+
+
+@book(f"""WITH {_FILES}, d AS (SELECT path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir FROM files WHERE path LIKE '%.java'), w AS (SELECT DISTINCT path AS file, string_split(dir, '/')[-1] AS package FROM d WHERE dir <> '')
+    SELECT DISTINCT w.file, w.package, d.path AS imported FROM w JOIN d ON string_split(d.dir, '/')[-1] = w.package WHERE d.path <> w.file AND w.package <> ''""")
+def java_wildcards(spark, sf):
+    """The files of every package with the last name of a Java file's own, as a wildcard import takes them."""
+    from weft.functions.text import directory
+
+    f = _files(spark, sf)
+    own = f.where("path like '%.java' and path like '%/%'").select(F.col("path").alias("file"), F.element_at(F.split(directory(F.col("path")), "/"), -1).alias("package"))
+    return package_files(own, f, ".java")
+
+
+@book("""WITH p AS (SELECT DISTINCT filePath AS path FROM parsed_nodes WHERE label = 'File' AND filePath IS NOT NULL), x AS (SELECT split_part(path, '/', 1) AS name, NOT contains(path, '/') AS is_file FROM p)
+    SELECT name, is_file, count(*) AS files FROM x GROUP BY 1, 2 ORDER BY is_file, files DESC, name LIMIT 30""")
+def root_listing(spark, sf):
+    """Entries of the root: folders first, by files, then by name; the first thirty."""
+    p = table(spark, sf, "parsed_nodes").where("label = 'File' and filePath is not null").select(F.col("filePath").alias("path")).distinct()
+    x = p.select(F.substring_index("path", "/", 1).alias("name"), (F.instr("path", "/") == 0).alias("is_file"))
+    return x.groupBy("name", "is_file").agg(F.count("*").alias("files")).orderBy("is_file", F.desc("files"), "name").limit(30)
+
+
+@book("""WITH r AS (SELECT name, rtrim(path, '/') AS path FROM registry), c AS (SELECT DISTINCT rtrim(path, '/') || '/src/deep' AS cwd FROM registry UNION SELECT regexp_replace(rtrim(path, '/'), '/[^/]*$', '') FROM registry),
+    m AS (SELECT c.cwd, r.name, length(r.path) AS l FROM c JOIN r ON starts_with(c.cwd || '/', r.path || '/') OR starts_with(r.path || '/', c.cwd || '/')) SELECT cwd, arg_min(name, (-l, name)) AS repo FROM m GROUP BY 1""")
+def nearest_repo(spark, sf):
+    """The registered repository of a working folder: one that holds it or lies in it, the longest path first. The registry is a
+    fixed table of 48 rows, so its side of the comparison is bounded."""
+    r = table(spark, sf, "registry").select("name", F.regexp_replace("path", "/+$", "").alias("path"))
+    cwd = r.select(F.concat("path", F.lit("/src/deep")).alias("cwd")).union(r.select(F.regexp_replace("path", "/[^/]*$", ""))).distinct()
+    a, b = F.concat("cwd", F.lit("/")), F.concat("path", F.lit("/"))
+    m = cwd.join(F.broadcast(r), a.startswith(b) | b.startswith(a))
+    return m.groupBy("cwd").agg(F.min(F.struct((-F.length("path")).alias("l"), "name")).alias("b")).select("cwd", F.col("b.name").alias("repo"))
+
+
+@book("""SELECT name, path, count(*) OVER (PARTITION BY lower(name)) > 1 AS shared, lower(name) || CASE WHEN count(*) OVER (PARTITION BY lower(name)) > 1 THEN '-' || substr(translate(to_base64(encode(path)), '+/', '-_'), 1, 6) ELSE '' END AS repo_id
+    FROM (SELECT name, path FROM registry UNION ALL SELECT name, path || '/copy' FROM registry WHERE configId = 1)""")
+def colliding_repo_ids(spark, sf):
+    """Ids of repositories; those whose id is equal get a suffix from their path."""
+    r = table(spark, sf, "registry").select("name", "path", "configId")
+    r = r.select("name", "path").unionByName(r.where("configId = 1").select("name", F.concat("path", F.lit("/copy")).alias("path")))
+    shared = F.count("*").over(Window.partitionBy(F.lower("name"))) > 1
+    suffix = F.concat(F.lit("-"), F.substring(F.translate(F.base64(F.encode("path", "UTF-8")), "+/", "-_"), 1, 6))
+    return r.withColumn("shared", shared).select("name", "path", "shared", F.concat(F.lower("name"), F.when(F.col("shared"), suffix).otherwise("")).alias("repo_id"))
