@@ -6,16 +6,21 @@ row groups of other terms are pruned by their ranges) and the statistics, a row
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.stem import stem
-from weft.functions.text import tokens
 from weft.operators.search import K1, B
 from weft.operators.store import scratch, stamp
 from weft.plans.patterns import top_n
+from weft.session import checkpointed
 from weft.sources.tables import table
 
+_WORD = re.compile(r"[a-z0-9_]+")
 _KEPT: dict[tuple, str] = {}
 _POSTINGS = "label string, term string, id string, filePath string, tf long, dl long"
 _STATS = "label string, texts long, average double"
@@ -24,17 +29,20 @@ _STATS = "label string, texts long, average double"
 def build_index(texts: DataFrame, folder: str, stemmed: bool = True) -> None:
     """Writes the index of (label, id, filePath, text); null texts are not in it, and an id has one text a label."""
 
-    def stems(batches):
+    def counted(batches):
         for pdf in batches:
-            yield pdf.assign(term=[stem(t) for t in pdf["term"]])
+            rows = []
+            for label, i, path, text in zip(pdf["label"], pdf["id"], pdf["filePath"], pdf["text"]):
+                words = [w for w in _WORD.findall(text.lower()) if len(w) > 1]
+                n = Counter(map(stem, words) if stemmed else words)
+                rows.extend((label, t, i, path, k, len(words)) for t, k in n.items())
+                rows.append((label, None, i, path, 0, len(words)))
+            yield pd.DataFrame(rows, columns=["label", "term", "id", "filePath", "tf", "dl"])
 
-    t = texts.where("text is not null").select("label", "id", "filePath", tokens(F.col("text")).alias("words"))
-    t.groupBy("label").agg(F.count("*").alias("texts"), F.avg(F.size("words")).alias("average")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
-    words = t.select("label", "id", "filePath", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
-    counted = words.groupBy("label", "id", "filePath", "dl", "term").agg(F.count("*").alias("tf"))
-    if stemmed:
-        counted = counted.mapInPandas(stems, counted.schema).groupBy("label", "id", "filePath", "dl", "term").agg(F.sum("tf").alias("tf"))
-    counted.select("label", "term", "id", "filePath", "tf", "dl").repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+    # a text's words are counted where it lies; what is shuffled are its postings, once, into ranges of terms
+    rows = checkpointed(texts.where("text is not null").select("label", "id", "filePath", "text").mapInPandas(counted, _POSTINGS))
+    rows.where("term is null").groupBy("label").agg(F.count("*").alias("texts"), F.avg("dl").alias("average")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+    rows.where("term is not null").repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
 
 
 def kept_index(spark: SparkSession, sf: str, stemmed: bool = True) -> str:
@@ -51,9 +59,7 @@ def kept_index(spark: SparkSession, sf: str, stemmed: bool = True) -> str:
 
 def search(spark: SparkSession, folder: str, query: str, per_label: int = 20, stemmed: bool = True) -> DataFrame:
     """(label, id, filePath, score) of the best ``per_label`` texts of each label that have a word of the query."""
-    import re
-
-    words = sorted({stem(w) if stemmed else w for w in re.split(r"[^a-z0-9_]+", query.lower()) if len(w) > 1})
+    words = sorted({stem(w) if stemmed else w for w in _WORD.findall(query.lower()) if len(w) > 1})
     p = spark.read.schema(_POSTINGS).parquet(f"{folder}/postings").where(F.col("term").isin(words))
     s = spark.read.schema(_STATS).parquet(f"{folder}/stats")
     df = p.groupBy("label", "term").agg(F.count("*").alias("df"))  # at most labels x words rows
