@@ -36,31 +36,60 @@ SALTS = 4
 #: Most fingerprints of known files that are broadcast; more are joined by a shuffle.
 BROADCAST = 1_000_000
 
-_TOKEN_HASH: dict[tuple[str, str], int] = {}
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, SHAPED + 1)], dtype=np.uint64)
+_P = 0x9E3779B97F4A7C15
+#: Powers of ``_P`` and of its inverse modulo 2^64, as many as the longest file so far has tokens.
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _hash(tok: str, cls: str) -> int:
-    key = (tok, cls)
-    h = _TOKEN_HASH.get(key)
-    if h is None:
-        if len(_TOKEN_HASH) > 200_000:
-            _TOKEN_HASH.clear()
-        b = tok.encode("utf-8", "surrogatepass")
-        h = _TOKEN_HASH[key] = crc32(b) * 0x100000001 ^ crc32(b, 0x5BD1E995) << 16
-    return h & 0xFFFFFFFFFFFFFFFF
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    while len(_POWERS[0]) < n:
+        m = len(_POWERS[0])
+        with np.errstate(over="ignore"):
+            for k, base in enumerate((_P, pow(_P, -1, 1 << 64))):
+                _POWERS[k] = np.concatenate([_POWERS[k], _POWERS[k] * np.uint64(pow(base, m, 1 << 64))])
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def _winnow(hs: list[int], k: int) -> np.ndarray:
+class _Tokens(dict):
+    """Token text of one language -> (hash with its name kept, 0 for what is no token; 1 if it is a name of two characters or
+    less); filled as tokens appear, emptied when it holds ``bound`` texts."""
+
+    def __init__(self, lang: str, bound: int = 200_000):
+        super().__init__()
+        self.table, self.bound = classes_of(lang), bound
+
+    def __missing__(self, t: str) -> tuple[int, int]:
+        if len(self) >= self.bound:
+            self.clear()
+        c = self.table[t]
+        h = 0
+        if c and c != "\n":
+            raw = (c if c in ("N", "S", "R") else t).encode("utf-8", "surrogatepass")
+            h = (crc32(raw) * 0x100000001 ^ crc32(raw, 0x5BD1E995) << 16) & 0xFFFFFFFFFFFFFFFF or 1
+        r = self[t] = (h, int(c in ("I", "U") and len(t) <= 2))
+        return r
+
+
+_TOKENS: dict[str, _Tokens] = {}
+
+
+def _tokens_of(lang: str) -> _Tokens:
+    if lang not in _TOKENS:
+        _TOKENS[lang] = _Tokens(lang)
+    return _TOKENS[lang]
+
+
+def _winnow(hs: list[int] | np.ndarray, k: int) -> np.ndarray:
     """Distinct least hashes of each run of ``W`` windows of k tokens; nothing for fewer than k tokens."""
     if len(hs) < k:
         return np.empty(0, np.int64)
     h = np.array(hs, dtype=np.uint64)
     n = len(h) - k + 1
     with np.errstate(over="ignore"):
-        win = np.zeros(n, np.uint64)
-        for j in range(k):
-            win += (h[j : j + n] ^ (h[j : j + n] >> np.uint64(29))) * _POWERS[j]
+        # the sum of a window times powers, from running sums
+        up, down = _powers(len(h))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((h ^ (h >> np.uint64(29))) * up, dtype=np.uint64)])
+        win = (sums[k:] - sums[:-k]) * down[:n]
         win ^= win >> np.uint64(31)
         win *= np.uint64(0xBF58476D1CE4E5B9)
         win ^= win >> np.uint64(27)
@@ -71,17 +100,21 @@ def _winnow(hs: list[int], k: int) -> np.ndarray:
 
 def fingerprints(text: str, lang: str, toks: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Winnowed window hashes of a file with names kept and with names by class; a file shorter than a window has none."""
-    table = classes_of(lang)
-    named, shaped = [], []
-    for t in tokens(text, lang) if toks is None else toks:
-        c = table[t]
-        if not c or c == "\n":
-            continue
-        named.append(_hash(c if c in ("N", "S", "R") else t, ""))
-        shaped.append(_hash("I" if c in ("I", "U") else c, "c"))
+    toks = tokens(text, lang) if toks is None else toks
+    known = _tokens_of(lang)
+    named = [h for t in toks if (h := known[t][0])]
+    codes = np.frombuffer(classes(toks, lang).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        shaped = (codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        shaped ^= shaped >> np.uint64(32)
     return _winnow(named, NAMED), _winnow(shaped, SHAPED)
 
 
+def classes(toks: list[str], lang: str) -> str:
+    """The token classes of a file without line ends; names in capitals are names."""
+    return "".join(map(classes_of(lang).__getitem__, toks)).replace("\n", "").replace("U", "I")
+
+
 #: Notes of generators in the comments at the head of a file, in several languages (fixed values).
 _NOTE = re.compile(
     r"code generated by|@generated\b|auto-?generated (?:file|code|by|from)|autogenerated file|generated (?:by|from|with) \S+|(?:created|made|written|produced|built) automatically by|automatically (?:generated|created|produced)"
@@ -102,7 +135,7 @@ _SPACE = re.compile(r"\s")
 _HEXDUMP = re.compile(r"[0-9a-fA-F]{2,8}(?:[ \t:]+[0-9a-fA-F]{2,8})*[ \t]*\r?(?:\n|\Z)")
 _POINTER = re.compile(r"\Aversion https?://\S+\s+oid \w+:[0-9a-f]{32,}\s+size \d+\s*\Z")
 _MARKUP = re.compile(r"\A(?:<\?xml\b|<svg\b|%PDF-|GIF8[79]a)", re.I)
-_STATEMENTS = kws("if else for while return switch case try catch throw function func fn def interface impl trait match loop new delete lambda with yield await")
+_STATEMENTS = frozenset(kws("if else for while return switch case try catch throw function func fn def interface impl trait match loop new delete lambda with yield await"))
 
 
 def shape(text: str, lang: str, toks: list[str] | None = None) -> str | None:
@@ -114,7 +147,7 @@ def shape(text: str, lang: str, toks: list[str] | None = None) -> str | None:
     if _blob(body, lines):
         return "data"
     toks, table = tokens(text, lang) if toks is None else toks, classes_of(lang)
-    cls = "".join([c for t in toks if (c := table[t]) and c != "\n"]).replace("U", "I")
+    cls = classes(toks, lang)
     if _values_only(body, cls, toks, table, lang):
         return "data"
     if len(cls) >= 60 and _minified(body, lines, toks, table, lang):
@@ -158,7 +191,7 @@ def _blob(body: str, lines: list[str]) -> bool:
 
 def _values_only(body: str, cls: str, toks: list[str], table: dict[str, str], lang: str) -> bool:
     """Whether a file has values and names for them, but no statement, function or call."""
-    if any(c in _STATEMENTS for c in cls) or re.search(r"I\(", cls) or lang in ("javascript", "typescript") and "f" in cls:
+    if not _STATEMENTS.isdisjoint(cls) or "I(" in cls or lang in ("javascript", "typescript") and "f" in cls:
         return False
     values = cls.count("N") + cls.count("S")
     strings = [t for t in toks if table[t] == "S"]
@@ -170,22 +203,19 @@ def _values_only(body: str, cls: str, toks: list[str], table: dict[str, str], la
 
 
 def _minified(body: str, lines: list[str], toks: list[str], table: dict[str, str], lang: str) -> bool:
-    names = short = strings = spaces = 0
+    if not _BUNDLER.isdisjoint(toks) or "sourceMappingURL" in body and any(_MAP.match(t) for t in toks if not table[t]):
+        return True
+    known, names = _tokens_of(lang), sum(table[t] in ("I", "U") for t in toks)
+    short = sum([known[t][1] for t in toks])
+    if len(body) <= 60 * len(lines) and short < 0.6 * names:
+        return False
+    strings = spaces = 0
     for t in toks:
-        c = table[t]
-        if c in ("I", "U"):
-            names += 1
-            short += len(t) <= 2
-            if t in _BUNDLER:
-                return True
-        elif not c:
-            if _MAP.match(t):
-                return True
-            strings += len(t)
-            spaces += len(_SPACE.findall(t)) if len(t) > 1 else 0
-        elif c in ("S", "R"):
+        if (c := table[t]) in ("S", "R") or not c and len(t) > 1:
             strings += len(t)
             spaces += len(_SPACE.findall(t))
+        elif not c:
+            strings += 1
     rest = len(body) - strings
     if rest < 150:
         return False
