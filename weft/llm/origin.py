@@ -22,8 +22,9 @@ from weft.session import checkpointed
 
 from .lexing import KEYWORD, PATTERNS, classes_of, kws, language_of, tokens
 
-#: Tokens per window with names kept and with names by class, and windows per winnowing step.
-NAMED, SHAPED, W = 16, 40, 8
+#: Tokens per window with names kept, for one known file and for all repositories (the more files there are, the more
+#: short windows recur by chance), and with names by class; and windows per winnowing step.
+NAMED, WIDE, SHAPED, W = 16, 32, 40, 8
 #: A fingerprint recurs if it is in so many repositories; a file is a copy if this share of its fingerprints recurs.
 REPOS, SHARE = 4, 0.6
 #: The share of fingerprints in one known file that makes a copy of it, and the number that there must be of those with
@@ -98,8 +99,9 @@ def _winnow(hs: list[int] | np.ndarray, k: int) -> np.ndarray:
     return np.unique(win).view(np.int64)
 
 
-def fingerprints(text: str, lang: str, toks: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Winnowed window hashes of a file with names kept and with names by class; a file shorter than a window has none."""
+def fingerprints(text: str, lang: str, toks: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowed window hashes of a file with names kept, with names by class, and wide ones with names kept; a file shorter
+    than a window has none."""
     toks = tokens(text, lang) if toks is None else toks
     known = _tokens_of(lang)
     named = [h for t in toks if (h := known[t][0])]
@@ -107,7 +109,7 @@ def fingerprints(text: str, lang: str, toks: list[str] | None = None) -> tuple[n
     with np.errstate(over="ignore"):
         shaped = (codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         shaped ^= shaped >> np.uint64(32)
-    return _winnow(named, NAMED), _winnow(shaped, SHAPED)
+    return _winnow(named, NAMED), _winnow(shaped, SHAPED), _winnow(named, WIDE)
 
 
 def classes(toks: list[str], lang: str) -> str:
@@ -226,15 +228,15 @@ def _minified(body: str, lines: list[str], toks: list[str], table: dict[str, str
     return names >= 30 and (short >= 0.75 * names or short >= 0.6 * names and space < 0.12)
 
 
-SCANNED = "seq long, id string, repo string, shape string, named array<long>, shaped array<long>"
+SCANNED = "seq long, id string, repo string, shape string, named array<long>, shaped array<long>, wide array<long>"
 
 
 def _scan(batches):
     for pdf in batches:
-        shapes, named, shaped = [], [], []
+        shapes, named, shaped, wide = [], [], [], []
         for i, c in zip(pdf["id"], pdf["content"]):
             lang = language_of(i)
-            s, prints = None, ([], [])
+            s, prints = None, ([], [], [])
             if lang is not None and c is not None and c.strip():
                 toks = tokens(c, lang)
                 s = shape(c, lang, toks)
@@ -243,7 +245,8 @@ def _scan(batches):
             shapes.append(s)
             named.append(prints[0])
             shaped.append(prints[1])
-        yield pdf[["seq", "id", "repo"]].assign(shape=shapes, named=named, shaped=shaped)
+            wide.append(prints[2])
+        yield pdf[["seq", "id", "repo"]].assign(shape=shapes, named=named, shaped=shaped, wide=wide)
 
 
 def _known(batches):
@@ -253,7 +256,7 @@ def _known(batches):
         for key, name, lang, c in zip(pdf["key"], pdf["fileName"], pdf["language"], pdf["content"]):
             lang = language_of(name) or langs.get(str(lang).lower()) or (str(lang).lower() if str(lang).lower() in PATTERNS else None)
             if lang and c:
-                for kind, fps in enumerate(fingerprints(c, lang)):
+                for kind, fps in enumerate(fingerprints(c, lang)[:2]):
                     rows.extend((fp, kind, key) for fp in fps.tolist())
         yield pd.DataFrame(rows, columns=["fp", "kind", "key"]).astype({"fp": "int64", "kind": "int32", "key": "int64"})
 
@@ -263,27 +266,27 @@ def classify_origin(files: DataFrame, known: DataFrame | None = None, repos: int
 
     ``files`` has seq, id, repo, content of source files; ``known`` has fileName, language, content of outside files.
     Null, empty and blank contents have origin None. A repository that is null counts as one repository of its own.
-    ``recurrent_share`` is the part of a file's named fingerprints that ``repos`` repositories have, ``known_share`` the
+    ``recurrent_share`` is the part of a file's wide fingerprints that ``repos`` repositories have, ``known_share`` the
     largest part of its fingerprints of either kind that one known file has.
     """
     scanned = checkpointed(files.select("seq", "id", "repo", "content").mapInPandas(_scan, SCANNED))
     bare = scanned.where("shape is null or shape = 'copied'")
-    prints = bare.select("seq", F.coalesce("repo", F.lit("")).alias("repo"), F.explode("named").alias("fp"))
+    prints = bare.select("seq", F.coalesce("repo", F.lit("")).alias("repo"), F.explode("wide").alias("fp"))
     # repositories per fingerprint: distinct pairs first, so that a fingerprint of every file costs one row a repository
     frequent = prints.groupBy("fp", "repo").agg(F.lit(1).alias("one")).groupBy("fp").agg(F.count("*").alias("repos")).where(F.col("repos") >= repos).select("fp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = prints.select("seq", "fp", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int").alias("salt"))
     hits = salted.join(frequent, ["fp", "salt"], "left_semi").groupBy("seq").agg(F.count("*").alias("recurrent"))
-    total = {"named": F.greatest(F.size("named"), F.lit(1)), "shaped": F.greatest(F.size("shaped"), F.lit(1))}
-    out = scanned.select("seq", "id", "repo", "shape", total["named"].alias("total"), total["shaped"].alias("forms")).join(hits, "seq", "left")
+    sizes = [F.greatest(F.size(c), F.lit(1)).alias(n) for c, n in (("named", "total"), ("shaped", "forms"), ("wide", "spans"))]
+    out = scanned.select("seq", "id", "repo", "shape", *sizes).join(hits, "seq", "left")
     if known is None:
         out = out.withColumn("named_hits", F.lit(0)).withColumn("shaped_hits", F.lit(0))
     else:
         out = out.join(_known_hits(bare, known), "seq", "left")
     recurrent = F.coalesce("recurrent", F.lit(0))
     a, b = F.coalesce("named_hits", F.lit(0)), F.coalesce("shaped_hits", F.lit(0))
-    copied = (recurrent >= LEAST) & (recurrent >= share * F.col("total")) | (a >= LEAST) & (a >= KNOWN * F.col("total")) | (b >= LEAST_SHAPED) & (b >= KNOWN * F.col("forms"))
+    copied = (recurrent >= LEAST) & (recurrent >= share * F.col("spans")) | (a >= LEAST) & (a >= KNOWN * F.col("total")) | (b >= LEAST_SHAPED) & (b >= KNOWN * F.col("forms"))
     origin = F.when(F.col("shape").isNotNull(), F.col("shape")).when(copied, F.lit("copied"))
-    return out.select("seq", "id", "repo", origin.alias("origin"), (recurrent / F.col("total")).alias("recurrent_share"), F.greatest(a / F.col("total"), b / F.col("forms")).alias("known_share"))
+    return out.select("seq", "id", "repo", origin.alias("origin"), (recurrent / F.col("spans")).alias("recurrent_share"), F.greatest(a / F.col("total"), b / F.col("forms")).alias("known_share"))
 
 
 def _known_hits(bare: DataFrame, known: DataFrame) -> DataFrame:
