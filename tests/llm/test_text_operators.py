@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.encoding import Encoded, bpe, encode_corpus
 from weft.llm.mixing import cut_cdf, cut_mean, draw, mix, parameter_for, rates, shares
-from weft.llm.origin import classify_origin, fingerprints, shape
+from weft.llm.origin import classify_origin, fingerprints, kept_outside, shape
 from weft.llm.prose import Profiles, extract, fit_profiles, languages_in_code, phrases
 from weft.llm.redaction import find_credentials, redact_files
 from weft.llm.secrets import find_secrets, lines_of, redact
@@ -290,6 +290,24 @@ def test_copies_across_repositories(spark):
     assert classify_origin(files.limit(0), known).count() == 0
 
 
+@pytest.mark.parametrize("folder", ["node_modules/tinyq", "vendor/tinyq", "vendored/tinyq", "site-packages/tinyq", "deps/tinyq", "extern/tinyq", "Pods/tinyq", "third_party/tinyq", "third-party", "site-packages", "vendor/host.test/a/tinyq"])
+def test_dependency_folders(folder):
+    assert kept_outside(f"File:own/src/{folder}/queue.js") and kept_outside(f"own\\src\\{folder}\\queue.js".replace("/", "\\"))
+
+
+@pytest.mark.parametrize("path", ["src/vendors/queue.js", "src/vendor_9/queue.js", "src/vendor/queue.js", "src/deps/queue.js", "src/pods/list.js", "src/external/queue.js", "vendor_list_3.js", "src/build/codegen_1.js", "src/distance/third_party.js", "node_modules.js", "src/third_party_list/a/b.js"])
+def test_folders_of_own_code(path):
+    assert not kept_outside(f"File:own/{path}") and not kept_outside(f"File:vendor/{path}")
+
+
+def test_unknown_libraries_kept_in_a_repository(spark):
+    own, outside = ["src/vendors/tinyq/queue.js", "src/vendor/queue.js", "src/deps/queue.js", "src/vendor_list_3.js"], ["src/node_modules/tinyq/queue.js", "lib/vendor/tinyq/queue.js", "app/deps/tinyq/queue.js"]
+    rows = [(i, f"File:own/{p}", "own", code(300 + i, 8)) for i, p in enumerate(own + outside)]
+    rows += [(20, "File:own/vendor/tinyq/blank.js", "own", " \n"), (21, "File:own/vendor/tinyq/null.js", None, None), (22, "File:own/vendor/tinyq/made.js", "own", "// Code generated by tool. DO NOT EDIT.\n" + code(320, 8)), (23, "File:own/vendor/tinyq/read.txt", "own", "some words"), (24, None, "own", code(321, 8))]
+    got = {r["seq"]: r["origin"] for r in classify_origin(spark.createDataFrame(rows, "seq long, id string, repo string, content string")).collect()}
+    assert got == dict.fromkeys(range(4)) | dict.fromkeys(range(4, 7), "copied") | {20: None, 21: None, 22: "generated", 23: None, 24: None}
+
+
 def test_fingerprints_ignore_comments_numbers_and_layout():
     a = code(9)
     b = "/* note */\n" + a.replace("\n", "\r\n").replace("  return", "\treturn").replace("(", "( ")

@@ -2,9 +2,11 @@
 
 Copies: the stream of tokens of every file, without comments and with numbers and strings by class, is hashed in windows
 and thinned by winnowing, once with names kept and once with names by class, so that renamed copies keep their
-fingerprints. A file is a copy if its named fingerprints largely recur in several unrelated repositories, or if a good part of
-either kind is in one known outside file. The other kinds are measured on the token stream: how much of it repeats itself
-(generated), how short its names and how rare its white space are (minified), and whether it has any statement (data).
+fingerprints. A file is a copy if its named fingerprints largely recur in several unrelated repositories, if a good part of
+either kind is in one known outside file, or if it lies among the dependencies that a project keeps (``kept_outside``), as a
+library that no table knows and one repository has leaves no other trace. The other kinds are measured on the token stream:
+how much of it repeats itself (generated), how short its names and how rare its white space are (minified), and whether it
+has any statement (data).
 """
 
 from __future__ import annotations
@@ -133,6 +135,12 @@ _MAP = re.compile(r"(?://|/\*)[#@]\s*sourceMappingURL=")
 _HEAD = re.compile(r"\A(?:\s*(?://[^\n]*|#(?!\s*(?:include|define|if|ifndef|ifdef|pragma)\b)[^\n]*|/\*[\s\S]*?\*/|--[^\n]*))+")
 #: A head note that begins with another project's name and version and goes on with its terms.
 _BANNER = re.compile(r"\A[\s*!#/]*[A-Za-z@][\w.@/-]* v?\d+\.\d+(?:\.\d+)?\b[^\n]*(?:licen[cs]e|\bMIT\b|\bBSD\b|\bpermissive\b|copyright|\(c\)|©)", re.I)
+#: Folders that hold other projects' code only, and those that do so by custom, with a folder for each library (fixed values).
+#: Modules of one's own may have a name of the second kind, and repositories too, so that a file right in one is no copy.
+_OUTSIDE = re.compile(
+    r"(?:^|[/\\:])(?:node_modules|bower_components|jspm_packages|site-packages|dist-packages|Pods|Carthage|Godeps|third[_-]?party|3rd[_-]?party|ThirdParty|vendored|_vendor)[/\\]"
+    r"|[/\\](?:vendor|deps|extern)[/\\]+[^/\\]+[/\\]"
+)
 _SPACE = re.compile(r"\s")
 _HEXDUMP = re.compile(r"[0-9a-fA-F]{2,8}(?:[ \t:]+[0-9a-fA-F]{2,8})*[ \t]*\r?(?:\n|\Z)")
 _POINTER = re.compile(r"\Aversion https?://\S+\s+oid \w+:[0-9a-f]{32,}\s+size \d+\s*\Z")
@@ -164,6 +172,11 @@ def shape(text: str, lang: str, toks: list[str] | None = None) -> str | None:
     return None
 
 
+def kept_outside(path: str) -> bool:
+    """Whether a path or id lies in a folder for the code of other projects, by whole folder names in their usual case."""
+    return _OUTSIDE.search(path) is not None
+
+
 def repeated(cls: str) -> float:
     """The share of windows of ``UNIT`` token classes that stood in the file before; 0 for files of less than two windows."""
     n = len(cls) - UNIT + 1
@@ -239,7 +252,7 @@ def _scan(batches):
             s, prints = None, ([], [], [])
             if lang is not None and c is not None and c.strip():
                 toks = tokens(c, lang)
-                s = shape(c, lang, toks)
+                s = shape(c, lang, toks) or ("copied" if kept_outside(i) else None)
                 if s is None or s == "copied":
                     prints = fingerprints(c, lang, toks)
             shapes.append(s)
@@ -265,7 +278,9 @@ def classify_origin(files: DataFrame, known: DataFrame | None = None, repos: int
     """(seq, id, repo, origin, recurrent_share, known_share): origin is generated, minified, data, copied or None for hand-written.
 
     ``files`` has seq, id, repo, content of source files; ``known`` has fileName, language, content of outside files.
-    Null, empty and blank contents have origin None. A repository that is null counts as one repository of its own.
+    Null, empty and blank contents have origin None. What lies among a project's dependencies (``kept_outside``) is copied,
+    also where no other file is like it, unless it has one of the other forms. A repository that is null counts as one
+    repository of its own.
     ``recurrent_share`` is the part of a file's wide fingerprints that ``repos`` repositories have, ``known_share`` the
     largest part of its fingerprints of either kind that one known file has.
     """
